@@ -40,8 +40,8 @@ def o_counts(keys: str, hits: str = "o_hits", vecs: str = "vectors", by_file: bo
     on = " AND ".join(f"l.{c} = r.{c}" for c in cols)
     return f"""
   c_hits AS (SELECT DISTINCT {keys}, hit_id FROM {hits}),
-  c_points AS (SELECT {p}, o.id, o.kind, o.line, o.file AS f FROM points o JOIN c_hits h ON h.run_id = o.run_id AND h.hit_id = o.id WHERE NOT o.declined),
-  c_alts AS (SELECT {p}, o.id, o.kind FROM o_branches o JOIN c_hits h ON h.run_id = o.run_id AND h.hit_id = o.id WHERE NOT o.declined),
+  c_points AS (SELECT {p}, o.id, o.kind AS site_kind, o.line, o.file AS f FROM points o JOIN c_hits h ON h.run_id = o.run_id AND h.hit_id = o.id WHERE NOT o.declined),
+  c_alts AS (SELECT {p}, o.id, o.kind AS site_kind FROM o_branches o JOIN c_hits h ON h.run_id = o.run_id AND h.hit_id = o.id WHERE NOT o.declined),
   c_vec AS (SELECT DISTINCT {v}, v.decision_id, d.width, v.a, v.b, v.c, v.outcome FROM {vecs} v JOIN decisions d ON d.run_id = v.run_id AND d.id = v.decision_id WHERE NOT d.declined),
   c_pairs AS (SELECT DISTINCT {lv}{', l.file' if by_file else ''}, l.decision_id, l.width,
       CASE WHEN coalesce(l.a <> r.a, FALSE) THEN 0 WHEN coalesce(l.b <> r.b, FALSE) THEN 1 ELSE 2 END AS condition
@@ -52,9 +52,9 @@ def o_counts(keys: str, hits: str = "o_hits", vecs: str = "vectors", by_file: bo
   c_shown AS (SELECT {out}, decision_id, width, count(*) AS n FROM c_pairs GROUP BY {out}, decision_id, width),
   c_counts AS (
     SELECT {out}, 'lines' AS metric, count(DISTINCT (f, line)) AS covered FROM c_points GROUP BY {out}
-    UNION ALL SELECT {out}, CASE kind WHEN 'function' THEN 'functions' ELSE 'statements' END, count(*) FROM c_points GROUP BY {out}, kind
+    UNION ALL SELECT {out}, CASE site_kind WHEN 'function' THEN 'functions' ELSE 'statements' END, count(*) FROM c_points GROUP BY {out}, site_kind
     UNION ALL SELECT {out}, 'branches', count(*) FROM c_alts GROUP BY {out}
-    UNION ALL SELECT {out}, 'value_selections', count(*) FILTER (kind = 'logical-value') FROM c_alts GROUP BY {out}
+    UNION ALL SELECT {out}, 'value_selections', count(*) FILTER (site_kind = 'logical-value') FROM c_alts GROUP BY {out}
     UNION ALL SELECT {out}, 'decision_outcomes', sum(o) FROM c_dec GROUP BY {out}
     UNION ALL SELECT {out}, 'condition_outcomes', sum(vals) FROM c_dec GROUP BY {out}
     UNION ALL SELECT {out}, 'executed_decisions', count(*) FROM c_dec GROUP BY {out}
