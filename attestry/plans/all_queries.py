@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from attestry.plans import coverage_queries, detail_queries, timing_queries  # noqa: F401
+from attestry.plans import assess_queries, coverage_queries, detail_queries, impact_queries, timing_queries  # noqa: F401

@@ -179,6 +179,43 @@ VIEWS: dict[str, str] = {
               FROM (SELECT snapshot, doc_id, path, n_chars, SPAN(0, CAST(floor(n_chars / 8000) AS INT)) AS window_no
                     FROM (SELECT doc_id, path, n_chars, EACH('a', 'b') AS snapshot FROM paths) x) y) z
         WHERE NOT (snapshot = 'b' AND doc_id % 17 = 0) AND NOT (snapshot = 'a' AND doc_id % 19 = 0)""",
+    "functions": """
+        SELECT file, concat('fn_', CAST(p_partkey AS VARCHAR(20))) AS name, line AS start_line, line + 2 AS end_line,
+               concat('return fn_', CAST(p_partkey + 1 AS VARCHAR(20)), '(', source, ')') AS body,
+               (p_partkey * 37 % 100) / CAST(100 AS DOUBLE) AS takes_outside,
+               (p_partkey * 53 % 100) / CAST(150 AS DOUBLE) AS reaches_sink,
+               (p_partkey * 71 % 100) / CAST(160 AS DOUBLE) AS sanitises,
+               CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'injection_sink' ELSE 'path_from_input' END AS sink_kind
+        FROM sites""",
+    "imports": """
+        SELECT a.file, b.file AS target, concat('fn_', CAST(b.p_partkey AS VARCHAR(20))) AS local,
+               CASE b.p_partkey % 3 WHEN 0 THEN 'default' WHEN 1 THEN '*'
+                    ELSE concat('fn_', CAST(b.p_partkey AS VARCHAR(20))) END AS exported,
+               CASE WHEN b.p_partkey % 6 = 0 THEN concat('fn_', CAST(b.p_partkey AS VARCHAR(20))) END AS target_default
+        FROM sites a JOIN sites b ON b.p_partkey = a.p_partkey + 1""",
+    "executions": """
+        SELECT DISTINCT concat(run_id, '/t', CAST(l_suppkey AS VARCHAR(20))) AS test_id, file, line
+        FROM line_records JOIN sites ON p_partkey = l_partkey""",
+    "statement_answers": """
+        SELECT run_id, hit_id AS id, test_id, MAX(seq * 17 % 101) / CAST(100 AS DOUBLE) AS p, MIN(seq % 10) < 5 AS asked
+        FROM hits GROUP BY run_id, hit_id, test_id""",
+    "line_answers": """
+        SELECT snapshot, path, check_id, line, (doc_id * 13 + line * 29 + length(check_id)) % 100 / CAST(100 AS DOUBLE) AS value,
+               (doc_id * 7 + line * 3) % 100 / CAST(100 AS DOUBLE) AS dismissed
+        FROM (SELECT snapshot, path, check_id, doc_id, line
+              FROM (SELECT snapshot, path, check_id, doc_id, SPAN(1, 2 + CAST(n_chars % 60 AS INT)) AS line
+                    FROM (SELECT 'a' AS snapshot, path, doc_id, n_chars,
+                                 EACH('injection_sink', 'secret_in_source', 'unescaped_output') AS check_id FROM paths) x) y) z""",
+    # The documents as a checkout before and after a change, one declaration per line.
+    "versions": """
+        SELECT doc_id, path, version, text, doc_id % 9 <> 0 AS parsed
+        FROM (SELECT doc_id, path, 'before' AS version, text FROM paths
+              UNION ALL SELECT doc_id, path, 'after' AS version,
+                     CASE WHEN doc_id % 5 = 0 THEN replace(text, 'the', 'THE')
+                          WHEN doc_id % 6 = 1 THEN concat(text, chr(10), 'one more line') 
+                          WHEN doc_id % 4 = 1 THEN replace(text, 'an', 'on') ELSE text END AS text
+              FROM paths WHERE doc_id % 7 <> 0
+              UNION ALL SELECT doc_id, concat(path, '.new') AS path, 'after' AS version, text FROM paths WHERE doc_id % 50 = 3) x""",
 }
 
 DEPENDENCIES = {
