@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as words
 from attestry.functions.paths import configuration_file, dependency_file
 from attestry.operators.attempts import coverage_is_complete
+from attestry.session import checkpointed
 
 TEST = ["test_file", "name"]
 
@@ -70,6 +71,9 @@ def ancestors(units: DataFrame, depth: int = 64) -> DataFrame:
         further = closed.join(onward, ["file", "ancestor"]).select("file", "idx", F.col("_up").alias("ancestor"))
         jump = jump.join(onward, ["file", "ancestor"]).select("file", "idx", F.col("_up").alias("ancestor"))
         closed, reach = closed.unionByName(further), reach * 2
+        if reach in (8, 64) and reach < depth:
+            # Each round joins its own result: cut the plan before it doubles on.
+            closed, jump = checkpointed(closed), checkpointed(jump)
     return closed
 
 

@@ -216,6 +216,20 @@ VIEWS: dict[str, str] = {
                           WHEN doc_id % 4 = 1 THEN replace(text, 'an', 'on') ELSE text END AS text
               FROM paths WHERE doc_id % 7 <> 0
               UNION ALL SELECT doc_id, concat(path, '.new') AS path, 'after' AS version, text FROM paths WHERE doc_id % 50 = 3) x""",
+    "runs": """
+        SELECT run_id, started_ms, records, records % 7 = 0 AS merged, CAST(records % 3 AS INT) AS exit_code,
+               concat('schema-', CASE WHEN records % 29 = 0 THEN '2' ELSE '3' END) AS schema_version,
+               concat('i', CAST(records % 2 AS VARCHAR(5))) AS instrumenter, concat('s', substr(run_id, 6, 4)) AS source,
+               concat('t', CAST(records % 4 AS VARCHAR(5))) AS tests_digest, concat('d', CAST(records % 3 AS VARCHAR(5))) AS dependencies,
+               concat('c', substr(run_id, 5, 1)) AS configuration, concat('e', CAST(records % 5 AS VARCHAR(5))) AS execution,
+               concat('m', CAST(records % 6 AS VARCHAR(5))) AS combined,
+               CASE WHEN records % 4 = 1 THEN concat('run_A', substr(run_id, 6, 4)) END AS supersedes
+        FROM (SELECT run_id, MIN(MS(l_shipdate)) AS started_ms, COUNT(*) AS records FROM line_records GROUP BY run_id) x""",
+    "scope_entries": """
+        SELECT path AS file, CASE WHEN doc_id % 6 = 0 THEN 'ambiguous' WHEN doc_id % 5 = 0 THEN 'excluded' ELSE 'included' END AS status,
+               CASE WHEN doc_id % 6 = 0 THEN 'unclassified first-party source' WHEN doc_id % 5 = 0 THEN 'outside explicit source roots'
+                    ELSE 'discovered package source root' END AS reason
+        FROM paths""",
 }
 
 DEPENDENCIES = {
