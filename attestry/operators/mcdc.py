@@ -133,6 +133,43 @@ def witnesses(observed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def independence_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every independence pair of a left and a right vector of one decision.
+
+    Both sides hold keys, decision_id, vector_key and ``rank``. Vectors meet by
+    equality on what both masks evaluate, so only pairs that hold are formed.
+    """
+    decision = [*keys, "decision_id"]
+
+    def shaped(df: DataFrame) -> DataFrame:
+        text = F.substring_index("vector_key", ":", 1)
+        return df.select(
+            *decision, "vector_key", "rank", text.alias("text"), (F.substring_index("vector_key", ":", -1) == "T").alias("outcome"),
+            F.translate(text, "TF-", "110").alias("mask"))
+
+    one, two = shaped(left), shaped(right)
+
+    def filed(df: DataFrame, others: DataFrame, own: str, other: str, flip: bool) -> DataFrame:
+        masks = others.select(*decision, F.col("mask").alias("_other")).distinct()
+        rows = df.join(masks, decision).withColumn("condition", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
+        at = F.col("condition") + 1
+        both = rows.filter((F.substring("mask", at, F.lit(1)) == "1") & (F.substring("_other", at, F.lit(1)) == "1"))
+        shared = F.array_join(
+            F.transform(
+                F.sequence(F.lit(0), F.length("text") - 1),
+                lambda i: F.when(i == F.col("condition"), "*").when(F.substring("_other", i + 1, F.lit(1)) == "1", F.substring("text", i + 1, F.lit(1))).otherwise("-"),
+            ), "")
+        target = F.substring("text", at, F.lit(1)) == "T"
+        return both.select(
+            *decision, "condition", F.col("mask").alias(own), F.col("_other").alias(other), shared.alias("shared"),
+            (~target if flip else target).alias("target"), (~F.col("outcome") if flip else F.col("outcome")).alias("outcome"),
+            F.col("vector_key").alias(f"{own}_vector"), F.col("rank").alias(f"{own}_rank"))
+
+    return filed(one, two, "left", "right", False).join(
+        filed(two, one, "right", "left", True), [*decision, "condition", "left", "right", "shared", "target", "outcome"]).select(
+        *decision, "condition", "left_vector", "left_rank", "right_vector", "right_rank")
+
+
 def condition_outcomes(observed: DataFrame, keys: list[str]) -> DataFrame:
     """Per decision: how many of its outcomes and of its conditions' values were seen."""
     signs = F.concat(_valued(F.col("vals")), F.array(F.when(F.col("outcome"), "outcome T").otherwise("outcome F")))

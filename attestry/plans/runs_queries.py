@@ -12,12 +12,10 @@ from attestry.plans.model import Model
 ONE, TWO, ALL = "run_A1996", "run_N1996", "run_all"
 
 
-@query("run_catalogue", "SELECT run_id, started_ms, CAST(row_number() OVER (ORDER BY started_ms DESC, run_id DESC) AS INT) AS place FROM runs WHERE records % 5 <> 0")
+@query("run_catalogue", "SELECT run_id, started_ms FROM runs WHERE records % 5 <> 0 ORDER BY started_ms DESC, run_id DESC")
 def run_catalogue(m: Model):
     read = m.runs.select("run_id", F.when(F.col("records") % 5 != 0, F.col("started_ms")).alias("started_at"), F.lit(None).cast("string").alias("corrupt"))
-    valid, _ = runs.catalogue(read)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("started_at")).alias("n"), "run_id", "started_at")), lambda a, b: F.when(a.n != b.n, F.when(a.n < b.n, -1).otherwise(1)).otherwise(F.when(a.run_id > b.run_id, -1).otherwise(1)))
-    return valid.agg(order.alias("r")).select(F.posexplode("r").alias("p", "x")).select("x.run_id", F.col("x.started_at").alias("started_ms"), (F.col("p") + 1).alias("place"))
+    return runs.catalogue(read)[0].select("run_id", F.col("started_at").alias("started_ms"))
 
 
 @query("run_catalogue_rejected", "SELECT run_id, 'run metadata has no start' AS reason FROM runs WHERE records % 5 = 0")
@@ -198,13 +196,15 @@ def scope_after_whole_files(m: Model):
 
 
 @query("scope_classification", r"""
-  WITH f AS (SELECT doc_id, path, text, doc_id % 4 = 0 AS measured FROM paths),
-  r AS (SELECT path AS file, CASE WHEN doc_id % 9 = 0 AND NOT measured THEN 'excluded|test' WHEN doc_id % 10 = 1 THEN 'excluded|generated' WHEN doc_id % 8 = 3 AND NOT measured THEN 'excluded|example'
-      WHEN path LIKE '%.js' AND strlen(text) > 2000 AND strlen(text) < 65000 AND (SELECT sum(strlen(x)) FILTER (strlen(x) > 500) FROM (SELECT unnest(string_split(text, chr(10))) AS x)) * 2 > strlen(text) THEN 'excluded|minified code'
+  WITH l AS (SELECT doc_id, strlen(unnest(string_split(text, chr(10)))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM paths),
+  o AS (SELECT doc_id, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+  h AS (SELECT doc_id, coalesce(sum(least(n, greatest(65536 - before, 0))) FILTER (least(n, greatest(65536 - before, 0)) > 500), 0) AS long FROM o GROUP BY doc_id),
+  f AS (SELECT doc_id, path, text, long, doc_id % 4 = 0 AS measured FROM paths JOIN h USING (doc_id)),
+  r AS (SELECT path AS file, CASE WHEN doc_id % 9 = 0 AND NOT measured THEN 'excluded|test' WHEN doc_id % 10 = 1 AND doc_id % 9 <> 0 THEN 'excluded|generated' WHEN doc_id % 8 = 3 AND NOT measured THEN 'excluded|example'
+      WHEN path LIKE '%.js' AND strlen(text) > 2000 AND long * 2 > least(strlen(text), 65536) THEN 'excluded|minified code'
       WHEN measured OR path LIKE 'src/src1/%' OR path LIKE 'src/src2/en/%' THEN 'included|discovered package source root' ELSE 'ambiguous|unclassified first-party source' END AS r,
       CASE WHEN path LIKE 'src/src2/en/%' THEN 'src/src2/en' WHEN path LIKE 'src/src2/%' THEN 'src/src2' END AS package_root FROM f)
-  SELECT file, string_split(r, '|')[1] AS status, string_split(r, '|')[2] AS reason, package_root FROM r WHERE file NOT IN (SELECT path FROM paths WHERE strlen(text) >= 65000)
-  UNION ALL SELECT path, NULL, NULL, NULL FROM paths WHERE FALSE""")
+  SELECT file, string_split(r, '|')[1] AS status, string_split(r, '|')[2] AS reason, package_root FROM r""")
 def scope_classification(m: Model):
     d = F.col("doc_id")
     files = m.paths.select(
@@ -246,11 +246,12 @@ def transport_diagnostics(m: Model):
 # --- validation -------------------------------------------------------------------
 
 @query("validate_runners", """
-  WITH s AS (SELECT DISTINCT run_id, runner FROM tests WHERE kind <> 'e2e'), d AS (SELECT DISTINCT run_id, runner FROM tests WHERE kind = 'unit')
+  WITH s AS (SELECT DISTINCT run_id, runner || role AS runner FROM tests WHERE kind <> 'e2e'), d AS (SELECT DISTINCT run_id, runner || role AS runner FROM tests WHERE kind = 'unit' OR role = 'background')
   SELECT run_id, 'undeclared runner' AS rule, runner AS key FROM s WHERE (run_id, runner) NOT IN (SELECT (run_id, runner) FROM d)
   UNION ALL SELECT run_id, 'unobserved runner', runner FROM d WHERE (run_id, runner) NOT IN (SELECT (run_id, runner) FROM s)""")
 def validate_runners(m: Model):
-    return validate.runners(m.tests.filter("kind <> 'e2e'"), m.tests.filter("kind = 'unit'"))
+    named = m.tests.withColumn("runner", F.concat("runner", "role"))
+    return validate.runners(named.filter("kind <> 'e2e'"), named.filter("kind = 'unit' or role = 'background'"))
 
 
 @query("validate_limitations", """
