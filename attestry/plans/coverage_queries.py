@@ -79,11 +79,7 @@ SUMMARY_ROW = f"coalesce(c.covered, 0) AS covered, t.total, {pct('coalesce(c.cov
 
 
 def evidence(m: Model):
-    """The six frames a summary takes, with the made outcome branches' hits."""
-    branches = coverage.with_outcome_branches(m.branches_, m.decisions_)
-    made = coverage.outcome_hits(m.vectors_, m.decisions_, m.branches_)
-    hits = m.all_hits.select("run_id", "test_id", "hit_id", "seq").unionByName(made)
-    return m.points, branches, m.decisions_, hits, m.vectors_
+    return m.evidence
 
 
 # --- views and attempts -------------------------------------------------------

@@ -16,7 +16,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.session import require_utc
+from attestry.operators import coverage
+from attestry.session import require_utc, stored
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -294,6 +295,14 @@ def oracle(body: str) -> str:
     return duckdb_dialect(f"WITH {recursive}" + ",\n".join(ctes))
 
 
+# Tables an ingest writes once: those that take a join or an aggregation to make.
+# The others are projections of the given tables and read them in every query.
+INGESTED = {
+    "run_files", "points", "alternatives", "decisions", "tests", "records", "phases", "windows", "served", "changed", "limitations",
+    "executions", "statement_answers", "runs",
+}
+
+
 class Model:
     """The model's tables as DataFrames, one lazily planned frame per name."""
 
@@ -311,7 +320,8 @@ class Model:
                 text = spark_dialect(VIEWS[name])
                 for other in needs:
                     text = re.sub(rf"\b(FROM|JOIN)(\s+){other}\b", rf"\1\2{{{other}}}", text)
-                self._frames[name] = self.spark.sql(text, **{other: self.table(other) for other in needs})
+                made = self.spark.sql(text, **{other: self.table(other) for other in needs})
+                self._frames[name] = stored(self.spark, self.sf_dir, name, lambda: made) if name in INGESTED else made
         return self._frames[name]
 
     __getattr__ = table
@@ -336,6 +346,16 @@ class Model:
     def all_hits(self) -> DataFrame:
         return self.table("hits").unionByName(self.table("branch_hits"))
 
+    @property
+    def evidence(self) -> tuple[DataFrame, ...]:
+        """Points, branches, decisions, hits and vectors as a summary takes them:
+        with the outcome branches decisions do not declare, and the hits their
+        vectors make on them."""
+        branches = stored(self.spark, self.sf_dir, "all_branches", lambda: coverage.with_outcome_branches(self.branches_, self.decisions_))
+        made = lambda: coverage.outcome_hits(self.vectors_, self.decisions_, self.branches_)
+        hits = stored(self.spark, self.sf_dir, "all_hits", lambda: self.all_hits.select("run_id", "test_id", "hit_id", "seq").unionByName(made()))
+        return self.points, branches, self.decisions_, hits, self.vectors_
+
     @property
     def tests_(self) -> DataFrame:
         """Tests with their tags split."""

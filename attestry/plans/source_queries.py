@@ -95,7 +95,7 @@ def tracefile(m: Model):
 O_HIT = "ht AS (SELECT h.run_id, p.file, p.line, p.kind FROM hits h JOIN points p ON p.run_id = h.run_id AND p.id = h.hit_id)"
 
 
-@query("lcov_lines", f"WITH {O_HIT}, d AS (SELECT run_id, file, line, CASE WHEN line % 7 = 0 THEN 1 ELSE count(*) END AS n FROM ht GROUP BY ALL) SELECT file, line, CAST(sum(n) AS BIGINT) AS count FROM d GROUP BY ALL")
+@query("lcov_lines", f"WITH {O_HIT}, d AS (SELECT run_id, file, line, CASE WHEN line % 7 = 0 THEN 1 ELSE count(*) END AS n FROM ht GROUP BY run_id, file, line) SELECT file, line, CAST(sum(n) AS BIGINT) AS count FROM d GROUP BY ALL")
 def lcov_lines(m: Model):
     return lcov.read_lines(tracefile(m))
 
@@ -310,8 +310,8 @@ def obligation_options(m: Model):
 
 
 @query("forced_tests", f"""{O_OPTIONS}, al AS (SELECT * FROM op UNION ALL SELECT * FROM oc),
-  n AS (SELECT run_id, metric, id, count(DISTINCT pair) AS p, count(DISTINCT (pair, side, test_id)) AS w, count(DISTINCT (pair, side)) AS s FROM al GROUP BY ALL)
-  SELECT al.run_id, al.test_id, count(DISTINCT (al.metric, al.id)) AS obligations FROM al JOIN n ON n.run_id = al.run_id AND n.metric = al.metric AND n.id = al.id WHERE n.p = 1 AND n.w = n.s GROUP BY ALL""")
+  n AS (SELECT run_id, metric, id, count(DISTINCT pair) AS p, count(DISTINCT pair || side || test_id) AS w, count(DISTINCT pair || side) AS s FROM al GROUP BY ALL)
+  SELECT al.run_id, al.test_id, count(DISTINCT al.metric || al.id) AS obligations FROM al JOIN n ON n.run_id = al.run_id AND n.metric = al.metric AND n.id = al.id WHERE n.p = 1 AND n.w = n.s GROUP BY ALL""")
 def forced_tests(m: Model):
     return minimize.forced_tests(choices(m))
 

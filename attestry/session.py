@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -39,15 +40,40 @@ def require_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees, as the cluster names it; a local one of
+    our own only where it names none, as in tests."""
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        current = context._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
+    """A table written once per application to the shared folder, then read.
+
+    Reading Parquet back prunes columns and pushes filters, and a lost executor
+    costs a re-read of its splits and no recomputation."""
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _stored:
+        place = hashlib.sha256(scope.encode()).hexdigest()[:12]
+        path = f"{shared_folder(spark)}/attestry-{key[0]}/{place}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session; a folder of our own is
     set only where it is unset, which is the case in local tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
