@@ -31,25 +31,63 @@ def observations(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """Each distinct vector of a decision once, at its first sighting.
 
     The partial aggregation before the shuffle leaves at most a handful of rows
-    per decision and task, whatever share of all vectors one decision holds.
+    per decision and task, whatever share of all vectors one decision holds. What
+    is left is put by decision, so all that is asked of a decision's vectors
+    afterwards happens where they are.
     """
     return (
-        vectors.withColumn("vector_key", vector_key(F.col("vals"), F.col("outcome")))
-        .groupBy(*keys, "decision_id", "vector_key")
+        vectors.groupBy(*keys, "decision_id", "vals", "outcome")
         .agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("sightings"))
-        .withColumn("_letters", F.substring_index("vector_key", ":", 1))
-        .withColumn("outcome", F.substring_index("vector_key", ":", -1) == "T")
-        .withColumn(
-            "vals",
-            F.transform(
-                F.filter(F.split("_letters", ""), lambda c: c != ""),
-                lambda c: F.when(c == "T", True).when(c == "F", False),
-            ),
-        )
-        .drop("_letters")
+        .withColumn("vector_key", vector_key(F.col("vals"), F.col("outcome")))
+        .repartition(*keys, "decision_id")
     )
 
 
+# Conditions are packed into longs, this many to each.
+WORD = 62
+
+
+def _words(observed: DataFrame, keys: list[str], widest: int) -> DataFrame:
+    """Observations as words: ``k<w>`` the conditions evaluated, ``v<w>`` those true."""
+    count = -(-widest // WORD)
+    too_wide = F.size("vals") > count * WORD
+    vals = F.when(too_wide, F.raise_error(F.lit(f"a decision has more than {count * WORD} conditions; pass a larger widest")).cast("array<boolean>")).otherwise(F.col("vals"))
+
+    def packed(wanted, prefix: str) -> list[Column]:
+        return [_word(vals, wanted, w).alias(f"{prefix}{w}") for w in range(count)]
+
+    return observed.select(
+        *keys, "decision_id", "outcome", "vector_key", *[c for c in ("seq", "rank") if c in observed.columns], F.size("vals").alias("n"),
+        *packed(lambda v: v.isNotNull(), "k"), *packed(lambda v: F.coalesce(v, F.lit(False)), "v"))
+
+
+def _word(vals: Column, wanted, index: int) -> Column:
+    bits = F.transform(
+        F.slice(vals, index * WORD + 1, WORD),
+        lambda v, i: F.when(wanted(v), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseOR(bit))
+
+
+def _bit(prefix: str, count: int) -> Column:
+    """Whether the bit of the row's ``condition`` is set in its words."""
+    place = (F.col("condition") % WORD).cast("int")
+    found = F.lit(None).cast("long")
+    for w in reversed(range(count)):
+        found = F.when(F.floor(F.col("condition") / WORD) == w, F.getbit(f"{prefix}{w}", place).cast("long")).otherwise(found)
+    return found == 1
+
+
+def _shared(count: int) -> list[Column]:
+    """The values both masks evaluated, the target's left out."""
+    place = (F.col("condition") % WORD).cast("int")
+    target = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    out = []
+    for w in range(count):
+        both = F.col(f"k{w}").bitwiseAND(F.col(f"o{w}")).bitwiseAND(F.col(f"v{w}"))
+        out.append(F.when(F.floor(F.col("condition") / WORD) == w, both.bitwiseAND(F.bitwise_not(target))).otherwise(both).alias(f"s{w}"))
+    return out
+
+
 def is_independence_pair(left: Column, left_outcome: Column, right: Column, right_outcome: Column, condition: Column) -> Column:
     """Outcomes and the target differ; every other condition agrees or was left
     unevaluated on a side. ``condition`` counts from zero."""
@@ -62,7 +100,15 @@ def is_independence_pair(left: Column, left_outcome: Column, right: Column, righ
     return F.coalesce(in_range & (left_outcome != right_outcome) & (differing == F.array(place)), F.lit(False))
 
 
-def witnesses(observed: DataFrame, keys: list[str]) -> DataFrame:
+def _against(words: DataFrame, others: DataFrame, decision: list[str], count: int) -> DataFrame:
+    """Words once per evaluation mask among the others, per condition both evaluate,
+    with the shared values."""
+    masks = others.select(*decision, *[F.col(f"k{w}").alias(f"o{w}") for w in range(count)]).distinct()
+    each = words.join(masks, decision).withColumn("condition", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return each.filter(_bit("k", count) & _bit("o", count)).select("*", *_shared(count), _bit("v", count).alias("target"))
+
+
+def witnesses(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
     """The first independence pair of each condition that has one.
 
     A pair exists where two vectors agree on the conditions both evaluated, so
@@ -70,45 +116,19 @@ def witnesses(observed: DataFrame, keys: list[str]) -> DataFrame:
     per condition, keyed by the values both masks share. Within such a group the
     earliest vector per side, target value and outcome decides the first pair:
     no two vectors are ever joined, and the cost is vectors x masks, not
-    vectors squared.
+    vectors squared. ``widest`` bounds a decision's conditions; wider ones fail.
     """
-    decision = [*keys, "decision_id"]
-    text = F.substring_index("vector_key", ":", 1)
-    seen = observed.select(
-        *decision, "outcome", F.struct("seq", "vector_key").alias("at"), text.alias("text"),
-        F.regexp_replace(F.regexp_replace(text, "[TF]", "1"), "-", "0").alias("mask"),
-    )
-    masks = seen.select(*decision, F.col("mask").alias("other")).distinct()
-    filed = (
-        seen.join(masks, decision)
-        .withColumn("condition", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
-        .filter(
-            (F.substring("mask", F.col("condition") + 1, F.lit(1)) == "1")
-            & (F.substring("other", F.col("condition") + 1, F.lit(1)) == "1")
-        )
-        .withColumn(
-            "shared",
-            F.array_join(
-                F.transform(
-                    F.sequence(F.lit(0), F.length("text") - 1),
-                    lambda i: F.when(i == F.col("condition"), "*")
-                    .when(F.substring("other", i + 1, F.lit(1)) == "1", F.substring("text", i + 1, F.lit(1)))
-                    .otherwise("-"),
-                ),
-                "",
-            ),
-        )
-        .withColumn("target", F.substring("text", F.col("condition") + 1, F.lit(1)) == "T")
-        .withColumn("low", F.least("mask", "other"))
-        .withColumn("high", F.greatest("mask", "other"))
-    )
-    on_low, on_high = F.col("mask") == F.col("low"), F.col("mask") == F.col("high")
+    decision, count = [*keys, "decision_id"], -(-widest // WORD)
+    seen = _words(observed, keys, widest)
+    own, other = F.struct(*[f"k{w}" for w in range(count)]), F.struct(*[F.col(f"o{w}").alias(f"k{w}") for w in range(count)])
+    filed = _against(seen, seen, decision, count).withColumn("at", F.struct("seq", "vector_key")).withColumn("low", F.least(own, other)).withColumn("high", F.greatest(own, other))
+    on_low, on_high = own == F.col("low"), own == F.col("high")
 
     def first(side: Column, target: bool, outcome: bool) -> Column:
         return F.min(F.when(side & (F.col("target") == target) & (F.col("outcome") == outcome), F.col("at")))
 
     combos = [(t, o) for t in (True, False) for o in (True, False)]
-    grouped = filed.groupBy(*decision, "condition", "low", "high", "shared").agg(
+    grouped = filed.groupBy(*decision, "condition", "low", "high", *[f"s{w}" for w in range(count)]).agg(
         *[first(on_low, t, o).alias(f"l{int(t)}{int(o)}") for t, o in combos],
         *[first(on_high, t, o).alias(f"h{int(t)}{int(o)}") for t, o in combos],
     )
@@ -121,7 +141,7 @@ def witnesses(observed: DataFrame, keys: list[str]) -> DataFrame:
         )
 
     return (
-        grouped.withColumn("pair", F.array_min(F.array_compact(F.array(*[pair(t, o) for t, o in combos]))))
+        grouped.withColumn("pair", F.least(*[pair(t, o) for t, o in combos]))
         .filter(F.col("pair").isNotNull())
         .groupBy(*decision, "condition")
         .agg(F.min("pair").alias("pair"))
@@ -133,61 +153,43 @@ def witnesses(observed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def independence_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def with_values(keyed: DataFrame) -> DataFrame:
+    """Vectors given by their key alone, with values and outcome read off it."""
+    text = F.filter(F.split(F.substring_index("vector_key", ":", 1), ""), lambda c: c != "")
+    return keyed.withColumn("vals", F.transform(text, lambda c: F.when(c == "T", True).when(c == "F", False))).withColumn(
+        "outcome", F.substring_index("vector_key", ":", -1) == "T")
+
+
+def independence_pairs(left: DataFrame, right: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
     """Every independence pair of a left and a right vector of one decision.
 
-    Both sides hold keys, decision_id, vector_key and ``rank``. Vectors meet by
-    equality on what both masks evaluate, so only pairs that hold are formed.
+    Both sides hold keys, decision_id, vals, outcome, vector_key and ``rank``.
+    Vectors meet by equality on what both masks evaluate, so only pairs that hold
+    are formed.
     """
-    decision = [*keys, "decision_id"]
-
-    def shaped(df: DataFrame) -> DataFrame:
-        text = F.substring_index("vector_key", ":", 1)
-        return df.select(
-            *decision, "vector_key", "rank", text.alias("text"), (F.substring_index("vector_key", ":", -1) == "T").alias("outcome"),
-            F.translate(text, "TF-", "110").alias("mask"))
-
-    one, two = shaped(left), shaped(right)
-
-    def filed(df: DataFrame, others: DataFrame, own: str, other: str, flip: bool) -> DataFrame:
-        masks = others.select(*decision, F.col("mask").alias("_other")).distinct()
-        rows = df.join(masks, decision).withColumn("condition", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
-        at = F.col("condition") + 1
-        both = rows.filter((F.substring("mask", at, F.lit(1)) == "1") & (F.substring("_other", at, F.lit(1)) == "1"))
-        shared = F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), F.length("text") - 1),
-                lambda i: F.when(i == F.col("condition"), "*").when(F.substring("_other", i + 1, F.lit(1)) == "1", F.substring("text", i + 1, F.lit(1))).otherwise("-"),
-            ), "")
-        target = F.substring("text", at, F.lit(1)) == "T"
-        return both.select(
-            *decision, "condition", F.col("mask").alias(own), F.col("_other").alias(other), shared.alias("shared"),
-            (~target if flip else target).alias("target"), (~F.col("outcome") if flip else F.col("outcome")).alias("outcome"),
-            F.col("vector_key").alias(f"{own}_vector"), F.col("rank").alias(f"{own}_rank"))
-
-    return filed(one, two, "left", "right", False).join(
-        filed(two, one, "right", "left", True), [*decision, "condition", "left", "right", "shared", "target", "outcome"]).select(
+    decision, count = [*keys, "decision_id"], -(-widest // WORD)
+    one, two = _words(left, keys, widest), _words(right, keys, widest)
+
+    def filed(words: DataFrame, others: DataFrame, side: str, own: str, other: str, flip: bool) -> DataFrame:
+        rows = _against(words, others, decision, count)
+        return rows.select(
+            *decision, "condition", *[F.col(f"k{w}").alias(f"{own}{w}") for w in range(count)], *[F.col(f"o{w}").alias(f"{other}{w}") for w in range(count)],
+            *[f"s{w}" for w in range(count)], (F.col("target") != flip).alias("target"), (F.col("outcome") != flip).alias("outcome"),
+            F.col("vector_key").alias(f"{side}_vector"), F.col("rank").alias(f"{side}_rank"))
+
+    on = [*decision, "condition", *[f"{side}{w}" for side in ("l", "r", "s") for w in range(count)], "target", "outcome"]
+    return filed(one, two, "left", "l", "r", False).join(filed(two, one, "right", "r", "l", True), on).select(
         *decision, "condition", "left_vector", "left_rank", "right_vector", "right_rank")
 
 
-def condition_outcomes(observed: DataFrame, keys: list[str]) -> DataFrame:
+def condition_outcomes(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
     """Per decision: how many of its outcomes and of its conditions' values were seen."""
-    signs = F.concat(_valued(F.col("vals")), F.array(F.when(F.col("outcome"), "outcome T").otherwise("outcome F")))
-    return (
-        observed.select(*keys, "decision_id", F.explode(signs).alias("sign")).distinct()
-        .groupBy(*keys, "decision_id")
-        .agg(
-            F.count_if(F.col("sign").startswith("outcome")).alias("outcomes_seen"),
-            F.count_if(~F.col("sign").startswith("outcome")).alias("condition_values_seen"),
-        )
-    )
-
-
-def _valued(vals: Column) -> Column:
-    """``1T``, ``2F``: the values a vector shows, by place."""
-    return F.array_compact(
-        F.transform(
-            vals,
-            lambda v, i: F.when(v.isNotNull(), F.concat((i + 1).cast("string"), F.when(v, "T").otherwise("F"))),
-        )
-    )
+    count = -(-widest // WORD)
+    words = _words(observed, keys, widest)
+    seen = [F.bit_or(f"v{w}").alias(f"t{w}") for w in range(count)] + [
+        F.bit_or(F.col(f"k{w}").bitwiseAND(F.bitwise_not(f"v{w}"))).alias(f"f{w}") for w in range(count)]
+    folded = words.groupBy(*keys, "decision_id").agg(
+        F.bool_or("outcome").alias("_true"), F.bool_or(~F.col("outcome")).alias("_false"), *seen)
+    values = sum((F.bit_count(f"{side}{w}") for side in ("t", "f") for w in range(count)), F.lit(0))
+    return folded.select(
+        *keys, "decision_id", (F.col("_true").cast("int") + F.col("_false").cast("int")).alias("outcomes_seen"), values.alias("condition_values_seen"))

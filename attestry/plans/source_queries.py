@@ -309,9 +309,10 @@ def obligation_options(m: Model):
     return choices(m)
 
 
-@query("forced_tests", f"""{O_OPTIONS}, al AS (SELECT * FROM op UNION ALL SELECT * FROM oc),
-  n AS (SELECT run_id, metric, id, count(DISTINCT pair) AS p, count(DISTINCT pair || side || test_id) AS w, count(DISTINCT pair || side) AS s FROM al GROUP BY ALL)
-  SELECT al.run_id, al.test_id, count(DISTINCT al.metric || al.id) AS obligations FROM al JOIN n ON n.run_id = al.run_id AND n.metric = al.metric AND n.id = al.id WHERE n.p = 1 AND n.w = n.s GROUP BY ALL""")
+@query("forced_tests", f"""{O_OPTIONS}, al AS MATERIALIZED (SELECT * FROM op UNION ALL SELECT * FROM oc),
+  sd AS MATERIALIZED (SELECT run_id, metric, id, pair, side, count(*) AS t FROM al GROUP BY ALL),
+  so AS MATERIALIZED (SELECT run_id || metric || id AS k FROM sd GROUP BY run_id, metric, id HAVING count(DISTINCT pair) = 1 AND max(t) = 1)
+  SELECT run_id, test_id, count(DISTINCT metric || id) AS obligations FROM al WHERE run_id || metric || id IN (SELECT k FROM so) GROUP BY run_id, test_id""")
 def forced_tests(m: Model):
     return minimize.forced_tests(choices(m))
 
