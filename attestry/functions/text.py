@@ -13,8 +13,9 @@ from attestry.functions.paths import extension_of, file_name, folder_of
 
 
 def holds_any(text: Column, parts: list[str]) -> Column:
-    """Whether the text holds one of the parts, as one pass over it."""
-    return text.rlike("|".join(re.escape(part) for part in parts))
+    """Whether the text holds one of the parts. Plain substring searches, which
+    stop at the first found, are several times an alternation's speed."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(part)) for part in parts])
 
 
 def is_comment(line: Column) -> Column:

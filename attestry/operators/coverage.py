@@ -182,7 +182,7 @@ def decision_results(decisions: DataFrame, vectors: DataFrame, keys: list[str])
     """Executed decisions with outcomes, condition values and MC/DC conditions shown."""
     whole = decisions.filter("not declined").select("run_id", F.col("id").alias("decision_id"), "file", "line", "col", "conditions")
     seen = mcdc.observations(vectors.join(whole.select("run_id", "decision_id"), ["run_id", "decision_id"], "left_semi"), keys)
-    shown = mcdc.witnesses(seen, keys).groupBy(*keys, "decision_id").agg(F.count(F.lit(1)).alias("covered_conditions"))
+    shown = mcdc.shown_conditions(seen, keys).groupBy(*keys, "decision_id").agg(F.count(F.lit(1)).alias("covered_conditions"))
     values = mcdc.condition_outcomes(seen, keys)
     return (
         values.join(shown, [*keys, "decision_id"], "left")

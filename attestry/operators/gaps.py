@@ -18,7 +18,7 @@ def uncovered_conditions(decisions: DataFrame, vectors: DataFrame, keys: list[st
     """Every measured condition with whether the evidence shows it deciding."""
     whole = decisions.filter("not declined").select("run_id", F.col("id").alias("decision_id"), "file", "line", "col", "conditions")
     seen = mcdc.observations(vectors.join(whole.select("run_id", "decision_id"), ["run_id", "decision_id"], "left_semi"), keys)
-    shown = mcdc.witnesses(seen, keys).select(*keys, "decision_id", "condition").withColumn("covered", F.lit(True))
+    shown = mcdc.shown_conditions(seen, keys).withColumn("covered", F.lit(True))
     every = whole.withColumn("condition", F.explode(F.sequence(F.lit(0), F.col("conditions") - 1)))
     if groups is not None:
         every = groups.join(every, "run_id")

@@ -9,7 +9,9 @@ test dimension when coverage is recomputed per group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -108,51 +110,68 @@ def _against(words: DataFrame, others: DataFrame, decision: list[str], count: in
     return each.filter(_bit("k", count) & _bit("o", count)).select("*", *_shared(count), _bit("v", count).alias("target"))
 
 
-def witnesses(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
-    """The first independence pair of each condition that has one.
+def _ranked(observed: DataFrame, keys: list[str]) -> DataFrame:
+    """Observations numbered within their decision by first sighting."""
+    return observed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "decision_id").orderBy("seq", "vector_key")))
+
+
+def _first_pairs(ranked: DataFrame, keys: list[str], widest: int) -> DataFrame:
+    """Per condition the ranks of its first independence pair, as one long.
 
     A pair exists where two vectors agree on the conditions both evaluated, so
     each vector is filed under every evaluation mask seen at its decision, once
     per condition, keyed by the values both masks share. Within such a group the
     earliest vector per side, target value and outcome decides the first pair:
     no two vectors are ever joined, and the cost is vectors x masks, not
-    vectors squared. ``widest`` bounds a decision's conditions; wider ones fail.
+    vectors squared. Ranks keep the aggregation buffers of fixed width.
     """
     decision, count = [*keys, "decision_id"], -(-widest // WORD)
-    seen = _words(observed, keys, widest)
-    own, other = F.struct(*[f"k{w}" for w in range(count)]), F.struct(*[F.col(f"o{w}").alias(f"k{w}") for w in range(count)])
-    filed = _against(seen, seen, decision, count).withColumn("at", F.struct("seq", "vector_key")).withColumn("low", F.least(own, other)).withColumn("high", F.greatest(own, other))
-    on_low, on_high = own == F.col("low"), own == F.col("high")
-
-    def first(side: Column, target: bool, outcome: bool) -> Column:
-        return F.min(F.when(side & (F.col("target") == target) & (F.col("outcome") == outcome), F.col("at")))
+    seen = _words(ranked, keys, widest).drop("vector_key")
+    filed = _against(seen, seen, decision, count)
+    own, other = [F.col(f"k{w}") for w in range(count)], [F.col(f"o{w}") for w in range(count)]
+    on_low = F.struct(*own) <= F.struct(*[c.alias(f"k{w}") for w, c in enumerate(other)])
+    same = reduce(lambda a, b: a & b, [a == b for a, b in zip(own, other)])
+    sided = filed.select(
+        *decision, "condition", "rank", "target", "outcome", *[f"s{w}" for w in range(count)], on_low.alias("_low"), (~on_low | same).alias("_high"),
+        *[F.when(on_low, a).otherwise(b).alias(f"lo{w}") for w, (a, b) in enumerate(zip(own, other))],
+        *[F.when(on_low, b).otherwise(a).alias(f"hi{w}") for w, (a, b) in enumerate(zip(own, other))])
+
+    def first(side: str, target: bool, outcome: bool) -> Column:
+        return F.min(F.when(F.col(side) & (F.col("target") == target) & (F.col("outcome") == outcome), F.col("rank")))
 
     combos = [(t, o) for t in (True, False) for o in (True, False)]
-    grouped = filed.groupBy(*decision, "condition", "low", "high", *[f"s{w}" for w in range(count)]).agg(
-        *[first(on_low, t, o).alias(f"l{int(t)}{int(o)}") for t, o in combos],
-        *[first(on_high, t, o).alias(f"h{int(t)}{int(o)}") for t, o in combos],
+    grouped = sided.groupBy(*decision, "condition", *[f"{p}{w}" for p in ("lo", "hi", "s") for w in range(count)]).agg(
+        *[first("_low", t, o).alias(f"l{int(t)}{int(o)}") for t, o in combos],
+        *[first("_high", t, o).alias(f"h{int(t)}{int(o)}") for t, o in combos],
     )
 
     def pair(t: bool, o: bool) -> Column:
         left, right = F.col(f"l{int(t)}{int(o)}"), F.col(f"h{int(not t)}{int(not o)}")
-        return F.when(
-            left.isNotNull() & right.isNotNull(),
-            F.struct(F.least(left, right).alias("first"), F.greatest(left, right).alias("second")),
-        )
+        both = F.least(left, right).cast("long") * F.lit(2**31) + F.greatest(left, right)
+        return F.when(left.isNotNull() & right.isNotNull(), both)
 
     return (
-        grouped.withColumn("pair", F.least(*[pair(t, o) for t, o in combos]))
-        .filter(F.col("pair").isNotNull())
-        .groupBy(*decision, "condition")
-        .agg(F.min("pair").alias("pair"))
-        .select(
-            *decision, "condition",
-            F.col("pair.first.seq").alias("first_seq"), F.col("pair.first.vector_key").alias("first_vector"),
-            F.col("pair.second.seq").alias("second_seq"), F.col("pair.second.vector_key").alias("second_vector"),
-        )
+        grouped.select(*decision, "condition", F.least(*[pair(t, o) for t, o in combos]).alias("pair"))
+        .filter(F.col("pair").isNotNull()).groupBy(*decision, "condition").agg(F.min("pair").alias("pair"))
     )
 
 
+def shown_conditions(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
+    """Conditions some independence pair shows deciding their decision."""
+    return _first_pairs(_ranked(observed, keys), keys, widest).drop("pair")
+
+
+def witnesses(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
+    """The first independence pair of each condition that has one. ``widest``
+    bounds a decision's conditions; wider ones fail."""
+    ranked, decision = _ranked(observed, keys), [*keys, "decision_id"]
+    pairs = _first_pairs(ranked, keys, widest).select(
+        *decision, "condition", F.floor(F.col("pair") / F.lit(2**31)).cast("int").alias("_one"), (F.col("pair") % F.lit(2**31)).cast("int").alias("_two"))
+    one = ranked.select(*decision, F.col("rank").alias("_one"), F.col("seq").alias("first_seq"), F.col("vector_key").alias("first_vector"))
+    two = ranked.select(*decision, F.col("rank").alias("_two"), F.col("seq").alias("second_seq"), F.col("vector_key").alias("second_vector"))
+    return pairs.join(one, [*decision, "_one"]).join(two, [*decision, "_two"]).drop("_one", "_two")
+
+
 def with_values(keyed: DataFrame) -> DataFrame:
     """Vectors given by their key alone, with values and outcome read off it."""
     text = F.filter(F.split(F.substring_index("vector_key", ":", 1), ""), lambda c: c != "")
