@@ -59,11 +59,12 @@ VIEWS: dict[str, str] = {
                      CASE WHEN p_partkey % 4 = 0 THEN 'logical-value' ELSE 'if' END AS kind,
                      s.file, s.line, s.col, EACH('true', 'false') AS label
               FROM sites s JOIN run_files r ON r.file = s.file) x""",
+    # A decision for every eight parts, at the place of the first of them.
     "decisions": """
-        SELECT r.run_id, concat('d', CAST(CAST(floor(p_partkey / 8) AS BIGINT) AS VARCHAR(20))) AS id,
-               CASE WHEN floor(p_partkey / 8) % 3 = 0 THEN 2 ELSE 3 END AS width,
-               s.file, s.line, s.col, s.source, floor(p_partkey / 8) % 31 = 0 AS declined
-        FROM sites s JOIN run_files r ON r.file = s.file WHERE p_partkey % 8 = 0""",
+        SELECT r.run_id, concat('d', CAST(g AS VARCHAR(20))) AS id, CASE WHEN g % 3 = 0 THEN 2 ELSE 3 END AS width,
+               s.file, s.line, s.col, s.source, g % 31 = 0 AS declined
+        FROM (SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS g, MIN(p_partkey) AS lead FROM sites GROUP BY CAST(floor(p_partkey / 8) AS BIGINT)) d
+        JOIN sites s ON s.p_partkey = d.lead JOIN run_files r ON r.file = s.file""",
     # Decisions whose two outcomes the manifest declares as a branch of their own.
     "outcome_alternatives": """
         SELECT run_id, concat(id, ':outcome') AS branch_id, 'if' AS kind,
