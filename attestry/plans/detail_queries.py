@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attestry.operators import compare_runs, coverage, detail, gaps, selection
 from attestry.operators.selection import TestFilter
 from attestry.plans.catalog import query
-from attestry.plans.coverage_queries import BASE, O_KEY, O_STATES, SUMMARY_ROW, evidence, o_counts, o_totals
+from attestry.plans.coverage_queries import BASE, O_STATES, SUMMARY_ROW, evidence, o_counts, o_totals
 from attestry.plans.model import Model
 
 OLD, NEW = "run_A1996", "run_N1996"
@@ -28,9 +28,6 @@ def line_first_tests(m: Model):
     return detail.line_tests(m.points, m.hits, m.tests, first=3).select("run_id", "file", "line", "test_id", "place")
 
 
-O_WIDE_LIM = "kind = 'source-scope' AND (coalesce(source, '') = '' OR source = file)"
-
-
 @query("line_limitations", f"""
   WITH w AS (SELECT DISTINCT run_id, file, line FROM points)
   SELECT w.run_id, w.file, w.line, l.id FROM w JOIN limitations l ON l.run_id = w.run_id AND l.file = w.file

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attestry import schemas
 from attestry.operators import coverage, gaps, minimize
 from attestry.plans.catalog import query
-from attestry.plans.coverage_queries import BASE, O_KEY, O_STATES, evidence, o_counts, o_totals
+from attestry.plans.coverage_queries import BASE, O_KEY, O_STATES, evidence, o_totals
 from attestry.plans.model import Model
 from attestry.sources import evidence as scans
 from attestry.sources import exports, lcov
