@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attestry.llm.common import table
+from attestry.llm.convnet import op8_quality
 from attestry.llm.interleave import op5_interleave
 
 
@@ -17,5 +18,6 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_interleave": over("documents", op5_interleave),
+    "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}
