@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from attestry.llm.common import table
 from attestry.llm.convnet import op8_quality
 from attestry.llm.interleave import op5_interleave
+from attestry.llm.licences import ORACLE as LICENCES_SQL
+from attestry.llm.licences import op6_licences
 
 
 def over(name: str, operator: Callable[[DataFrame], DataFrame]):
@@ -18,6 +20,9 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_interleave": over("documents", op5_interleave),
+    "op6_licences": op6_licences,
     "op8_quality": op8_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_licences": LICENCES_SQL,
+}
