@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from attestry.session import shared_folder
 
@@ -37,6 +38,11 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_fields(schema: StructType, **kinds) -> StructType:
+    """The schema with more fields behind it; the given one stays as it is."""
+    return StructType([*schema.fields, *(StructField(name, kind) for name, kind in kinds.items())])
+
+
 def parts_for(amount: float, each: float, least: int = 1) -> int:
     """Partitions that hold about ``each`` of ``amount``: they grow with the data."""
     return max(least, math.ceil(amount / each))

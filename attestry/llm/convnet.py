@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from attestry.llm.common import flat, held_out, passes, table, text_of
+from attestry.llm.common import flat, held_out, passes, table, text_of, with_fields
 
 SAMPLE_ROWS = 4800
 SAMPLE_BYTES = 32_768
@@ -180,7 +181,7 @@ def score_documents(docs: DataFrame, net: Net) -> DataFrame:
             data, offsets = flat(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(net, data, offsets))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, with_fields(docs.schema, score=DoubleType()))
 
 
 def quality_net(docs: DataFrame, labels: DataFrame) -> Net:

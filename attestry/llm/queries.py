@@ -12,6 +12,9 @@ from attestry.llm.interleave import op5_interleave
 from attestry.llm.licences import ORACLE as LICENCES_SQL
 from attestry.llm.licences import op6_licences
 
+from attestry.llm.topk import ORACLE as TOPK_SQL
+from attestry.llm.topk import op4_topk
+
 
 def over(name: str, operator: Callable[[DataFrame], DataFrame]):
     """A query that applies an operator to one whole table."""
@@ -19,10 +22,12 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_topk": over("embeddings", op4_topk),
     "op5_interleave": over("documents", op5_interleave),
     "op6_licences": op6_licences,
     "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {
+    "op4_topk": TOPK_SQL,
     "op6_licences": LICENCES_SQL,
 }
