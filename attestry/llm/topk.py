@@ -167,7 +167,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     blocks = written(blocks, "blocks")
     # Only the blocks' keys are repeated for each part of the queries; what a whole part
     # can prove to be too short is dropped before any vector moves.
-    heads = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("_part"), "_bucket", "_block", "reach")
+    heads = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), "_bucket", "_block", "reach")
     meeting = asked.join(heads, ["dim", "_part"]).where(F.col("reach") * (1 + SLACK) >= F.col("needed")).select("dim", "_bucket", "_block", "asked")
     pairs = meeting.join(blocks.drop("reach"), ["dim", "_bucket", "_block"]).select("asked", "vectors")
 
