@@ -12,6 +12,7 @@ from attestry.llm.interleave import op5_interleave
 from attestry.llm.licences import ORACLE as LICENCES_SQL
 from attestry.llm.licences import op6_licences
 
+from attestry.llm.pieces import op9_pieces
 from attestry.llm.topk import ORACLE as TOPK_SQL
 from attestry.llm.topk import op4_topk
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_interleave": over("documents", op5_interleave),
     "op6_licences": op6_licences,
     "op8_quality": op8_quality,
+    "op9_pieces": over("documents", op9_pieces),
 }
 ORACLES: dict[str, str] = {
     "op4_topk": TOPK_SQL,
