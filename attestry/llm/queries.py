@@ -13,6 +13,7 @@ from attestry.llm.licences import ORACLE as LICENCES_SQL
 from attestry.llm.licences import op6_licences
 
 from attestry.llm.pieces import op9_pieces
+from attestry.llm.simhash import op7_simhash
 from attestry.llm.topk import ORACLE as TOPK_SQL
 from attestry.llm.topk import op4_topk
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": over("embeddings", op4_topk),
     "op5_interleave": over("documents", op5_interleave),
     "op6_licences": op6_licences,
+    "op7_simhash": over("documents", op7_simhash),
     "op8_quality": op8_quality,
     "op9_pieces": over("documents", op9_pieces),
 }
