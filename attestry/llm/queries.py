@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestry.llm.common import table
 from attestry.llm.convnet import op8_quality
+from attestry.llm.decontaminate import op3_decontaminate
 from attestry.llm.interleave import op5_interleave
 from attestry.llm.licences import ORACLE as LICENCES_SQL
 from attestry.llm.licences import op6_licences
@@ -24,6 +25,7 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_topk": over("embeddings", op4_topk),
     "op5_interleave": over("documents", op5_interleave),
     "op6_licences": op6_licences,
