@@ -13,6 +13,7 @@ from attestry.llm.interleave import op5_interleave
 from attestry.llm.licences import ORACLE as LICENCES_SQL
 from attestry.llm.licences import op6_licences
 
+from attestry.llm.linededup import op2_lines
 from attestry.llm.pieces import op9_pieces
 from attestry.llm.simhash import op7_simhash
 from attestry.llm.topk import ORACLE as TOPK_SQL
@@ -25,6 +26,7 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lines": over("documents", op2_lines),
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": over("embeddings", op4_topk),
     "op5_interleave": over("documents", op5_interleave),
