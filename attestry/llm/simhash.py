@@ -31,9 +31,9 @@ from attestry.llm.common import flat, lowered, parts_for, passes, words, written
 from attestry.llm.components import components
 
 SAMPLE = 16_384
-LEAF = 1024
+LEAF = 2048
 MOST_LEAVES = 4096
-CELL = 4096
+CELL = 16_384
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -152,23 +152,23 @@ def route(node: Tree, points: np.ndarray, home: bool, out: list[tuple[int, bool,
 def forest(one: np.ndarray, one_home: np.ndarray, other: np.ndarray | None, other_home: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two chunks (or within one) as a spanning forest: members and the
     first member of their component. Two visitors need no comparing."""
-    points = one if other is None else np.concatenate([one, other])
-    homes = one_home if other is None else np.concatenate([one_home, other_home])
+    if other is None:  # residents first: only they are compared with what follows
+        order = np.argsort(~one_home, kind="stable")
+        points, homes, compared = one[order], one_home[order], int(one_home.sum())
+    else:
+        points, homes, compared = np.concatenate([one, other]), np.concatenate([one_home, other_home]), len(one)
     label = np.arange(len(points))
-    low = 0 if other is None else len(one)
-    for a in range(0, len(one), 128):
-        rows = points[a : a + 128] if other is None else one[a : a + 128]
-        begin = a if other is None else low
-        close = np.bitwise_count(rows[:, None] ^ points[None, begin:]) <= bits
-        close &= homes[a : a + len(rows), None] | homes[None, begin:]
-        for i in np.flatnonzero(close.sum(axis=1) > (1 if other is None else 0)) if other is None else np.flatnonzero(close.any(axis=1)):
+    for a in range(0, compared, 128):
+        z = min(a + 128, compared)
+        begin = a if other is None else len(one)
+        close = np.bitwise_count(points[a:z, None] ^ points[None, begin:]) <= bits
+        close &= homes[a:z, None] | homes[None, begin:]
+        for i in np.flatnonzero(close.sum(axis=1) > (other is None)):
             touched = label[begin + np.flatnonzero(close[i])]
             least = min(int(touched.min()), int(label[a + i]))
-            stale = np.unique(touched[touched != least])
-            if label[a + i] != least:
-                stale = np.append(stale, label[a + i])
-            for s in stale:
-                label[label == s] = least
+            for stale in np.unique(np.append(touched, label[a + i])):
+                if stale != least:
+                    label[label == stale] = least
     moved = np.flatnonzero(label != np.arange(len(points)))
     return points[moved], points[label[moved]]
 
