@@ -15,6 +15,7 @@ from attestry.llm.licences import op6_licences
 
 from attestry.llm.linededup import op2_lines
 from attestry.llm.pieces import op9_pieces
+from attestry.llm.pitmanyor import op1_language_model
 from attestry.llm.simhash import op7_simhash
 from attestry.llm.topk import ORACLE as TOPK_SQL
 from attestry.llm.topk import op4_topk
@@ -26,6 +27,7 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_model": over("documents", op1_language_model),
     "op2_lines": over("documents", op2_lines),
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": over("embeddings", op4_topk),
