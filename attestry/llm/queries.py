@@ -17,6 +17,7 @@ from attestry.llm.linededup import op2_lines
 from attestry.llm.pieces import op9_pieces
 from attestry.llm.pitmanyor import op1_language_model
 from attestry.llm.simhash import op7_simhash
+from attestry.llm.suffixes import op10_repeats
 from attestry.llm.topk import ORACLE as TOPK_SQL
 from attestry.llm.topk import op4_topk
 
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": over("documents", op7_simhash),
     "op8_quality": op8_quality,
     "op9_pieces": over("documents", op9_pieces),
+    "op10_repeats": over("documents", op10_repeats),
 }
 ORACLES: dict[str, str] = {
     "op4_topk": TOPK_SQL,
