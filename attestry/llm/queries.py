@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from attestry.llm.common import table
 from attestry.llm.convnet import op8_quality
 from attestry.llm.decontaminate import op3_decontaminate
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pieces": over("documents", op9_pieces),
     "op10_repeats": over("documents", op10_repeats),
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op4_topk": TOPK_SQL,
