@@ -1,11 +1,12 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's signature has ``BANDS * ROWS`` minima of its hashed character shingles, each under another
-permutation (the hash, exclusive-or a constant). Lines that agree on all rows of a band are
+A line's shingles are the ``SHINGLE`` characters from every word's start on (in scripts without blanks from
+every character). Its signature has ``BANDS * ROWS`` minima of their hashes, each under another
+permutation (the hash with its bits turned round and some flipped). Lines that agree on all rows of a band are
 candidates: at the threshold of 0.8 a pair meets with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.99.
 
 A bucket of a band never puts out all its pairs. Each member is verified against the bucket's smallest
-line by exact Jaccard similarity of all shingles; those that pass are in one component already. Only those
+line by exact Jaccard similarity of their shingles; those that pass are in one component already. Only those
 that fail are verified against the other members, so no link between components is lost, and a
 bucket of thousands of likes costs one row each. Links become components by a distributed union-find, and
 of each component the first line by (doc_id, line number) stays.
@@ -24,11 +25,16 @@ from pyspark.sql import functions as F
 from attestry.llm.common import text_of, written
 from attestry.llm.components import components
 
-SHINGLE = 9
-BANDS, ROWS = 7, 3
+SHINGLE = 12
+BANDS, ROWS = 9, 3
 THRESHOLD = 0.8
-#: Characters of a line that are cut into shingles at a time, and long lines' first cut.
-PIECE, LONG = 32, 8192
+#: Of all minima, how many a candidate pair must share to be verified: a pair at the
+#: threshold shares fewer once in a thousand times.
+AGREEING = 13
+#: Scripts written without blanks: every character of them starts a shingle.
+WIDE = r"\u0E00-\u0EFF\u1000-\u11FF\u1780-\u17FF\u2E80-\uD7FF\uF900-\uFAFF"
+#: A shingle starts where a word does, or, in longer runs, after each 24 characters.
+SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:[{WIDE}]|[^\s{WIDE}]{{1,24}})"
 
 
 def _seeds(count: int, seed: int = 20_011) -> list[int]:
@@ -49,42 +55,28 @@ def said() -> Column:
     return F.length(F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))) > 0
 
 
-def _windows(line: Column) -> Column:
-    """Overlapping stretches of long lines, so that cutting stays linear; short lines whole."""
-    cut = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{1,{LONG + SHINGLE - 1}}})).{{1,{LONG}}}"), F.lit(1))
-    return F.when(F.length(line) > LONG, cut).otherwise(F.array(line))
+def shingles(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
 
 
-def _piece(window: Column, start: Column) -> Column:
-    return F.substring(window, start, F.lit(PIECE + SHINGLE - 1))
-
-
-def _starts(window: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(window) - (SHINGLE - 1)), F.lit(PIECE))
-
-
-def _places(piece: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - (SHINGLE - 1)))
-
-
-def _shingle(piece: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(piece, place, F.lit(SHINGLE)))
+def permuted(h: Column, number: int, seed: int) -> Column:
+    """One of several bijections of 64-bit values: bits turned round, then flipped."""
+    turn = 1 + 2 * number
+    turned = F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn))
+    return turned.bitwiseXOR(F.lit(seed))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...): minima of the shingles' hashes, each distinct line once."""
-    windows = lines.where(said()).select("id", F.explode(_windows(F.col("line"))).alias("w"))
-    pieces = windows.select("id", "w", F.explode(_starts(F.col("w"))).alias("s")).select("id", _piece(F.col("w"), F.col("s")).alias("p"))
-    hashes = pieces.select("id", "p", F.explode(_places(F.col("p"))).alias("i")).select("id", _shingle(F.col("p"), F.col("i")).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(seed))).alias(f"m{j}") for j, seed in enumerate(_seeds(BANDS * ROWS))]
-    return hashes.groupBy("id").agg(*minima)
+    """(id, m0, m1, ...): minima of the shingles' hashes, each distinct line once. Two
+    minima are taken for equal by their upper 32 bits."""
+    hashes = lines.where(said()).select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    minima = [F.min(permuted(F.col("h"), j, seed)).alias(f"m{j}") for j, seed in enumerate(_seeds(BANDS * ROWS))]
+    found = hashes.groupBy("id").agg(*minima)
+    return found.select("id", *[F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(BANDS * ROWS)])
 
 
 def shingle_set(line: Column) -> Column:
-    """All shingles of a line, hashed, each once: the last window's end and short lines included."""
-    places = lambda piece: F.transform(_places(piece), lambda i: _shingle(piece, i))
-    cut = lambda w: F.flatten(F.transform(F.transform(_starts(w), lambda s: _piece(w, s)), places))
-    return F.array_distinct(F.flatten(F.transform(_windows(line), cut)))
+    return F.array_distinct(shingles(line))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -93,29 +85,41 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) with whether their similarity reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id", "line"]).dropDuplicates(["id"]), "lines")
+    """The pairs (a, b), with the minima of both as p and q, and whether their similarity reaches
+    the threshold. Pairs whose minima say that they are far off are not looked at."""
+    shared = sum((F.col("p")[j] == F.col("q")[j]).cast("int") for j in range(BANDS * ROWS))
+    likely = pairs.select("a", "b", (shared >= AGREEING).alias("likely"))
+    likely = written(likely, "likely")
+    close = likely.where("likely")
+    ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
+    texts = written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "lines")
     a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
-    return both.select("a", "b", (jaccard(F.col("x"), F.col("y")) >= THRESHOLD).alias("near"))
+    both = close.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
+    looked = both.select("a", "b", (jaccard(F.col("x"), F.col("y")) >= THRESHOLD).alias("near"))
+    return looked.unionByName(likely.where(~F.col("likely")).select("a", "b", F.lit(False).alias("near")))
 
 
 def line_components(lines: DataFrame) -> DataFrame:
     """(id, component) of lines that are linked to a different line."""
-    keyed = signatures(lines)
+    keyed = written(signatures(lines), "signatures")
     bands = [F.xxhash64(F.lit(band), *[F.col(f"m{band * ROWS + row}") for row in range(ROWS)]) for band in range(BANDS)]
-    banded = written(keyed.select("id", F.explode(F.array(*bands)).alias("band")), "bands")
+    banded = keyed.select("id", F.explode(F.array(*bands)).alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head")).where(F.col("n") > 1).drop("n")
     members = written(banded.join(buckets, "band").where(F.col("id") != F.col("head")), "members")
+    minima = keyed.select("id", F.array(*[F.col(f"m{j}") for j in range(BANDS * ROWS)]).alias("minima"))
+
+    def signed(pairs: DataFrame) -> DataFrame:
+        p, q = minima.select(F.col("id").alias("a"), F.col("minima").alias("p")), minima.select(F.col("id").alias("b"), F.col("minima").alias("q"))
+        return pairs.join(p, "a").join(q, "b")
+
     star = members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    checked = written(verified(star, lines), "checked")
+    checked = written(verified(signed(star), lines), "checked")
     failing = members.join(checked.where(~F.col("near")).select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_semi")
     others = members.select("band", F.col("id").alias("other"))
     # Whoever failed meets every other member of its bucket; the rest are linked through its head.
     left = failing.join(others, "band").where(F.col("id") != F.col("other"))
     left = left.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    links = checked.where("near").select("a", "b").unionByName(verified(written(left, "left"), lines).where("near").select("a", "b"))
+    links = checked.where("near").select("a", "b").unionByName(verified(signed(left), lines).where("near").select("a", "b"))
     return components(links, name="lines").withColumnRenamed("node", "id")
 
 
