@@ -144,15 +144,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     answered alike. Lines without anything but white space stay. A null text stays null, with no lines; an
     empty table gives no rows; columns other than doc_id and text are handed on."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    removed = removed_lines(docs)
-    rows = docs.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("_key")).join(removed.withColumnRenamed("key", "_key"), "_key", "left")
-    lines = F.split("text", "\n")
+    # The row travels as one value, so its columns can have any names.
+    keyed = docs.select(F.struct(*columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("key"))
+    rows = keyed.join(removed_lines(docs), "key", "left")
+    text = F.col("row")["text"]
+    lines = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     left = F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
+    whole = F.col("removed").isNull() | text.isNull()
     return rows.select(
-        *[F.when(F.col("removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in columns],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col("text").isNull() | F.col("removed").isNull(), F.lit(0)).otherwise(F.size("removed")).alias("n_removed"),
+        *[F.when(whole, text).otherwise(left).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns],
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(whole, F.lit(0)).otherwise(F.size("removed")).alias("n_removed"),
     )
 
 
