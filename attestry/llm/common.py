@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -30,6 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of results that are written and no
+    longer held: it learns of them only when both garbage collectors have run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a written() table that nothing reads any more."""
     spark = df.sparkSession

@@ -3,7 +3,7 @@
 A string of ``LENGTH`` bytes is represented by the suffix that starts at its minimiser: of all ``HEAD``-byte heads
 inside it, the one with the smallest hash, the first of several. Equal strings choose the same suffix, and
 neighbouring strings mostly share theirs, so a text is cut into stretches of strings that share a suffix, about
-one for 39 bytes. These sampled suffixes, sorted by their heads (in the order of the heads' hashes,
+one for 35 bytes. These sampled suffixes, sorted by their heads (in the order of the heads' hashes,
 since only equality counts), are the sparse suffix array of a batch of documents.
 
 Suffix arrays are dealt to shards by head. In each shard arrives one sorted array for each batch; it
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import flat, mixed, parts_for, prefix_hashes, span_hashes, text_of, written
+from attestry.llm.common import flat, mixed, parts_for, prefix_hashes, release_shuffles, span_hashes, text_of, written
 
-LENGTH, HEAD = 100, 24
+LENGTH, HEAD = 100, 32
 #: Bytes that one numpy pass works on; longer texts are cut there, with the strings across the cut.
 PIECE = 1 << 18
 #: Bytes of text for each shard of the index, and of the comparison of strings.
@@ -104,7 +104,7 @@ def changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-FIELDS = ("head", "content", "doc", "key", "start", "n", "several")
+FIELDS = ("head", "content", "doc", "tie", "start", "n", "several")
 
 
 class Family:
@@ -117,7 +117,7 @@ class Family:
 
     def tell(self, to: list[np.ndarray], rows: dict[str, np.ndarray], which: np.ndarray) -> None:
         if which.any():
-            to.append(np.stack([rows["key"][which], rows["start"][which], rows["n"][which]]))
+            to.append(np.stack([rows["doc"][which], rows["tie"][which], rows["start"][which], rows["n"][which]]))
 
     def add(self, batch: dict[str, np.ndarray]) -> None:
         """Scan a sorted batch against every level, then make it one."""
@@ -144,19 +144,19 @@ class Family:
         level["several"][at[several]] = True
         batch["several"][new[several]] = True
         a, b = at[~several], new[~several]
-        later = (batch["doc"][b] > level["doc"][a]) | (batch["doc"][b] == level["doc"][a]) & ((batch["key"][b] > level["key"][a]) | (batch["key"][b] == level["key"][a]) & (batch["start"][b] >= level["start"][a]))
-        same = (batch["key"][b] == level["key"][a]) & (batch["start"][b] == level["start"][a]) & (batch["doc"][b] == level["doc"][a])
+        later = (batch["doc"][b] > level["doc"][a]) | (batch["doc"][b] == level["doc"][a]) & ((batch["tie"][b] > level["tie"][a]) | (batch["tie"][b] == level["tie"][a]) & (batch["start"][b] >= level["start"][a]))
+        same = (batch["tie"][b] == level["tie"][a]) & (batch["start"][b] == level["start"][a]) & (batch["doc"][b] == level["doc"][a])
         self.tell(self.marks, batch, np.isin(np.arange(len(batch["head"])), b[later & ~same]))
         self.tell(self.marks, level, np.isin(np.arange(len(level["head"])), a[~later]))
-        for name in ("doc", "key", "start", "n"):
+        for name in ("doc", "tie", "start", "n"):
             level[name][a[~later]] = batch[name][b[~later]]
             batch[name][b[later]] = level[name][a[later]]
 
 
-PACKED = "shard int, head binary, content binary, doc binary, key binary, start binary, n binary, several binary, told binary"
-ARROW_PACKED = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("head", "content", "doc", "key", "start", "n", "several", "told")]])
-FOUND = "kind byte, key long, start int, n int"
-ARROW_FOUND = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+PACKED = "shard int, head binary, content binary, doc binary, tie binary, start binary, n binary, several binary, told binary"
+ARROW_PACKED = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("head", "content", "doc", "tie", "start", "n", "several", "told")]])
+FOUND = "kind byte, doc long, tie int, start int, n int"
+ARROW_FOUND = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def batch_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]]:
@@ -164,22 +164,22 @@ def batch_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]
     data, offsets = flat(batch.column("text"))
     rows = stretches(data, offsets)
     doc = batch.column("doc").to_numpy(zero_copy_only=False)[rows["row"]]
-    key = batch.column("key").to_numpy(zero_copy_only=False)[rows["row"]]
-    order = order_of(rows["head"], rows["content"], doc, key, rows["start"])
+    tie = batch.column("tie").to_numpy(zero_copy_only=False)[rows["row"]]
+    order = order_of(rows["head"], rows["content"], doc, tie, rows["start"])
     head, content, start, n = (rows[name][order] for name in ("head", "content", "start", "n"))
-    doc, key = doc[order], key[order]
+    doc, tie = doc[order], tie[order]
     lead = changes(head, content)
     leader = np.maximum.accumulate(np.where(lead, np.arange(len(head)), 0))
     # The same place of the same document, read twice, is no repeat.
-    repeat = ~lead & ~((doc == doc[leader]) & (key == key[leader]) & (start == start[leader]))
-    told = [np.stack([np.full(int(repeat.sum()), MARK), key[repeat], start[repeat], n[repeat]])]
-    head, content, start, n, doc, key = (values[lead] for values in (head, content, start, n, doc, key))
+    repeat = ~lead & ~((doc == doc[leader]) & (tie == tie[leader]) & (start == start[leader]))
+    told = [np.stack([np.full(int(repeat.sum()), MARK), doc[repeat], tie[repeat], start[repeat], n[repeat]])]
+    head, content, start, n, doc, tie = (values[lead] for values in (head, content, start, n, doc, tie))
     new = changes(head)
     group = np.cumsum(new) - 1
     several = np.bincount(group, minlength=int(new.sum()))[group] > 1 if len(group) else np.zeros(0, bool)
-    told.append(np.stack([np.full(int(several.sum()), ASK), key[several], start[several], n[several]]))
+    told.append(np.stack([np.full(int(several.sum()), ASK), doc[several], tie[several], start[several], n[several]]))
     told = np.concatenate(told, axis=1).astype(np.int64)
-    head, content, start, n, doc, key, several = (values[new] for values in (head, content, start, n, doc, key, several))
+    head, content, start, n, doc, tie, several = (values[new] for values in (head, content, start, n, doc, tie, several))
     shard = (head % np.uint64(shards)).astype(np.int64)
     where = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[where], np.arange(shards + 1))
@@ -189,7 +189,7 @@ def batch_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]
         part = told[:, spread[s] : spread[s + 1]]
         if len(own) or part.shape[1]:
             yield {
-                "shard": s, "head": head[own].tobytes(), "content": content[own].tobytes(), "doc": doc[own].astype(np.int64).tobytes(), "key": key[own].astype(np.int64).tobytes(),
+                "shard": s, "head": head[own].tobytes(), "content": content[own].tobytes(), "doc": doc[own].astype(np.int64).tobytes(), "tie": tie[own].astype(np.int32).tobytes(),
                 "start": start[own].astype(np.int32).tobytes(), "n": n[own].astype(np.uint8).tobytes(), "several": several[own].tobytes(), "told": np.ascontiguousarray(part).tobytes(),
             }
 
@@ -199,15 +199,15 @@ def found_table(parts: list[tuple[int, np.ndarray]]) -> pa.Table:
         return pa.Table.from_pydict({name: [] for name in ARROW_FOUND.names}, schema=ARROW_FOUND)
     kind = np.concatenate([np.full(p.shape[1], k, np.int8) for k, p in parts])
     rows = np.concatenate([p.astype(np.int64) for _, p in parts], axis=1)
-    return pa.table([pa.array(kind), pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32))], schema=ARROW_FOUND)
+    return pa.table([pa.array(kind), pa.array(rows[0]), *(pa.array(rows[i].astype(np.int32)) for i in (1, 2, 3))], schema=ARROW_FOUND)
 
 
 def scan_shard(table: pa.Table) -> pa.Table:
     family, parts = Family(), []
-    kinds = {"head": np.uint64, "content": np.uint64, "doc": np.int64, "key": np.int64, "start": np.int32, "n": np.uint8, "several": bool}
+    kinds = {"head": np.uint64, "content": np.uint64, "doc": np.int64, "tie": np.int32, "start": np.int32, "n": np.uint8, "several": bool}
     columns = {name: table.column(name) for name in table.column_names}
     for i in range(table.num_rows):
-        told = np.frombuffer(columns["told"][i].as_py(), np.int64).reshape(4, -1)
+        told = np.frombuffer(columns["told"][i].as_py(), np.int64).reshape(5, -1)
         parts += [(kind, told[1:, told[0] == kind]) for kind in (MARK, ASK)]
         batch = {name: np.frombuffer(columns[name][i].as_py(), kind).copy() for name, kind in kinds.items()}
         if len(batch["head"]):
@@ -216,30 +216,30 @@ def scan_shard(table: pa.Table) -> pa.Table:
     return found_table(parts)
 
 
-def joined_spans(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(key, start, n) of runs of neighbouring strings."""
-    order = order_of(keys, starts)
-    keys, starts = keys[order], starts[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + 1)
+def joined_spans(docs: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(doc, tie, start, n) of runs of neighbouring strings."""
+    order = order_of(docs, ties, starts)
+    docs, ties, starts = docs[order].astype(np.int64), ties[order].astype(np.int64), starts[order].astype(np.int64)
+    new = changes(docs, ties)
+    new[1:] |= starts[1:] > starts[:-1] + 1
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(keys)) - 1
-    return np.stack([keys[first], starts[first], starts[last] - starts[first] + 1]) if len(first) else np.zeros((3, 0), np.int64)
+    last = np.append(first[1:], len(docs)) - 1
+    return np.stack([docs[first], ties[first], starts[first], starts[last] - starts[first] + 1]) if len(first) else np.zeros((4, 0), np.int64)
 
 
-def later_strings(string: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def later_strings(string: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorting order by string and place, and in that order which ones an earlier place has too."""
-    order = order_of(string, doc, key, start)
+    order = order_of(string, doc, tie, start)
     lead = changes(string[order])
     leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-    again = ~lead & ~((doc[order] == doc[leader]) & (key[order] == key[leader]) & (start[order] == start[leader]))
+    again = ~lead & ~((doc[order] == doc[leader]) & (tie[order] == tie[leader]) & (start[order] == start[leader]))
     return order, again
 
 
 def string_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]]:
     """Hashes of all strings that a batch's texts are asked for, packed by shard."""
     data, offsets = flat(batch.column("text"))
-    docs, keys = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
+    docs, ties = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False)
     strings, rows, starts = [], [], []
     for row, asked in enumerate(batch.column("asked").to_pylist()):
         at = np.unique(np.concatenate([np.arange(a["start"], a["start"] + a["n"]) for a in asked]))
@@ -254,29 +254,33 @@ def string_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object
     if not strings:
         return
     string, row, start = np.concatenate(strings), np.concatenate(rows), np.concatenate(starts)
-    order, again = later_strings(string, docs[row], keys[row], start)
+    order, again = later_strings(string, docs[row], ties[row], start)
     late, first = order[again], order[changes(string[order])]
-    told = joined_spans(keys[row[late]], start[late])
+    told = joined_spans(docs[row[late]], ties[row[late]], start[late])
     shard = (string[first] % np.uint64(shards)).astype(np.int64)
-    where = first[np.argsort(shard, kind="stable")]
+    where = first[np.lexsort((start[first], row[first], shard))]
     bounds = np.searchsorted(np.sort(shard), np.arange(shards + 1))
     spread = np.linspace(0, told.shape[1], shards + 1).astype(int)
     for s in range(shards):
         own, part = where[bounds[s] : bounds[s + 1]], told[:, spread[s] : spread[s + 1]]
         if len(own) or part.shape[1]:
-            yield {"shard": s, "string": string[own].tobytes(), "doc": docs[row[own]].astype(np.int64).tobytes(), "key": keys[row[own]].astype(np.int64).tobytes(), "start": start[own].astype(np.int32).tobytes(), "told": np.ascontiguousarray(part.astype(np.int64)).tobytes()}
+            yield {
+                "shard": s, "string": string[own].tobytes(), "doc": docs[row[own]].astype(np.int64).tobytes(), "tie": ties[row[own]].astype(np.int32).tobytes(),
+                "start": start[own].astype(np.int32).tobytes(), "told": np.ascontiguousarray(part).tobytes(),
+            }
 
 
-ARROW_STRINGS = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("string", "doc", "key", "start", "told")]])
+STRINGS = "shard int, string binary, doc binary, tie binary, start binary, told binary"
+ARROW_STRINGS = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("string", "doc", "tie", "start", "told")]])
 
 
 def compare_strings(table: pa.Table) -> pa.Table:
-    told = [np.frombuffer(v.as_py(), np.int64).reshape(3, -1) for v in table.column("told")]
-    kinds = {"string": np.uint64, "doc": np.int64, "key": np.int64, "start": np.int32}
+    told = [np.frombuffer(v.as_py(), np.int64).reshape(4, -1) for v in table.column("told")]
+    kinds = {"string": np.uint64, "doc": np.int64, "tie": np.int32, "start": np.int32}
     rows = {name: np.concatenate([np.frombuffer(v.as_py(), kind) for v in table.column(name)]) for name, kind in kinds.items()}
-    order, again = later_strings(rows["string"], rows["doc"], rows["key"], rows["start"])
+    order, again = later_strings(rows["string"], rows["doc"], rows["tie"], rows["start"])
     late = order[again]
-    return found_table([(MARK, p) for p in told] + [(MARK, joined_spans(rows["key"][late], rows["start"][late].astype(np.int64)))])
+    return found_table([(MARK, p) for p in told] + [(MARK, joined_spans(rows["doc"][late], rows["tie"][late], rows["start"][late]))])
 
 
 def packed(source: DataFrame, make, shards: int, schema: str, arrow: pa.Schema) -> DataFrame:
@@ -290,15 +294,18 @@ def packed(source: DataFrame, make, shards: int, schema: str, arrow: pa.Schema)
 
 
 def repeated_strings(rows: DataFrame, total_bytes: int) -> DataFrame:
-    """(key, start, n): runs of n strings from byte ``start`` on of the document ``key`` that all start
-    earlier too. ``rows``: doc (its order), key and text."""
+    """(doc, tie, start, n): runs of n strings from byte ``start`` on of a document that all start
+    earlier too. ``rows``: doc and tie (its order), and text."""
     shards = parts_for(total_bytes, SHARD_BYTES)
     first = packed(rows, batch_rows, shards, PACKED, ARROW_PACKED)
     found = written(first.groupBy("shard").applyInArrow(scan_shard, FOUND), "found")
-    asked = found.where(F.col("kind") == ASK).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
-    texts = rows.join(asked, "key").select("doc", "key", "text", "asked")
-    strings = packed(texts, string_rows, shards, "shard int, string binary, doc binary, key binary, start binary, told binary", ARROW_STRINGS)
-    return found.where(F.col("kind") == MARK).unionByName(strings.groupBy("shard").applyInArrow(compare_strings, FOUND)).select("key", "start", "n")
+    release_shuffles(rows.sparkSession)
+    asked = found.where(F.col("kind") == ASK).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
+    texts = rows.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked")
+    strings = packed(texts, string_rows, shards, STRINGS, ARROW_STRINGS)
+    more = written(strings.groupBy("shard").applyInArrow(compare_strings, FOUND), "strings")
+    release_shuffles(rows.sparkSession)
+    return found.where(F.col("kind") == MARK).unionByName(more).select("doc", "tie", "start", "n")
 
 
 def kept_text(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -316,18 +323,21 @@ def kept_text(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) for every row of ``docs``: the bytes of its
-    text that no LENGTH-byte string covers which starts earlier too, by doc_id (null first), then by a hash of
-    id and text, then by place.
+    text that no LENGTH-byte string covers which starts earlier too, by doc_id (null first), then by a 32-bit
+    hash of the text, then by place.
 
     A null text is empty. Rows with equal doc_id and text are one document and answered alike. Texts under
     LENGTH bytes stay whole; an empty table gives no rows; other columns are not read. Kept bytes need not be
     whole characters."""
-    text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ordered = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "key", "text")
-    marks = repeated_strings(ordered, total).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    marked = rows.join(marks, "key", "left").select("doc_id", "text", "marks")
+    # Where ids tell all rows apart, ties need no hash, and rows are smaller for it.
+    alike = rows.groupBy(doc.alias("doc")).count().where(F.col("count") > 1).limit(1).count()
+    tie = F.hash(F.xxhash64("text")) if alike else F.lit(0)
+    ordered = rows.select("doc_id", doc.alias("doc"), tie.alias("tie"), "text")
+    marks = repeated_strings(ordered.drop("doc_id"), total).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    marked = ordered.join(marks, ["doc", "tie"], "left").select("doc_id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
