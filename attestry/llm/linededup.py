@@ -76,7 +76,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def shingle_set(line: Column) -> Column:
-    return F.array_distinct(shingles(line))
+    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -92,9 +92,11 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     likely = written(likely, "likely")
     close = likely.where("likely")
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    texts = written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "lines")
-    a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = close.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
+    # Shingles are taken once for a line, however many pairs it is in.
+    sets = lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    sets = written(sets.select("id", shingle_set(F.col("line")).alias("set")), "sets")
+    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    both = close.join(a, "a").join(b, "b")
     looked = both.select("a", "b", (jaccard(F.col("x"), F.col("y")) >= THRESHOLD).alias("near"))
     return looked.unionByName(likely.where(~F.col("likely")).select("a", "b", F.lit(False).alias("near")))
 
