@@ -78,15 +78,26 @@ def names_word(text: Column, word: Column) -> Column:
     return F.rlike(text, quoted)
 
 
+def _without_braces(body: Column) -> Column:
+    """Every outermost pair of braces, however deep it nests, as one mark; an opening
+    brace that is never closed parts the text like a mark."""
+    empty = F.array(F.lit(""))
+
+    def read(stack: Column, part: Column) -> Column:
+        top, below = F.element_at(stack, -1), F.slice(stack, 1, F.size(stack) - 1)
+        inner = F.element_at(below, -1)
+        closed = F.concat(F.slice(below, 1, F.size(below) - 1), F.array(F.concat(inner, F.lit("\u0001"))))
+        told = F.concat(below, F.array(F.concat(top, part)))
+        return F.when(part == "{", F.concat(stack, empty)).when((part == "}") & (F.size(stack) > 1), closed).otherwise(told)
+
+    return F.array_join(F.aggregate(F.split(body, "(?=[{}])|(?<=[{}])"), empty, read), "\u0001")
+
+
 def quoted_fragments(text: Column) -> Column:
     """The fixed parts of a text's string literals, six bytes or longer with three letters."""
     literal = r"""'((?:[^'\\]|\\[\s\S])*)'|"((?:[^"\\]|\\[\s\S])*)"|`((?:[^`\\]|\\[\s\S])*)`"""
     whole = F.regexp_extract_all(text, F.lit(literal), F.lit(0))
-    # Innermost braces first, so nested expressions go too, three deep.
-    braces = r"[$#%]?\{[^{}]*\}"
-    bodies = F.transform(whole, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    for _ in range(3):
-        bodies = F.transform(bodies, lambda x: F.regexp_replace(x, braces, "\u0001"))
+    bodies = F.transform(whole, lambda x: _without_braces(F.substring(x, F.lit(2), F.length(x) - 2)))
     pieces = F.flatten(F.transform(bodies, lambda x: F.split(x, "[\u0001$#%{]")))
     trimmed = F.transform(pieces, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     kept = F.filter(trimmed, lambda x: (F.octet_length(x) >= 6) & (F.length(F.regexp_replace(x, r"[^\p{L}]", "")) >= 3))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.numbers import meets
@@ -83,9 +83,10 @@ def workflow_escape(value: Column, in_property: bool) -> Column:
     return reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), pairs, value)
 
 
-def annotations(ranges_: DataFrame, cap: int, prefix: str = "") -> DataFrame:
-    """One warning per uncovered range, in file and line order, up to a cap."""
-    shown = ranges_.orderBy("run_id", "file", "start").limit(cap)
+def annotations(ranges_: DataFrame, cap: int | None = None, prefix: str = "") -> DataFrame:
+    """One warning per uncovered range; with a cap each run's first so many, by file and line."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("file", "start"))
+    shown = ranges_ if cap is None else ranges_.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
     lines = F.when(F.col("start") == F.col("end"), F.format_string("line %d", "start")).otherwise(
         F.format_string("lines %d to %d", "start", "end"))
     message = F.concat(F.lit("Changed "), lines, F.lit(" not covered by the selected tests."))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators import coverage, mcdc
@@ -111,11 +111,16 @@ def has_gap(metric: str, with_limitations: bool = False) -> Column:
     return found | (F.col("limitations") > 0) if with_limitations else found
 
 
+def file_order() -> list[Column]:
+    """Largest gap first, then most limitations, then by name."""
+    return [F.desc("value"), F.desc("limitations"), F.asc("file")]
+
+
 def rank_files(gaps: DataFrame, metric: str) -> DataFrame:
     """Largest gap first, then most limitations, then by name."""
     value = F.col("score") if metric == "all" else F.col(f"uncovered_{metric}")
     return gaps.filter(has_gap(metric, with_limitations=True)).withColumn("value", value).orderBy(
-        "run_id", F.desc("value"), F.desc("limitations"), "file"
+        "run_id", *file_order()
     )
 
 
@@ -199,19 +204,20 @@ def gap_lines(states: DataFrame, limitations: DataFrame) -> DataFrame:
     ).drop("_ran")
 
 
-def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of ordered rows."""
+def page(df: DataFrame, order: list[Column | str], offset: int, limit: int, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """A page of every run's ordered rows."""
     if limit <= 0 or offset < 0:
         raise ValueError("a page needs a positive limit and no negative offset")
-    return df.offset(offset).limit(limit)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= offset + limit).filter(F.col("_place") > offset).drop("_place")
 
 
-def page_facts(df: DataFrame, offset: int, limit: int) -> DataFrame:
-    """One row about a page: returned, total, has_more, next_offset."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+def page_facts(df: DataFrame, offset: int, limit: int, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """One row about every run's page: returned, total, has_more, next_offset."""
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     returned = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - offset))
     more = F.lit(offset) + returned < F.col("total")
     return total.select(
-        F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), returned.alias("returned"), "total",
+        *keys, F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), returned.alias("returned"), "total",
         more.alias("has_more"), F.when(more, F.lit(offset) + returned).alias("next_offset"),
     )

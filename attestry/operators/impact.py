@@ -57,23 +57,22 @@ def file_changes(files: DataFrame, difference: DataFrame, probed: DataFrame) ->
     return told.select("file", "change", narrow.alias("narrow"))
 
 
-def ancestors(units: DataFrame, depth: int = 64) -> DataFrame:
+def ancestors(units: DataFrame) -> DataFrame:
     """Each declaration with itself and all it sits inside: (file, idx, ancestor).
 
-    Steps double: after k joins 2^k levels are reached, so nesting 64 deep takes
-    six. Deeper trees are refused rather than cut short."""
+    Steps double: after k joins 2^k levels are reached, and rounds go on until no
+    declaration has a level left, however deep it nests. Each round's rows are
+    cut from their lineage. A declaration inside itself is an error."""
     links = units.select("file", "idx", "parent")
     closed = links.select("file", "idx", F.col("idx").alias("ancestor"))
-    jump = links.filter("parent is not null").select("file", "idx", F.col("parent").alias("ancestor"))
-    reach = 1
-    while reach < depth:
+    jump = checkpointed(links.filter("parent is not null").select("file", "idx", F.col("parent").alias("ancestor")))
+    while not jump.isEmpty():
+        if not jump.filter("idx = ancestor").isEmpty():
+            raise ValueError("a declaration sits inside itself")
         onward = jump.select("file", F.col("idx").alias("ancestor"), F.col("ancestor").alias("_up"))
         further = closed.join(onward, ["file", "ancestor"]).select("file", "idx", F.col("_up").alias("ancestor"))
-        jump = jump.join(onward, ["file", "ancestor"]).select("file", "idx", F.col("_up").alias("ancestor"))
-        closed, reach = closed.unionByName(further), reach * 2
-        if reach in (8, 64) and reach < depth:
-            # Each round joins its own result: cut the plan before it doubles on.
-            closed, jump = checkpointed(closed), checkpointed(jump)
+        following = jump.join(onward, ["file", "ancestor"]).select("file", "idx", F.col("_up").alias("ancestor"))
+        closed, jump = checkpointed(closed.unionByName(further)), checkpointed(following)
     return closed
 
 

@@ -45,49 +45,51 @@ def observations(vectors: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-# Conditions are packed into longs, this many to each.
+# Conditions are packed into longs, this many to each; a decision has as many longs as it needs.
 WORD = 62
 
 
-def _words(observed: DataFrame, keys: list[str], widest: int) -> DataFrame:
-    """Observations as words: ``k<w>`` the conditions evaluated, ``v<w>`` those true."""
-    count = -(-widest // WORD)
-    too_wide = F.size("vals") > count * WORD
-    vals = F.when(too_wide, F.raise_error(F.lit(f"a decision has more than {count * WORD} conditions; pass a larger widest")).cast("array<boolean>")).otherwise(F.col("vals"))
-
-    def packed(wanted, prefix: str) -> list[Column]:
-        return [_word(vals, wanted, w).alias(f"{prefix}{w}") for w in range(count)]
-
+def _words(observed: DataFrame, keys: list[str]) -> DataFrame:
+    """Observations as arrays of words: ``k`` the conditions evaluated, ``v`` those true."""
     return observed.select(
         *keys, "decision_id", "outcome", "vector_key", *[c for c in ("seq", "rank") if c in observed.columns], F.size("vals").alias("n"),
-        *packed(lambda v: v.isNotNull(), "k"), *packed(lambda v: F.coalesce(v, F.lit(False)), "v"))
+        _packed(F.col("vals"), lambda v: v.isNotNull()).alias("k"), _packed(F.col("vals"), lambda v: F.coalesce(v, F.lit(False))).alias("v"))
+
+
+def _packed(vals: Column, wanted) -> Column:
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(vals), F.lit(1)), F.lit(WORD)), lambda i: i <= F.size(vals))
+
+    def word(start: Column) -> Column:
+        bits = F.transform(
+            F.slice(vals, start, WORD),
+            lambda v, i: F.when(wanted(v), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseOR(bit))
 
+    return F.transform(starts, word)
 
-def _word(vals: Column, wanted, index: int) -> Column:
-    bits = F.transform(
-        F.slice(vals, index * WORD + 1, WORD),
-        lambda v, i: F.when(wanted(v), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseOR(bit))
 
+def _index() -> Column:
+    return F.floor(F.col("condition") / WORD).cast("int")
 
-def _bit(prefix: str, count: int) -> Column:
+
+def _place() -> Column:
+    return (F.col("condition") % WORD).cast("int")
+
+
+def _bit(name: str) -> Column:
     """Whether the bit of the row's ``condition`` is set in its words."""
-    place = (F.col("condition") % WORD).cast("int")
-    found = F.lit(None).cast("long")
-    for w in reversed(range(count)):
-        found = F.when(F.floor(F.col("condition") / WORD) == w, F.getbit(f"{prefix}{w}", place).cast("long")).otherwise(found)
-    return found == 1
+    return F.getbit(F.get(name, _index()), _place()) == 1
 
 
-def _shared(count: int) -> list[Column]:
+def _shared() -> Column:
     """The values both masks evaluated, the target's left out."""
-    place = (F.col("condition") % WORD).cast("int")
-    target = F.call_function("shiftleft", F.lit(1).cast("long"), place)
-    out = []
-    for w in range(count):
-        both = F.col(f"k{w}").bitwiseAND(F.col(f"o{w}")).bitwiseAND(F.col(f"v{w}"))
-        out.append(F.when(F.floor(F.col("condition") / WORD) == w, both.bitwiseAND(F.bitwise_not(target))).otherwise(both).alias(f"s{w}"))
-    return out
+    target = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), _place()))
+
+    def both(k: Column, w: Column) -> Column:
+        values = k.bitwiseAND(F.get("o", w)).bitwiseAND(F.get("v", w))
+        return F.when(w == _index(), values.bitwiseAND(target)).otherwise(values)
+
+    return F.transform("k", both)
 
 
 def is_independence_pair(left: Column, left_outcome: Column, right: Column, right_outcome: Column, condition: Column) -> Column:
@@ -102,12 +104,12 @@ def is_independence_pair(left: Column, left_outcome: Column, right: Column, righ
     return F.coalesce(in_range & (left_outcome != right_outcome) & (differing == F.array(place)), F.lit(False))
 
 
-def _against(words: DataFrame, others: DataFrame, decision: list[str], count: int) -> DataFrame:
+def _against(words: DataFrame, others: DataFrame, decision: list[str]) -> DataFrame:
     """Words once per evaluation mask among the others, per condition both evaluate,
     with the shared values."""
-    masks = others.select(*decision, *[F.col(f"k{w}").alias(f"o{w}") for w in range(count)]).distinct()
-    each = words.join(masks, decision).withColumn("condition", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return each.filter(_bit("k", count) & _bit("o", count)).select("*", *_shared(count), _bit("v", count).alias("target"))
+    masks = others.select(*decision, F.col("k").alias("o")).distinct()
+    each = words.filter("n > 0").join(masks, decision).filter(F.size("k") == F.size("o")).withColumn("condition", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return each.filter(_bit("k") & _bit("o")).select("*", _shared().alias("s"), _bit("v").alias("target"))
 
 
 def _ranked(observed: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,7 +117,7 @@ def _ranked(observed: DataFrame, keys: list[str]) -> DataFrame:
     return observed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "decision_id").orderBy("seq", "vector_key")))
 
 
-def _first_pairs(ranked: DataFrame, keys: list[str], widest: int) -> DataFrame:
+def _first_pairs(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """Per condition the ranks of its first independence pair, as one long.
 
     A pair exists where two vectors agree on the conditions both evaluated, so
@@ -125,22 +127,19 @@ def _first_pairs(ranked: DataFrame, keys: list[str], widest: int) -> DataFrame:
     no two vectors are ever joined, and the cost is vectors x masks, not
     vectors squared. Ranks keep the aggregation buffers of fixed width.
     """
-    decision, count = [*keys, "decision_id"], -(-widest // WORD)
-    seen = _words(ranked, keys, widest).drop("vector_key")
-    filed = _against(seen, seen, decision, count)
-    own, other = [F.col(f"k{w}") for w in range(count)], [F.col(f"o{w}") for w in range(count)]
-    on_low = F.struct(*own) <= F.struct(*[c.alias(f"k{w}") for w, c in enumerate(other)])
-    same = reduce(lambda a, b: a & b, [a == b for a, b in zip(own, other)])
+    decision = [*keys, "decision_id"]
+    seen = _words(ranked, keys).drop("vector_key")
+    filed = _against(seen, seen, decision)
+    on_low = F.col("k") <= F.col("o")
     sided = filed.select(
-        *decision, "condition", "rank", "target", "outcome", *[f"s{w}" for w in range(count)], on_low.alias("_low"), (~on_low | same).alias("_high"),
-        *[F.when(on_low, a).otherwise(b).alias(f"lo{w}") for w, (a, b) in enumerate(zip(own, other))],
-        *[F.when(on_low, b).otherwise(a).alias(f"hi{w}") for w, (a, b) in enumerate(zip(own, other))])
+        *decision, "condition", "rank", "target", "outcome", "s", on_low.alias("_low"), (~on_low | (F.col("k") == F.col("o"))).alias("_high"),
+        F.when(on_low, F.col("k")).otherwise(F.col("o")).alias("lo"), F.when(on_low, F.col("o")).otherwise(F.col("k")).alias("hi"))
 
     def first(side: str, target: bool, outcome: bool) -> Column:
         return F.min(F.when(F.col(side) & (F.col("target") == target) & (F.col("outcome") == outcome), F.col("rank")))
 
     combos = [(t, o) for t in (True, False) for o in (True, False)]
-    grouped = sided.groupBy(*decision, "condition", *[f"{p}{w}" for p in ("lo", "hi", "s") for w in range(count)]).agg(
+    grouped = sided.groupBy(*decision, "condition", "lo", "hi", "s").agg(
         *[first("_low", t, o).alias(f"l{int(t)}{int(o)}") for t, o in combos],
         *[first("_high", t, o).alias(f"h{int(t)}{int(o)}") for t, o in combos],
     )
@@ -156,16 +155,15 @@ def _first_pairs(ranked: DataFrame, keys: list[str], widest: int) -> DataFrame:
     )
 
 
-def shown_conditions(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
+def shown_conditions(observed: DataFrame, keys: list[str]) -> DataFrame:
     """Conditions some independence pair shows deciding their decision."""
-    return _first_pairs(_ranked(observed, keys), keys, widest).drop("pair")
+    return _first_pairs(_ranked(observed, keys), keys).drop("pair")
 
 
-def witnesses(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
-    """The first independence pair of each condition that has one. ``widest``
-    bounds a decision's conditions; wider ones fail."""
+def witnesses(observed: DataFrame, keys: list[str]) -> DataFrame:
+    """The first independence pair of each condition that has one."""
     ranked, decision = _ranked(observed, keys), [*keys, "decision_id"]
-    pairs = _first_pairs(ranked, keys, widest).select(
+    pairs = _first_pairs(ranked, keys).select(
         *decision, "condition", F.floor(F.col("pair") / F.lit(2**31)).cast("int").alias("_one"), (F.col("pair") % F.lit(2**31)).cast("int").alias("_two"))
     one = ranked.select(*decision, F.col("rank").alias("_one"), F.col("seq").alias("first_seq"), F.col("vector_key").alias("first_vector"))
     two = ranked.select(*decision, F.col("rank").alias("_two"), F.col("seq").alias("second_seq"), F.col("vector_key").alias("second_vector"))
@@ -179,36 +177,32 @@ def with_values(keyed: DataFrame) -> DataFrame:
         "outcome", F.substring_index("vector_key", ":", -1) == "T")
 
 
-def independence_pairs(left: DataFrame, right: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
+def independence_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Every independence pair of a left and a right vector of one decision.
 
     Both sides hold keys, decision_id, vals, outcome, vector_key and ``rank``.
     Vectors meet by equality on what both masks evaluate, so only pairs that hold
     are formed.
     """
-    decision, count = [*keys, "decision_id"], -(-widest // WORD)
-    one, two = _words(left, keys, widest), _words(right, keys, widest)
+    decision = [*keys, "decision_id"]
+    one, two = _words(left, keys), _words(right, keys)
 
     def filed(words: DataFrame, others: DataFrame, side: str, own: str, other: str, flip: bool) -> DataFrame:
-        rows = _against(words, others, decision, count)
-        return rows.select(
-            *decision, "condition", *[F.col(f"k{w}").alias(f"{own}{w}") for w in range(count)], *[F.col(f"o{w}").alias(f"{other}{w}") for w in range(count)],
-            *[f"s{w}" for w in range(count)], (F.col("target") != flip).alias("target"), (F.col("outcome") != flip).alias("outcome"),
+        return _against(words, others, decision).select(
+            *decision, "condition", F.col("k").alias(own), F.col("o").alias(other), "s", (F.col("target") != flip).alias("target"), (F.col("outcome") != flip).alias("outcome"),
             F.col("vector_key").alias(f"{side}_vector"), F.col("rank").alias(f"{side}_rank"))
 
-    on = [*decision, "condition", *[f"{side}{w}" for side in ("l", "r", "s") for w in range(count)], "target", "outcome"]
+    on = [*decision, "condition", "l", "r", "s", "target", "outcome"]
     return filed(one, two, "left", "l", "r", False).join(filed(two, one, "right", "r", "l", True), on).select(
         *decision, "condition", "left_vector", "left_rank", "right_vector", "right_rank")
 
 
-def condition_outcomes(observed: DataFrame, keys: list[str], widest: int = WORD) -> DataFrame:
+def condition_outcomes(observed: DataFrame, keys: list[str]) -> DataFrame:
     """Per decision: how many of its outcomes and of its conditions' values were seen."""
-    count = -(-widest // WORD)
-    words = _words(observed, keys, widest)
-    seen = [F.bit_or(f"v{w}").alias(f"t{w}") for w in range(count)] + [
-        F.bit_or(F.col(f"k{w}").bitwiseAND(F.bitwise_not(f"v{w}"))).alias(f"f{w}") for w in range(count)]
-    folded = words.groupBy(*keys, "decision_id").agg(
-        F.bool_or("outcome").alias("_true"), F.bool_or(~F.col("outcome")).alias("_false"), *seen)
-    values = sum((F.bit_count(f"{side}{w}") for side in ("t", "f") for w in range(count)), F.lit(0))
-    return folded.select(
-        *keys, "decision_id", (F.col("_true").cast("int") + F.col("_false").cast("int")).alias("outcomes_seen"), values.alias("condition_values_seen"))
+    decision = [*keys, "decision_id"]
+    values = observed.select(*decision, "outcome", F.posexplode_outer("vals").alias("condition", "value"))
+    each = values.groupBy(*decision, "condition").agg(
+        F.bool_or("outcome").alias("_true"), F.bool_or(~F.col("outcome")).alias("_false"), F.max("value").alias("_on"), F.max(~F.col("value")).alias("_off"))
+    told = lambda name: F.coalesce(F.col(name), F.lit(False)).cast("int")
+    return each.groupBy(*decision).agg(
+        (F.bool_or("_true").cast("int") + F.bool_or("_false").cast("int")).alias("outcomes_seen"), F.sum(told("_on") + told("_off")).alias("condition_values_seen"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import text as words
@@ -69,15 +69,42 @@ def template_nodes(files: DataFrame) -> DataFrame:
     return kept.select("path", "line", F.substring(F.trim("text"), 1, 160).alias("text"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, endings: list[str]) -> DataFrame:
-    """The file a relative import names: the first existing of the path itself,
-    with each ending, then as a folder's index."""
-    base = F.regexp_replace("file", "[^/]*$", "")
-    joined = F.concat(base, F.col("specifier"))
-    flat = joined
-    for _ in range(8):
-        flat = F.regexp_replace(F.regexp_replace(flat, r"(^|/)\./", "$1"), r"(^|/)[^/.][^/]*/\.\./", "$1")
-    forms = F.array(flat, *[F.concat(flat, F.lit(e)) for e in endings], *[F.concat(flat, F.lit("/index" + e)) for e in endings])
-    tried = imports.filter(F.col("specifier").startswith(".")).select("file", "specifier", F.posexplode(forms).alias("_rank", "target"))
+# The endings a script import is tried with, in this order.
+SCRIPT_ENDINGS = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts"]
+
+
+def folded(path: Column) -> Column:
+    """A path without ``.`` parts, each ``..`` taking the part before it; at the root
+    it takes none."""
+    none = F.array().cast("array<string>")
+    parts = F.aggregate(
+        F.split(path, "/"), none,
+        lambda acc, part: F.when(part.isin("", "."), acc).when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(part))))
+    return F.array_join(parts, "/")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """The file an import names: (file, specifier, target), for imports that name one.
+
+    A relative script import is the path itself, else ending by ending the file
+    with it and the folder's index with it. A Python import walks up by its leading dots
+    (without any it starts at the root) and is the longest part of the dotted name that is a
+    module or a package. The first that exists counts; in Python a file that would import
+    itself is passed over, in a script it means none."""
+    python = F.col("file").endswith(".py")
+    folder = F.regexp_replace("file", "[^/]*$", "")
+    script = F.concat(folder, F.col("specifier"))
+    scripts = F.array(script, *[F.concat(script, F.lit(form)) for e in SCRIPT_ENDINGS for form in (f".{e}", f"/index.{e}")])
+    dots = F.length(F.regexp_extract("specifier", r"^\.*", 0))
+    names = F.filter(F.split(F.expr("substring(specifier, length(regexp_extract(specifier, '^[.]*', 0)) + 1)"), r"\."), lambda p: p != "")
+    depth = F.size(F.split(folder, "/")) - 1
+    start = F.when(dots == 0, F.lit("")).otherwise(F.concat(folder, F.array_join(F.array_repeat(F.lit("../"), dots - 1), "")))
+    cuts = F.filter(F.sequence(F.size(names), F.lit(0), F.lit(-1)), lambda n: n > 0)
+    modules = F.flatten(F.transform(cuts, lambda n: F.transform(
+        F.array(F.lit(".py"), F.lit("/__init__.py")), lambda end: F.concat(start, F.array_join(F.slice(names, 1, n), "/"), end))))
+    # Climbing above the root names nothing.
+    forms = F.when(python, F.when(dots - 1 <= depth, modules)).when(F.col("specifier").startswith("."), scripts)
+    tried = imports.select("file", "specifier", F.posexplode(forms).alias("_rank", "_form")).select("file", "specifier", "_rank", folded(F.col("_form")).alias("target"))
     known = files.select(F.col("path").alias("target")).distinct()
-    return tried.join(known, "target").groupBy("file", "specifier").agg(F.min_by("target", "_rank").alias("target"))
+    found = tried.join(known, "target").filter(~python | (F.col("target") != F.col("file")))
+    return found.groupBy("file", "specifier").agg(F.min_by("target", "_rank").alias("target")).filter("target <> file")

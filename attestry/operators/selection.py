@@ -117,14 +117,14 @@ def select_source_file(files: DataFrame, selector: str) -> str:
     """An exact path, else the one path holding the text; names the candidates otherwise."""
     found = (
         files.select("file").distinct().filter(F.contains("file", F.lit(selector)))
-        .orderBy(F.desc(F.col("file") == selector), "file").limit(11)
+        .orderBy(F.desc(F.col("file") == selector), "file")
     )
-    names = [row.file for row in found.collect()]
-    if not names:
+    first = [row.file for row in found.take(2)]
+    if not first:
         raise NoMatch(f"no source file matches {selector}")
-    if names[0] != selector and len(names) > 1:
-        raise Ambiguous(selector, names)
-    return names[0]
+    if first[0] != selector and len(first) > 1:
+        raise Ambiguous(selector, [row.file for row in found.toLocalIterator()])
+    return first[0]
 
 
 # Which obligation kinds a metric asks for.

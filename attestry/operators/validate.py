@@ -79,18 +79,19 @@ def phase_references(references: DataFrame, rows: DataFrame) -> DataFrame:
     return _rows(references.filter("phase_id is not null").join(known, ["run_id", "record_id", "phase_id"], "left_anti"), "unknown phase", F.col("phase_id"))
 
 
-def cyclic_causes(rows: DataFrame, rounds: int = 20) -> DataFrame:
+def cyclic_causes(rows: DataFrame) -> DataFrame:
     """Phases on, or leading into, a cycle of causes.
 
     Cause chains are followed by doubling: after k rounds a pointer stands 2^k
-    causes up, and one that still stands somewhere is not at a chain's end, so
-    2^rounds must exceed a record's phases. The loop ends when no pointer is
-    left; lineage is cut in each round."""
+    causes up, and one that still stands somewhere after as many steps as the
+    largest record has phases is on or before a cycle. The loop ends there or when no
+    pointer is left; lineage is cut in each round."""
     key = ["run_id", "record_id"]
     links = rows.filter("cause is not null").select(*key, "id", F.col("cause").alias("to"))
     known = rows.select(*key, F.col("id").alias("to"))
     jump = links.join(known, [*key, "to"], "left_semi").select(*key, "id", "to")
-    for _ in range(rounds):
+    largest = rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(largest).bit_length() + 1):
         jump = checkpointed(jump)
         if jump.isEmpty():
             break

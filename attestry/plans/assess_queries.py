@@ -285,12 +285,21 @@ def config_lines(m: Model):
 
 
 @query("import_resolution", """
-  SELECT a.path AS file, '../../' || b.source || '/' || b.lang || '/./d' || b.doc_id AS specifier, b.path AS target
-  FROM paths a JOIN paths b ON b.doc_id = a.doc_id + 1 WHERE b.path LIKE '%.js' OR b.path LIKE '%.py'""")
+  WITH x AS (SELECT a.path AS file, a.path LIKE '%.py' AS python, b.source || '/' || b.lang || '/d' || b.doc_id AS there, b.path AS target
+    FROM paths a JOIN paths b ON b.doc_id = a.doc_id + 1)
+  SELECT file, '../../' || replace(there, '/d', '/./d') AS specifier, target FROM x WHERE NOT python AND target LIKE '%.js'
+  UNION ALL SELECT file, '../a/b/c/d/e/f/g/h/i/../../../../../../../../../../' || there AS specifier, target FROM x WHERE NOT python AND target LIKE '%.js'
+  UNION ALL SELECT file, 'src.' || replace(there, '/', '.') AS specifier, target FROM x WHERE python AND target LIKE '%.py'
+  UNION ALL SELECT file, '...' || replace(there, '/', '.') || '.name' AS specifier, target FROM x WHERE python AND target LIKE '%.py'""")
 def import_resolution(m: Model):
-    after = m.paths.select((F.col("doc_id") - 1).alias("doc_id"), F.format_string("../../%s/%s/./d%d", "source", "lang", "doc_id").alias("specifier"))
+    after = m.paths.select((F.col("doc_id") - 1).alias("doc_id"), F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("there"))
     imports = m.paths.select("doc_id", F.col("path").alias("file")).join(after, "doc_id")
-    return scan.resolve_imports(imports, m.paths, [".ts", ".js", ".py"])
+    dotted, own = F.replace("there", F.lit("/"), F.lit(".")), F.replace(F.regexp_replace("file", "[.]py$", ""), F.lit("/"), F.lit("."))
+    scripts = F.array(F.concat(F.lit("../../"), F.replace("there", F.lit("/d"), F.lit("/./d"))), F.concat(F.lit("../a/b/c/d/e/f/g/h/i/../../../../../../../../../../"), "there"))
+    # The last names the importing file itself, which is no import.
+    modules = F.array(F.concat(F.lit("src."), dotted), F.concat(F.lit("..."), dotted, F.lit(".name")), own)
+    named = imports.select("file", F.explode(F.when(F.col("file").endswith(".py"), modules).otherwise(scripts)).alias("specifier"))
+    return scan.resolve_imports(named, m.paths)
 
 
 @query("third_party_files", r"""
@@ -323,12 +332,12 @@ def security_extra_files(m: Model):
 # --- scalar functions -----------------------------------------------------------
 
 @query("name_words", r"""
-  WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN
-     ('test','tests','the','and','for','with','get','set','self','from','not','does','should'))) AS ws FROM (SELECT doc_id, lower(text) AS text FROM documents))
-  SELECT doc_id, len(ws) AS words, array_to_string(list_sort(ws)[1:5], ' ') AS first_words FROM w""")
+  WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN
+     ('test','tests','the','and','for','with','get','set','self','from','not','does','should'))) AS ws FROM documents)
+  SELECT doc_id, len(ws) AS words, array_to_string(list_sort(ws), ' ') AS all_words FROM w""")
 def name_words(m: Model):
-    found = text.name_words(F.lower("text"))
-    return m.documents.select("doc_id", found.alias("w")).select("doc_id", F.size("w").alias("words"), F.array_join(F.slice(F.array_sort("w"), 1, 5), " ").alias("first_words"))
+    found = text.name_words(F.col("text"))
+    return m.documents.select("doc_id", found.alias("w")).select("doc_id", F.size("w").alias("words"), F.array_join(F.array_sort("w"), " ").alias("all_words"))
 
 
 @query("secret_literals", r"""

@@ -405,15 +405,15 @@ def has_gap_branches(m: Model):
 
 
 @query("gaps_page", f"""{O_FILE_GAPS} SELECT run_id, file, uncovered_lines AS value, limitations FROM g WHERE uncovered_lines > 0 OR limitations > 0
-  ORDER BY run_id, uncovered_lines DESC, limitations DESC, file LIMIT 20 OFFSET 10""")
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY uncovered_lines DESC, limitations DESC, file) BETWEEN 11 AND 30""")
 def gaps_page(m: Model):
-    return gaps.page(gaps.rank_files(gaps.file_gaps(*evidence(m), m.limitations), "lines"), 10, 20).select("run_id", "file", "value", "limitations")
+    return gaps.page(gaps.rank_files(gaps.file_gaps(*evidence(m), m.limitations), "lines"), gaps.file_order(), 10, 20).select("run_id", "file", "value", "limitations")
 
 
-@query("page_facts", f"""{O_FILE_GAPS} SELECT 10 AS "offset", 20 AS "limit", greatest(0, least(20, count(*) - 10)) AS returned, count(*) AS total,
+@query("page_facts", f"""{O_FILE_GAPS} SELECT run_id, 10 AS "offset", 20 AS "limit", greatest(0, least(20, count(*) - 10)) AS returned, count(*) AS total,
   10 + greatest(0, least(20, count(*) - 10)) < count(*) AS has_more,
   CASE WHEN 10 + greatest(0, least(20, count(*) - 10)) < count(*) THEN 30 END AS next_offset
-  FROM g WHERE uncovered_lines > 0 OR limitations > 0""")
+  FROM g WHERE uncovered_lines > 0 OR limitations > 0 GROUP BY run_id""")
 def page_facts(m: Model):
     return gaps.page_facts(gaps.rank_files(gaps.file_gaps(*evidence(m), m.limitations), "lines"), 10, 20)
 

@@ -141,7 +141,7 @@ def buckets(m: Model):
     measured = m.paths.filter("doc_id % 3 = 0").select(F.col("path").alias("file"))
     after = m.paths.select((F.col("doc_id") - 2).alias("doc_id"), F.col("path").alias("file"))
     loads = m.paths.select("doc_id", F.col("path").alias("test_file")).join(after, "doc_id").select("test_file", "file")
-    closure = impact.ancestors(every.filter("version = 'before'"), depth=4)
+    closure = impact.ancestors(every.filter("version = 'before'"))
     return impact.affected_tests(tests.drop("doc_id"), ran, closure, changes, difference, impact.helpers(changes, known, measured), loads, ran.select("file", "idx").distinct())
 
 
@@ -163,7 +163,7 @@ def helper_files(m: Model):
 def beyond_the_run(m: Model):
     difference = impact.declaration_diff(units(m))
     changes = impact.file_changes(files(m), difference, probed(m))
-    return impact.beyond_the_run(changes, difference, executed(m).select("file", "idx").distinct(), impact.ancestors(before(m), depth=4))
+    return impact.beyond_the_run(changes, difference, executed(m).select("file", "idx").distinct(), impact.ancestors(before(m)))
 
 
 @query("affected_of_merge", f"""WITH {O_CHANGES}, {O_TESTS},

@@ -296,9 +296,6 @@ def oracle(body: str) -> str:
     return duckdb_dialect(f"WITH {recursive}" + ",\n".join(ctes))
 
 
-# Tables of long texts.
-TEXTS = {"documents", "pages"}
-
 # Tables an ingest writes once: those that take a join or an aggregation to make.
 # The others are projections of the given tables and read them in every query.
 INGESTED = {
@@ -331,12 +328,8 @@ class Model:
     __getattr__ = table
 
     def _read(self, name: str) -> DataFrame:
-        """A given table. Text costs more to scan than to move, so where it comes
-        in fewer splits than there are cores it is spread; on large inputs, which
-        come in many, nothing is shuffled."""
-        read = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return read.repartition(cores) if name in TEXTS and read.rdd.getNumPartitions() < cores else read
+        """A given table."""
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @property
     def vectors_(self) -> DataFrame:

@@ -11,7 +11,13 @@ from attestry.operators import ordered
 def _number(text):
     whole = F.trim(text).try_cast("long")
     decimal = F.trim(text).try_cast("double")
-    return F.when(whole >= 0, whole).otherwise(F.when(F.coalesce(decimal != 0, F.lit(False)), 1).otherwise(0))
+    # A count past the largest whole number is held at it.
+    return F.when(whole >= 0, whole).when(decimal >= float(2**63), F.lit(2**63 - 1)).otherwise(F.when(F.coalesce(decimal != 0, F.lit(False)), 1).otherwise(0))
+
+
+def _total(counts):
+    """The counts' sum, held at the largest whole number."""
+    return F.least(F.sum(counts.cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
 
 
 def _records(lines: DataFrame) -> DataFrame:
@@ -31,7 +37,7 @@ def read_lines(lines: DataFrame) -> DataFrame:
     count no whole number ran if it is a number other than zero."""
     fields = F.split("value", ",")
     da = _records(lines).filter("tag = 'DA'")
-    return da.groupBy(F.col("source").alias("file"), F.trim(F.get(fields, 0)).cast("int").alias("line")).agg(F.try_sum(_number(F.get(fields, 1))).alias("count"))
+    return da.groupBy(F.col("source").alias("file"), F.trim(F.get(fields, 0)).cast("int").alias("line")).agg(_total(_number(F.get(fields, 1))).alias("count"))
 
 
 def read_functions(lines: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ def read_functions(lines: DataFrame) -> DataFrame:
     whole = counts.join(named, ["file", "record", "name"], "left")
     by_last = named.withColumnsRenamed({"name": "_last", "line": "_line"})
     return whole.join(by_last, ["file", "record", "_last"], "left").withColumn("line", F.coalesce("line", "_line")).filter("line is not null").groupBy(
-        F.col("source").alias("file"), "line").agg(F.try_sum("count").alias("count"))
+        F.col("source").alias("file"), "line").agg(_total(F.col("count")).alias("count"))
 
 
 def match_paths(recorded: DataFrame, measured: DataFrame) -> DataFrame:
