@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from attestry.llm.common import flat, held_out, passes, table, text_of, with_fields
+from attestry.llm.common import flat, held_out, passes, ship_package, table, text_of
 
 SAMPLE_ROWS = 4800
 SAMPLE_BYTES = 32_768
@@ -174,14 +173,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byt
 def score_documents(docs: DataFrame, net: Net) -> DataFrame:
     """Every row of ``docs`` with its score as ``score``; a null text scores as the
     empty one. A column of that name that was there before is replaced."""
-    docs = docs.drop("score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(net, data, offsets))], names=[*batch.schema.names, "score"])
-
-    return docs.mapInArrow(run, with_fields(docs.schema, score=DoubleType()))
+    ship_package(docs.sparkSession)
+    score = F.arrow_udf(lambda text: pa.array(scores(net, *flat(text))), "double")
+    # Only texts go to Python; all other columns wait in the executor.
+    return docs.drop("score").withColumn("score", score(text_of()))
 
 
 def quality_net(docs: DataFrame, labels: DataFrame) -> Net:
