@@ -440,13 +440,12 @@ def vector_text(m: Model):
 
 
 @query("independence_pairs", """
-  WITH v AS (SELECT DISTINCT decision_id, a, b, c, outcome, width FROM vectors),
-  p AS (SELECT l.decision_id, l.width, l.a AS la, r.a AS ra, l.b AS lb, r.b AS rb, l.c AS lc, r.c AS rc, l.outcome AS lo, r.outcome AS ro FROM v l JOIN v r ON l.decision_id = r.decision_id)
-  SELECT decision_id, count(*) AS compared, count(*) FILTER (lo <> ro AND coalesce(la <> ra, FALSE) AND NOT coalesce(lb <> rb, FALSE) AND NOT coalesce(lc <> rc, FALSE)) AS pairs FROM p GROUP BY decision_id""")
+  WITH v AS (SELECT DISTINCT run_id, decision_id, a, b, c, outcome FROM vectors),
+  p AS (SELECT l.run_id, l.decision_id, CAST(coalesce(l.a <> r.a, FALSE) AS INT) AS da, CAST(coalesce(l.b <> r.b, FALSE) AS INT) AS db, CAST(coalesce(l.c <> r.c, FALSE) AS INT) AS dc
+    FROM v l JOIN v r ON l.run_id = r.run_id AND l.decision_id = r.decision_id AND l.outcome <> r.outcome)
+  SELECT run_id, decision_id, CASE WHEN da = 1 THEN 0 WHEN db = 1 THEN 1 ELSE 2 END AS condition, count(*) AS pairs FROM p WHERE da + db + dc = 1 GROUP BY ALL""")
 def independence_pairs(m: Model):
-    from attestry.operators.mcdc import is_independence_pair, observations
+    from attestry.operators import mcdc
 
-    seen = observations(m.vectors_.withColumn("run_id", F.lit("all")), ["run_id"]).select("decision_id", "vals", "outcome")
-    other = seen.withColumnsRenamed({"vals": "r_vals", "outcome": "r_outcome"})
-    pair = is_independence_pair(F.col("vals"), F.col("outcome"), F.col("r_vals"), F.col("r_outcome"), F.lit(0))
-    return seen.join(other, "decision_id").groupBy("decision_id").agg(F.count(F.lit(1)).alias("compared"), F.count_if(pair).alias("pairs"))
+    seen = mcdc.observations(m.vectors_, ["run_id"]).withColumn("rank", F.lit(0))
+    return mcdc.independence_pairs(seen, seen, ["run_id"]).groupBy("run_id", "decision_id", "condition").agg(F.count(F.lit(1)).alias("pairs"))

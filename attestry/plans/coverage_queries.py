@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from attestry.operators import attempts, coverage, dimensions, gaps, mcdc, selection
@@ -532,17 +534,14 @@ def kind_runner_projections(m: Model):
 
 
 @query("tests_together", f"""{BASE}, {O_OWN},
-  w_points AS (SELECT DISTINCT run_id, hit_id FROM o_hits),
   d_hits AS (SELECT h.run_id, h.hit_id FROM o_hits h WHERE EXISTS (SELECT 1 FROM own WHERE own.run_id = h.run_id AND own.test_id = h.test_id)),
   d_vec AS (SELECT v.* FROM vectors v WHERE EXISTS (SELECT 1 FROM own WHERE own.run_id = v.run_id AND own.test_id = v.test_id)),
-  {o_counts("run_id", "d_hits", "d_vec")}, {o_totals("run_id")},
-  ps AS (SELECT p.run_id, count(DISTINCT (file, line)) AS lines, count(DISTINCT id) FILTER (kind = 'statement') AS statements, count(DISTINCT id) FILTER (kind = 'function') AS functions
-     FROM points p JOIN w_points w ON w.run_id = p.run_id AND w.hit_id = p.id WHERE NOT declined GROUP BY p.run_id)
-  SELECT t.run_id, t.metric, {SUMMARY_ROW}, CASE t.metric WHEN 'lines' THEN lines WHEN 'statements' THEN statements ELSE functions END AS covered_by_run,
-    CASE t.metric WHEN 'lines' THEN lines WHEN 'statements' THEN statements ELSE functions END - coalesce(c.covered, 0) AS outside_tests
-  FROM t_totals t LEFT JOIN c_counts c ON c.run_id = t.run_id AND c.metric = t.metric JOIN ps ON ps.run_id = t.run_id WHERE t.metric IN ('lines', 'statements', 'functions')""")
+  {o_counts("run_id", "d_hits", "d_vec")}, {o_totals("run_id")}, {re.sub(r"\bc_", "w_", o_counts("run_id"))}
+  SELECT t.run_id, t.metric, {SUMMARY_ROW}, CAST(coalesce(w.covered, 0) AS BIGINT) AS covered_by_run,
+    CAST(coalesce(w.covered, 0) - coalesce(c.covered, 0) AS BIGINT) AS outside_tests
+  FROM t_totals t LEFT JOIN c_counts c ON c.run_id = t.run_id AND c.metric = t.metric LEFT JOIN w_counts w ON w.run_id = t.run_id AND w.metric = t.metric""")
 def tests_together(m: Model):
-    return dimensions.tests_together(*evidence(m), m.tests).filter(F.col("metric").isin("lines", "statements", "functions"))
+    return dimensions.tests_together(*evidence(m), m.tests)
 
 
 O_GROUP_GAPS = f"""

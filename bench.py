@@ -13,6 +13,7 @@ from attestry.session import local_session
 HEADLINE = [
     "ranked_files", "core_summary", "line_fold", "mcdc_witnesses", "by_kind", "test_outcome", "view_passed", "run_diff", "patch_check", "line_detail",
     "event_phase", "credit_by_time", "in_process_owner", "affected_tests", "snapshot_diff", "candidate_lines", "assertion_share", "lcov_export",
+    "merge_runs", "tests_to_ask", "open_obligation_export",
 ]
 
 
