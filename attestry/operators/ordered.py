@@ -9,18 +9,34 @@ more than one bucket of one key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR_MS = 3_600_000
+#: Rows a bucket should hold, and how many buckets a key can have where it is cut by rows.
+ROWS, QUANTILES = 4096, 256
 
 
 def _earlier(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def bucketed(df: DataFrame, at: str, size: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(at) / size))
+def bucketed(df: DataFrame, keys: list[str], at: str, size: int | None) -> DataFrame:
+    """Rows with the bucket of their key they fall in: stretches of ``size`` where the order column
+    is as dense as the rows (line numbers), else cuts at the key's own quantiles, so that a
+    bucket holds about ``ROWS`` rows, or one of ``QUANTILES`` parts of a longer key, however close its
+    times lie. Rows that tie share a bucket."""
+    if size:
+        return df.withColumn("_bucket", F.floor(F.col(at) / size))
+    marks = [i / QUANTILES for i in range(1, QUANTILES)]
+    told = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(at, marks, 10_000).alias("_cuts"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES * ROWS) / F.col("_rows")))
+    told = told.select(*keys, F.array_distinct(F.filter("_cuts", lambda e, i: (i + 1) % step == 0)).alias("_cuts"))
+    left, right = df.alias("l"), told.alias("r")
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}")) for name in keys])
+    before = F.size(F.filter("r._cuts", lambda e: e < F.col(f"l.{at}")))
+    return left.join(right, on).select("l.*", before.cast("long").alias("_bucket"))
 
 
 def _with_carry(df: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
@@ -36,7 +52,7 @@ def _with_carry(df: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
 
 def row_numbers(df: DataFrame, keys: list[str], at: str, order: list[Column], out: str, size: int = 4096) -> DataFrame:
     """``row_number`` over (keys order by ``order``), whose first column is ``at``."""
-    cut = bucketed(df, at, size)
+    cut = bucketed(df, keys, at, size)
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0))).drop("_n")
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
@@ -47,9 +63,9 @@ def row_numbers(df: DataFrame, keys: list[str], at: str, order: list[Column], ou
     )
 
 
-def previous(df: DataFrame, keys: list[str], at: str, order: list[str], payload: list[str], size: int = HOUR_MS * 24) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], at: str, order: list[str], payload: list[str], size: int | None = None) -> DataFrame:
     """``lag`` of the payload columns by one row, as ``prev_<name>`` columns."""
-    cut = bucketed(df, at, size)
+    cut = bucketed(df, keys, at, size)
     value = F.struct(*[F.col(name) for name in payload])
     rank = F.struct(*[F.col(name) for name in order])
     last = cut.groupBy(*keys, "_bucket").agg(F.max_by(value, rank).alias("_last"))
@@ -64,7 +80,7 @@ def previous(df: DataFrame, keys: list[str], at: str, order: list[str], payload:
 
 def fill_forward(df: DataFrame, keys: list[str], at: str, names: list[str], size: int = 4096) -> DataFrame:
     """Replace nulls by the last non-null value at or before them, per column."""
-    cut = bucketed(df, at, size)
+    cut = bucketed(df, keys, at, size)
     last = cut.groupBy(*keys, "_bucket").agg(
         *[F.max_by(name, F.when(F.col(name).isNotNull(), F.col(at))).alias(f"_last_{name}") for name in names]
     )
@@ -85,7 +101,7 @@ def fill_forward(df: DataFrame, keys: list[str], at: str, names: list[str], size
 
 def running_total(df: DataFrame, keys: list[str], at: str, amount: str, out: str, size: int = 4096) -> DataFrame:
     """Sum of ``amount`` from the key's first row to this one."""
-    cut = bucketed(df, at, size)
+    cut = bucketed(df, keys, at, size)
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_sum"))
     carry = sums.withColumn("_carry", F.coalesce(F.sum("_sum").over(_earlier(keys)), F.lit(0))).drop("_sum")
     here = Window.partitionBy(*keys, "_bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
@@ -98,7 +114,7 @@ def running_total(df: DataFrame, keys: list[str], at: str, amount: str, out: str
 
 def last_two_at(
     events: DataFrame, marks: DataFrame, keys: list[str], event_at: str, mark_at: str,
-    mark_order: list[str], payload: list[str], size: int = HOUR_MS * 24,
+    mark_order: list[str], payload: list[str], size: int | None = None,
 ) -> DataFrame:
     """Each event with the last mark at or before it (``last``) and the mark
     before that one (``before_last``), both structs of ``payload``."""
@@ -116,7 +132,7 @@ def last_two_at(
         events.select(*keys, F.col(event_at).alias("_t"), F.lit(1).alias("_o"), body.alias("_event")),
         allowMissingColumns=True,
     )
-    cut = bucketed(line, "_t", size)
+    cut = bucketed(line, keys, "_t", size)
     ends = cut.filter("_o = 0").groupBy(*keys, "_bucket").agg(
         F.max_by("_mark", F.struct("_t", "_rank")).alias("_end")
     )
@@ -133,7 +149,7 @@ def last_two_at(
 
 def sole_container(
     points: DataFrame, spans: DataFrame, keys: list[str], at: str,
-    start: str, end: str, owner: str, size: int = HOUR_MS,
+    start: str, end: str, owner: str, size: int | None = None,
 ) -> DataFrame:
     """Each point with the owner of the one span of its key holding it.
 
@@ -153,7 +169,7 @@ def sole_container(
             allowMissingColumns=True,
         )
     )
-    cut = bucketed(sweep, "_t", size)
+    cut = bucketed(sweep, keys, "_t", size)
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum("_d").alias("_d"), F.bit_xor("_h").alias("_h"))
     carry = sums.select(
         *keys, "_bucket",
@@ -182,7 +198,7 @@ def ranges(df: DataFrame, keys: list[str], at: str, size: int = 4096) -> DataFra
     Runs are found inside each bucket; only those touching a bucket's edge, at
     most two per bucket, can be parts of a longer run and are joined up.
     """
-    cut = bucketed(df.select(*keys, at).distinct(), at, size)
+    cut = bucketed(df.select(*keys, at).distinct(), keys, at, size)
     place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(at))
     parts = (
         cut.withColumn("_island", F.col(at) - place)

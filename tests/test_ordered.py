@@ -84,3 +84,16 @@ def test_last_two_at(spark):
     for _, e, t in events:
         seen = [name for at, name in inorder if at <= t]
         assert got[e] == (seen[-1] if seen else None, seen[-2] if len(seen) > 1 else None)
+
+
+def test_a_busy_minute_is_cut_by_rows(spark):
+    """One key's rows within a minute: no bucket holds more than twice its share."""
+    rows = spark.range(200_000).select(F.lit("run").alias("k"), (F.xxhash64("id") % 30_000).alias("at"))
+    sizes = [r["count"] for r in ordered.bucketed(rows, ["k"], "at", None).groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 2 * 200_000 / len(sizes)
+
+
+def test_buckets_by_rows_change_no_answer(frame, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 8)
+    got = {(r.k, r.at): r.prev_at for r in ordered.previous(frame, ["k"], "at", ["at"], ["at"]).collect()}
+    assert got == {(k, r[1]): (group[i - 1][1] if i else None) for k, group in by_key(rows).items() for i, r in enumerate(group)}
