@@ -55,9 +55,9 @@ def pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of all texts of a batch: row, place of the first string, number of strings, head and
-    content (hashes) of every stretch."""
-    out: dict[str, list[np.ndarray]] = {name: [] for name in ("row", "start", "n", "head", "content")}
+    """Of all texts of a batch: row, place of the first string, number of strings, the head's place
+    in the first string, head and content (hashes) of every stretch."""
+    out: dict[str, list[np.ndarray]] = {name: [] for name in ("row", "start", "n", "offset", "head", "content")}
     width = LENGTH - HEAD + 1
     for rows, begins, ends in pieces(offsets):
         sizes = ends - begins
@@ -83,6 +83,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         out["row"].append(rows[valid[first]])
         out["start"].append(start - at[valid[first]] + begins[valid[first]] - offsets[rows[valid[first]]])
         out["n"].append(n)
+        out["offset"].append(chosen - start)
         out["head"].append(heads[chosen])
         out["content"].append(content)
     kinds = {"head": np.uint64, "content": np.uint64}
@@ -104,7 +105,16 @@ def changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-FIELDS = ("head", "content", "doc", "tie", "start", "n", "several")
+def home_of(head: np.ndarray) -> np.ndarray:
+    """Part of a head's hash by which its strings find their shard."""
+    return (head >> np.uint64(33)).astype(np.int64)
+
+
+def stacked(*columns: np.ndarray) -> np.ndarray:
+    return np.stack([c.astype(np.int64) for c in columns])
+
+
+FIELDS = ("head", "content", "doc", "tie", "start", "n", "offset", "several")
 
 
 class Family:
@@ -117,7 +127,7 @@ class Family:
 
     def tell(self, to: list[np.ndarray], rows: dict[str, np.ndarray], which: np.ndarray) -> None:
         if which.any():
-            to.append(np.stack([rows["doc"][which], rows["tie"][which], rows["start"][which], rows["n"][which]]))
+            to.append(stacked(rows["doc"][which], rows["tie"][which], rows["start"][which], rows["n"][which], rows["offset"][which], home_of(rows["head"][which])))
 
     def add(self, batch: dict[str, np.ndarray]) -> None:
         """Scan a sorted batch against every level, then make it one."""
@@ -148,15 +158,15 @@ class Family:
         same = (batch["tie"][b] == level["tie"][a]) & (batch["start"][b] == level["start"][a]) & (batch["doc"][b] == level["doc"][a])
         self.tell(self.marks, batch, np.isin(np.arange(len(batch["head"])), b[later & ~same]))
         self.tell(self.marks, level, np.isin(np.arange(len(level["head"])), a[~later]))
-        for name in ("doc", "tie", "start", "n"):
+        for name in ("doc", "tie", "start", "n", "offset"):
             level[name][a[~later]] = batch[name][b[~later]]
             batch[name][b[later]] = level[name][a[later]]
 
 
-PACKED = "shard int, head binary, content binary, doc binary, tie binary, start binary, n binary, several binary, told binary"
-ARROW_PACKED = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("head", "content", "doc", "tie", "start", "n", "several", "told")]])
-FOUND = "kind byte, doc long, tie int, start int, n int"
-ARROW_FOUND = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+PACKED = "shard int, head binary, content binary, doc binary, tie binary, start binary, n binary, offset binary, several binary, told binary"
+ARROW_PACKED = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("head", "content", "doc", "tie", "start", "n", "offset", "several", "told")]])
+FOUND = "kind byte, doc long, tie int, start int, n int, offset int, home int"
+ARROW_FOUND = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("offset", pa.int32()), ("home", pa.int32())])
 
 
 def batch_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]]:
@@ -166,20 +176,20 @@ def batch_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]
     doc = batch.column("doc").to_numpy(zero_copy_only=False)[rows["row"]]
     tie = batch.column("tie").to_numpy(zero_copy_only=False)[rows["row"]]
     order = order_of(rows["head"], rows["content"], doc, tie, rows["start"])
-    head, content, start, n = (rows[name][order] for name in ("head", "content", "start", "n"))
+    head, content, start, n, offset = (rows[name][order] for name in ("head", "content", "start", "n", "offset"))
     doc, tie = doc[order], tie[order]
     lead = changes(head, content)
     leader = np.maximum.accumulate(np.where(lead, np.arange(len(head)), 0))
     # The same place of the same document, read twice, is no repeat.
     repeat = ~lead & ~((doc == doc[leader]) & (tie == tie[leader]) & (start == start[leader]))
-    told = [np.stack([np.full(int(repeat.sum()), MARK), doc[repeat], tie[repeat], start[repeat], n[repeat]])]
-    head, content, start, n, doc, tie = (values[lead] for values in (head, content, start, n, doc, tie))
+    told = [stacked(np.full(int(repeat.sum()), MARK), doc[repeat], tie[repeat], start[repeat], n[repeat], offset[repeat], home_of(head[repeat]))]
+    head, content, start, n, offset, doc, tie = (values[lead] for values in (head, content, start, n, offset, doc, tie))
     new = changes(head)
     group = np.cumsum(new) - 1
     several = np.bincount(group, minlength=int(new.sum()))[group] > 1 if len(group) else np.zeros(0, bool)
-    told.append(np.stack([np.full(int(several.sum()), ASK), doc[several], tie[several], start[several], n[several]]))
-    told = np.concatenate(told, axis=1).astype(np.int64)
-    head, content, start, n, doc, tie, several = (values[new] for values in (head, content, start, n, doc, tie, several))
+    told.append(stacked(np.full(int(several.sum()), ASK), doc[several], tie[several], start[several], n[several], offset[several], home_of(head[several])))
+    told = np.concatenate(told, axis=1)
+    head, content, start, n, offset, doc, tie, several = (values[new] for values in (head, content, start, n, offset, doc, tie, several))
     shard = (head % np.uint64(shards)).astype(np.int64)
     where = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[where], np.arange(shards + 1))
@@ -190,7 +200,7 @@ def batch_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]
         if len(own) or part.shape[1]:
             yield {
                 "shard": s, "head": head[own].tobytes(), "content": content[own].tobytes(), "doc": doc[own].astype(np.int64).tobytes(), "tie": tie[own].astype(np.int32).tobytes(),
-                "start": start[own].astype(np.int32).tobytes(), "n": n[own].astype(np.uint8).tobytes(), "several": several[own].tobytes(), "told": np.ascontiguousarray(part).tobytes(),
+                "start": start[own].astype(np.int32).tobytes(), "n": n[own].astype(np.uint8).tobytes(), "offset": offset[own].astype(np.uint8).tobytes(), "several": several[own].tobytes(), "told": np.ascontiguousarray(part).tobytes(),
             }
 
 
@@ -199,15 +209,15 @@ def found_table(parts: list[tuple[int, np.ndarray]]) -> pa.Table:
         return pa.Table.from_pydict({name: [] for name in ARROW_FOUND.names}, schema=ARROW_FOUND)
     kind = np.concatenate([np.full(p.shape[1], k, np.int8) for k, p in parts])
     rows = np.concatenate([p.astype(np.int64) for _, p in parts], axis=1)
-    return pa.table([pa.array(kind), pa.array(rows[0]), *(pa.array(rows[i].astype(np.int32)) for i in (1, 2, 3))], schema=ARROW_FOUND)
+    return pa.table([pa.array(kind), pa.array(rows[0]), *(pa.array(rows[i].astype(np.int32)) for i in range(1, 6))], schema=ARROW_FOUND)
 
 
 def scan_shard(table: pa.Table) -> pa.Table:
     family, parts = Family(), []
-    kinds = {"head": np.uint64, "content": np.uint64, "doc": np.int64, "tie": np.int32, "start": np.int32, "n": np.uint8, "several": bool}
+    kinds = {"head": np.uint64, "content": np.uint64, "doc": np.int64, "tie": np.int32, "start": np.int32, "n": np.uint8, "offset": np.uint8, "several": bool}
     columns = {name: table.column(name) for name in table.column_names}
     for i in range(table.num_rows):
-        told = np.frombuffer(columns["told"][i].as_py(), np.int64).reshape(5, -1)
+        told = np.frombuffer(columns["told"][i].as_py(), np.int64).reshape(7, -1)
         parts += [(kind, told[1:, told[0] == kind]) for kind in (MARK, ASK)]
         batch = {name: np.frombuffer(columns[name][i].as_py(), kind).copy() for name, kind in kinds.items()}
         if len(batch["head"]):
@@ -224,7 +234,8 @@ def joined_spans(docs: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> np.n
     new[1:] |= starts[1:] > starts[:-1] + 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(docs)) - 1
-    return np.stack([docs[first], ties[first], starts[first], starts[last] - starts[first] + 1]) if len(first) else np.zeros((4, 0), np.int64)
+    nothing = np.zeros(len(first), np.int64)
+    return np.stack([docs[first], ties[first], starts[first], starts[last] - starts[first] + 1, nothing, nothing]) if len(first) else np.zeros((6, 0), np.int64)
 
 
 def later_strings(string: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,50 +248,72 @@ def later_strings(string: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: n
 
 
 def string_rows(batch: pa.RecordBatch, shards: int) -> Iterator[dict[str, object]]:
-    """Hashes of all strings that a batch's texts are asked for, packed by shard."""
+    """Hashes of all strings that a batch's texts are asked for, packed by shard. A shard is
+    chosen by the head and by the head's place in the string, in eights, so neighbours mostly go
+    together and are sent as a run."""
     data, offsets = flat(batch.column("text"))
     docs, ties = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False)
-    strings, rows, starts = [], [], []
-    for row, asked in enumerate(batch.column("asked").to_pylist()):
-        at = np.unique(np.concatenate([np.arange(a["start"], a["start"] + a["n"]) for a in asked]))
+    strings, rows, starts, homes = [], [], [], []
+    lists = batch.column("asked")
+    bounds = lists.offsets.to_numpy()
+    asked = {name: lists.values.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("start", "n", "offset", "home")}
+    for row in range(batch.num_rows):
+        own = slice(bounds[row], bounds[row + 1])
+        n = asked["n"][own]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(asked["start"][own], n) + step
+        home = np.repeat(asked["home"][own], n) * 16 + (np.repeat(asked["offset"][own], n) - step) // 8
+        at, first = np.unique(at, return_index=True)
+        home = home[first]
         low, high = int(at[0]), int(at[-1]) + LENGTH
         text = data[offsets[row] + low : offsets[row] + high]
         for a in range(0, len(text), PIECE):
-            inside = at[(at - low >= a) & (at - low < a + PIECE)] - low - a
-            if len(inside):
-                strings.append(span_hashes(prefix_hashes(text[a : a + PIECE + LENGTH]), inside, inside + LENGTH))
-                rows.append(np.full(len(inside), row))
-                starts.append(inside + low + a)
+            inside = (at - low >= a) & (at - low < a + PIECE)
+            if inside.any():
+                place = at[inside] - low - a
+                strings.append(span_hashes(prefix_hashes(text[a : a + PIECE + LENGTH]), place, place + LENGTH))
+                rows.append(np.full(len(place), row))
+                starts.append(at[inside])
+                homes.append(home[inside])
     if not strings:
         return
-    string, row, start = np.concatenate(strings), np.concatenate(rows), np.concatenate(starts)
+    string, row, start, home = (np.concatenate(x) for x in (strings, rows, starts, homes))
     order, again = later_strings(string, docs[row], ties[row], start)
     late, first = order[again], order[changes(string[order])]
     told = joined_spans(docs[row[late]], ties[row[late]], start[late])
-    shard = (string[first] % np.uint64(shards)).astype(np.int64)
-    where = first[np.lexsort((start[first], row[first], shard))]
-    bounds = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+    shard = (mixed(home[first].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    by = np.lexsort((start[first], row[first], shard))
+    first, shard = first[by], shard[by]
+    bounds = np.searchsorted(shard, np.arange(shards + 1))
     spread = np.linspace(0, told.shape[1], shards + 1).astype(int)
     for s in range(shards):
-        own, part = where[bounds[s] : bounds[s + 1]], told[:, spread[s] : spread[s + 1]]
+        own, part = first[bounds[s] : bounds[s + 1]], told[:, spread[s] : spread[s + 1]]
         if len(own) or part.shape[1]:
+            new = changes(row[own])
+            if len(own):
+                new[1:] |= start[own][1:] != start[own][:-1] + 1
+            begin = np.flatnonzero(new)
+            lead = own[begin]
             yield {
-                "shard": s, "string": string[own].tobytes(), "doc": docs[row[own]].astype(np.int64).tobytes(), "tie": ties[row[own]].astype(np.int32).tobytes(),
-                "start": start[own].astype(np.int32).tobytes(), "told": np.ascontiguousarray(part).tobytes(),
+                "shard": s, "string": string[own].tobytes(), "doc": docs[row[lead]].astype(np.int64).tobytes(), "tie": ties[row[lead]].astype(np.int32).tobytes(),
+                "start": start[lead].astype(np.int32).tobytes(), "n": np.diff(np.append(begin, len(own))).astype(np.uint32).tobytes(), "told": np.ascontiguousarray(part).tobytes(),
             }
 
 
-STRINGS = "shard int, string binary, doc binary, tie binary, start binary, told binary"
-ARROW_STRINGS = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("string", "doc", "tie", "start", "told")]])
+STRINGS = "shard int, string binary, doc binary, tie binary, start binary, n binary, told binary"
+ARROW_STRINGS = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("string", "doc", "tie", "start", "n", "told")]])
 
 
 def compare_strings(table: pa.Table) -> pa.Table:
-    told = [np.frombuffer(v.as_py(), np.int64).reshape(4, -1) for v in table.column("told")]
-    kinds = {"string": np.uint64, "doc": np.int64, "tie": np.int32, "start": np.int32}
+    told = [np.frombuffer(v.as_py(), np.int64).reshape(6, -1) for v in table.column("told")]
+    kinds = {"string": np.uint64, "doc": np.int64, "tie": np.int32, "start": np.int32, "n": np.uint32}
     rows = {name: np.concatenate([np.frombuffer(v.as_py(), kind) for v in table.column(name)]) for name, kind in kinds.items()}
-    order, again = later_strings(rows["string"], rows["doc"], rows["tie"], rows["start"])
+    n = rows["n"].astype(np.int64)
+    doc, tie, start = (np.repeat(rows[name], n) for name in ("doc", "tie", "start"))
+    start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
+    order, again = later_strings(rows["string"], doc, tie, start)
     late = order[again]
-    return found_table([(MARK, p) for p in told] + [(MARK, joined_spans(rows["doc"][late], rows["tie"][late], rows["start"][late]))])
+    return found_table([(MARK, p) for p in told] + [(MARK, joined_spans(doc[late], tie[late], start[late]))])
 
 
 def packed(source: DataFrame, make, shards: int, schema: str, arrow: pa.Schema) -> DataFrame:
@@ -300,7 +333,7 @@ def repeated_strings(rows: DataFrame, total_bytes: int) -> DataFrame:
     first = packed(rows, batch_rows, shards, PACKED, ARROW_PACKED)
     found = written(first.groupBy("shard").applyInArrow(scan_shard, FOUND), "found")
     release_shuffles(rows.sparkSession)
-    asked = found.where(F.col("kind") == ASK).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
+    asked = found.where(F.col("kind") == ASK).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n", "offset", "home")).alias("asked"))
     texts = rows.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked")
     strings = packed(texts, string_rows, shards, STRINGS, ARROW_STRINGS)
     more = written(strings.groupBy("shard").applyInArrow(compare_strings, FOUND), "strings")
