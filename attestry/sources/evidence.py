@@ -58,21 +58,29 @@ def scoped_server_records(lines: DataFrame) -> DataFrame:
 def manifest_tables(manifests: DataFrame) -> dict[str, DataFrame]:
     """A manifest's child tables, one row per entry."""
     unmeasured = F.coalesce("unmeasured", F.array().cast("array<string>"))
+    listed = manifests.select(F.col("runId").alias("run_id"), F.explode(unmeasured).alias("id"))
+    known = listed.distinct()
 
-    def exploded(name: str, *extra) -> DataFrame:
-        return manifests.select(F.col("runId").alias("run_id"), F.explode(name).alias("e"), unmeasured.alias("u")).select("run_id", "u", "e.*")
+    def exploded(name: str) -> DataFrame:
+        return manifests.select(F.col("runId").alias("run_id"), F.explode(name).alias("e")).select("run_id", "e.*")
 
-    declined = F.array_contains("u", F.col("id")).alias("declined")
-    branches = exploded("branches")
+    def marked(entries: DataFrame, column: str, mark: str) -> DataFrame:
+        """Entries with whether the run's manifests leave the id unmeasured: a join, so that
+        no entry carries the whole list."""
+        told = known.select("run_id", F.col("id").alias(column), F.lit(True).alias(mark))
+        return entries.join(told, ["run_id", column], "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+    branches = exploded("branches").select("run_id", F.col("id").alias("branch_id"), "kind", "file", "line", F.col("column").alias("col"), F.explode("alternatives").alias("a")).select(
+        "run_id", "branch_id", "kind", F.col("a.id").alias("id"), F.col("a.label").alias("label"), "file", "line", "col")
     return {
-        "points": exploded("points").select("run_id", "id", "kind", "file", "line", F.col("column").alias("col"), "source", "label", declined),
-        "decisions": exploded("decisions").select("run_id", "id", "file", "line", F.col("column").alias("col"), "source", F.size("conditions").alias("conditions"), declined),
-        "branches": branches.select("run_id", F.col("id").alias("branch_id"), "kind", "file", "line", F.col("column").alias("col"), "u", F.explode("alternatives").alias("a")).select(
-            "run_id", "branch_id", "kind", F.col("a.id").alias("id"), F.col("a.label").alias("label"), "file", "line", "col",
-            (F.array_contains("u", F.col("a.id")) | F.array_contains("u", F.col("branch_id"))).alias("declined")),
+        "points": marked(exploded("points"), "id", "declined").select("run_id", "id", "kind", "file", "line", F.col("column").alias("col"), "source", "label", "declined"),
+        "decisions": marked(exploded("decisions"), "id", "declined").select(
+            "run_id", "id", "file", "line", F.col("column").alias("col"), "source", F.size("conditions").alias("conditions"), "declined"),
+        "branches": marked(marked(branches, "id", "_own"), "branch_id", "_whole").select(
+            "run_id", "branch_id", "kind", "id", "label", "file", "line", "col", (F.col("_own") | F.col("_whole")).alias("declined")),
         "limitations": exploded("limitations").select("run_id", "id", "kind", "file", "line", F.col("column").alias("col"), "source", "reason", "blocking",
                                                       F.coalesce("wholeFile", F.lit(False)).alias("whole_file")),
-        "declined": manifests.select(F.col("runId").alias("run_id"), F.explode(unmeasured).alias("id")),
+        "declined": listed,
         "scope_entries": manifests.select(F.col("runId").alias("run_id"), F.explode("scope.entries").alias("e")).select(
             "run_id", "e.file", "e.status", "e.reason", F.col("e.packageRoot").alias("package_root")),
     }
