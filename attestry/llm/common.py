@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -56,9 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of results that are written and no
-    longer held: it learns of them only when both garbage collectors have run."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    longer held: it learns of them only when both garbage collectors have run, and a finished query
+    is held by Spark's listeners for a moment."""
+    for _ in range(2):
+        time.sleep(1)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def drop_written(df: DataFrame) -> None:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import flat, lowered, mixed, passes, prefix_hashes, span_hashes, table, text_of, words
+from attestry.llm.common import flat, lowered, mixed, passes, prefix_hashes, ship_package, span_hashes, table, text_of, words
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.97
@@ -265,6 +265,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     nothing; items that are null, have no words or no id leak nowhere; of items with one id each counts. A
     null doc_id is kept. Empty tables give no rows; other columns are not read."""
     spark = docs.sparkSession
+    ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import flat, lowered, parts_for, passes, words, written
+from attestry.llm.common import flat, lowered, parts_for, passes, ship_package, words, written
 from attestry.llm.components import components
 
 SAMPLE = 16_384
@@ -86,6 +86,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             values = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -177,6 +178,7 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     """(a, b): a spanning forest, shard by shard, of the links within ``bits`` bits among
     distinct fingerprints ``fp``."""
     spark = distinct.sparkSession
+    ship_package(spark)
     blocks = next(n for n in range(1, 65) if bits // n <= 1) if bits > 1 else 1
     radius = bits // blocks
     count = distinct.count()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import flat, mixed, parts_for, prefix_hashes, release_shuffles, span_hashes, text_of, written
+from attestry.llm.common import flat, mixed, parts_for, prefix_hashes, release_shuffles, ship_package, span_hashes, text_of, written
 
 LENGTH, HEAD = 100, 32
 #: Bytes that one numpy pass works on; longer texts are cut there, with the strings across the cut.
@@ -317,6 +317,8 @@ def compare_strings(table: pa.Table) -> pa.Table:
 
 
 def packed(source: DataFrame, make, shards: int, schema: str, arrow: pa.Schema) -> DataFrame:
+    ship_package(source.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(make(batch, shards))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from attestry.llm.common import parts_for, with_fields, written
+from attestry.llm.common import parts_for, ship_package, with_fields, written
 
 LONGEST, HASHED = 512, 1536
 BLOCK_VECTORS, BLOCK_QUERIES = 2048, 512
@@ -117,6 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     a null component take no part; of rows with one id, the one whose vector sorts first counts. Vectors
     only meet vectors of their own dimension. Empty tables give no rows."""
     spark = vectors.sparkSession
+    ship_package(spark)
 
     def clean(df: DataFrame) -> DataFrame:
         good = df.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull()))
