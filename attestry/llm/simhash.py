@@ -239,13 +239,3 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
 
 def op7_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: five-word shingles, links at five bits or fewer; of every group the
-    row with the smallest doc_id stays (of rows that share it, one). Rows without an id stay."""
-    columns = docs.columns
-    kept = near_duplicates(docs, bits=5, width=5).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    chosen = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    once = chosen.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull())).select(*columns)

@@ -8,8 +8,8 @@ from attestry.llm.common import table, written
 from attestry.llm.convnet import keep_good
 from attestry.llm.decontaminate import drop_leaks
 from attestry.llm.linededup import drop_repeated_lines
+from attestry.llm.nearcopies import drop_near_copies
 from attestry.llm.pieces import encode_stage
-from attestry.llm.simhash import drop_near_copies
 
 #: (name, function of (spark, docs, sf_dir)): each works on all its predecessor kept, and all
 #: but the last return the columns of documents.
