@@ -1,7 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's shingles are the ``SHINGLE`` characters from every word's start on (in scripts without blanks from
-every character). Its signature has ``BANDS * ROWS`` minima of their hashes, each under another
+A line's shingles are the ``SHINGLE`` characters from every character on; a shorter line is one shingle. Its signature has ``BANDS * ROWS`` minima of their hashes, each under another
 permutation (the hash with its bits turned round and some flipped). Lines that agree on all rows of a band are
 candidates: at the threshold of 0.8 a pair meets with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.99.
 
@@ -31,10 +30,11 @@ THRESHOLD = 0.8
 #: Of all minima, how many a candidate pair must share to be verified: a pair at the
 #: threshold shares fewer once in a thousand times.
 AGREEING = 13
-#: Scripts written without blanks: every character of them starts a shingle.
-WIDE = r"\u0E00-\u0EFF\u1000-\u11FF\u1780-\u17FF\u2E80-\uD7FF\uF900-\uFAFF"
-#: A shingle starts where a word does, or, in longer runs, after each 24 characters.
-SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:[{WIDE}]|[^\s{WIDE}]{{1,24}})"
+#: A line's shingles, one from every character that has enough behind it.
+SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}|\A.{{1,{SHINGLE - 1}}}(?!.)))."
+#: Characters of a longer line that are cut at a time for its signature.
+LONG = 8192
+WINDOWS = rf"(?s)(?=(.{{{SHINGLE},{LONG + SHINGLE - 1}}})).{{1,{LONG}}}"
 
 
 def _seeds(count: int, seed: int = 20_011) -> list[int]:
@@ -59,6 +59,11 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
 
 
+def windows(line: Column) -> Column:
+    """Overlapping stretches that have a long line's shingles between them; other lines whole."""
+    return F.when(F.length(line) > LONG, F.regexp_extract_all(line, F.lit(WINDOWS), F.lit(1))).otherwise(F.array(line))
+
+
 def permuted(h: Column, number: int, seed: int) -> Column:
     """One of several bijections of 64-bit values: bits turned round, then flipped."""
     turn = 1 + 2 * number
@@ -69,7 +74,8 @@ def permuted(h: Column, number: int, seed: int) -> Column:
 def signatures(lines: DataFrame) -> DataFrame:
     """(id, m0, m1, ...): minima of the shingles' hashes, each distinct line once. Two
     minima are taken for equal by their upper 32 bits."""
-    hashes = lines.where(said()).select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    cut = lines.where(said()).select("id", F.explode(windows(F.col("line"))).alias("w"))
+    hashes = cut.select("id", F.explode(shingles(F.col("w"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
     minima = [F.min(permuted(F.col("h"), j, seed)).alias(f"m{j}") for j, seed in enumerate(_seeds(BANDS * ROWS))]
     found = hashes.groupBy("id").agg(*minima)
     return found.select("id", *[F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(BANDS * ROWS)])
@@ -92,11 +98,10 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     likely = written(likely, "likely")
     close = likely.where("likely")
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    # Shingles are taken once for a line, however many pairs it is in.
-    sets = lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = written(sets.select("id", shingle_set(F.col("line")).alias("set")), "sets")
-    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = close.join(a, "a").join(b, "b")
+    # Texts travel, not their sets, which are eight times as large.
+    texts = written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    both = close.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
     looked = both.select("a", "b", (jaccard(F.col("x"), F.col("y")) >= THRESHOLD).alias("near"))
     return looked.unionByName(likely.where(~F.col("likely")).select("a", "b", F.lit(False).alias("near")))
 
