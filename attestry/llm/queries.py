@@ -13,8 +13,8 @@ from attestry.llm.decontaminate import op3_decontaminate
 from attestry.llm.interleave import op5_interleave
 from attestry.llm.licences import ORACLE as LICENCES_SQL
 from attestry.llm.licences import op6_licences
-
 from attestry.llm.linededup import op2_lines
+from attestry.llm.periodic import op13_runs
 from attestry.llm.pieces import op9_pieces
 from attestry.llm.pitmanyor import op1_language_model
 from attestry.llm.simhash import op7_simhash
@@ -39,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pieces": over("documents", op9_pieces),
     "op10_repeats": over("documents", op10_repeats),
+    "op13_runs": over("documents", op13_runs),
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
