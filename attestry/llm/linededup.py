@@ -1,17 +1,20 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's shingles are the ``SHINGLE`` characters from every character on; a shorter line is one shingle. Its signature has ``BANDS * ROWS`` minima of their hashes, each under another
-permutation (the hash with its bits turned round and some flipped). Lines that agree on all rows of a band are
-candidates: at the threshold of 0.8 a pair meets with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.99.
-
-A bucket of a band never puts out all its pairs. Each member is verified against the bucket's smallest
-line by exact Jaccard similarity of their shingles; those that pass are in one component already. Only those
-that fail are verified against the other members, so no link between components is lost, and a
-bucket of thousands of likes costs one row each. Links become components by a distributed union-find, and
-of each component the first line by (doc_id, line number) stays.
-
-Lines are compared as they stand, and equal ones are one from the start (by a 64-bit hash). Signatures
-are taken where the documents are read; only they, keys and the texts of candidates are shuffled.
+A line's shingles are the ``SHINGLE`` characters from every character on; a shorter line is one shingle. Every
+distinct line gets a signature of ``BANDS * ROWS`` minima of their hashes, each under another permutation (the hash
+with its bits turned round and some flipped). Lines that agree on all rows of a band are candidates: at the
+threshold of 0.8 a pair meets with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.99.
+
+A bucket of a band never puts out its pairs. Each member is verified against the bucket's head, the line with the most
+copies, by exact Jaccard similarity; those that pass are in one component. Two members of which one fails can only
+be alike where they differ from the head alike: similarity is a bound on the symmetric difference, and
+that of two lines is what their differences from the head do not share. So members meet again by a shingle
+that both have and the head lacks, or both lack and the head has, rare ones first, and only where enough of
+their differences can still be shared from there on. No link that the bands find is lost, and variants of
+a common line that differ in different words never meet. Links become components by a distributed union-find, and of
+each component the first line by (doc_id, line number) stays.
+
+Lines are compared as they stand, and equal ones are one from the start (by a 64-bit hash).
 """
 
 from __future__ import annotations
@@ -26,14 +29,10 @@ from attestry.llm.components import components
 
 SHINGLE = 12
 BANDS, ROWS = 9, 3
-THRESHOLD = 0.8
-#: Of all minima, how many a candidate pair must share to be verified: a pair at the
-#: threshold shares fewer once in a thousand times.
-AGREEING = 13
-#: A line's shingles, one from every character that has enough behind it.
-SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}|\A.{{1,{SHINGLE - 1}}}(?!.)))."
-#: Characters of a longer line that are cut at a time for its signature.
-LONG = 8192
+#: Two lines are alike if SAME of OF shingles of their union are common.
+SAME, OF = 4, 5
+#: Shingles of a longer line that are cut at a time: to find a character takes a step for each before it.
+LONG = 32
 WINDOWS = rf"(?s)(?=(.{{{SHINGLE},{LONG + SHINGLE - 1}}})).{{1,{LONG}}}"
 
 
@@ -55,13 +54,17 @@ def said() -> Column:
     return F.length(F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))) > 0
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
-
-
 def windows(line: Column) -> Column:
     """Overlapping stretches that have a long line's shingles between them; other lines whole."""
-    return F.when(F.length(line) > LONG, F.regexp_extract_all(line, F.lit(WINDOWS), F.lit(1))).otherwise(F.array(line))
+    return F.when(F.length(line) >= LONG + SHINGLE, F.regexp_extract_all(line, F.lit(WINDOWS), F.lit(1))).otherwise(F.array(line))
+
+
+def starts(window: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(window) - (SHINGLE - 1), F.lit(1)))
+
+
+def shingle(window: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(window, start, F.lit(SHINGLE)))
 
 
 def permuted(h: Column, number: int, seed: int) -> Column:
@@ -71,18 +74,18 @@ def permuted(h: Column, number: int, seed: int) -> Column:
     return turned.bitwiseXOR(F.lit(seed))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...): minima of the shingles' hashes, each distinct line once. Two
-    minima are taken for equal by their upper 32 bits."""
-    cut = lines.where(said()).select("id", F.explode(windows(F.col("line"))).alias("w"))
-    hashes = cut.select("id", F.explode(shingles(F.col("w"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+def signatures(texts: DataFrame) -> DataFrame:
+    """(id, m0, m1, ...): minima of the shingles' hashes of distinct lines. Two minima are
+    taken for equal by their upper 32 bits."""
+    cut = texts.select("id", F.explode(windows(F.col("line"))).alias("w"))
+    hashes = cut.select("id", "w", F.explode(starts(F.col("w"))).alias("i")).select("id", shingle(F.col("w"), F.col("i")).alias("h"))
     minima = [F.min(permuted(F.col("h"), j, seed)).alias(f"m{j}") for j, seed in enumerate(_seeds(BANDS * ROWS))]
     found = hashes.groupBy("id").agg(*minima)
     return found.select("id", *[F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(BANDS * ROWS)])
 
 
 def shingle_set(line: Column) -> Column:
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.flatten(F.transform(windows(line), lambda w: F.transform(starts(w), lambda i: shingle(w, i)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -90,43 +93,56 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b), with the minima of both as p and q, and whether their similarity reaches
-    the threshold. Pairs whose minima say that they are far off are not looked at."""
-    shared = sum((F.col("p")[j] == F.col("q")[j]).cast("int") for j in range(BANDS * ROWS))
-    likely = pairs.select("a", "b", (shared >= AGREEING).alias("likely"))
-    likely = written(likely, "likely")
-    close = likely.where("likely")
-    ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    # Texts travel, not their sets, which are eight times as large.
-    texts = written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = close.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
-    looked = both.select("a", "b", (jaccard(F.col("x"), F.col("y")) >= THRESHOLD).alias("near"))
-    return looked.unionByName(likely.where(~F.col("likely")).select("a", "b", F.lit(False).alias("near")))
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, near, n, apart) of the pairs (a, b) of lines: whether they are alike, how many shingles b has, and
+    those that one has and the other lacks."""
+    of = texts.select("id", "line")
+    a, b = (of.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
+    both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
+    parts = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
+    sized = parts.select("a", "b", "n", (F.col("nx") - F.size("less")).alias("common"), "nx", F.concat("more", "less").alias("apart"))
+    near = F.col("common") * OF >= (F.col("nx") + F.col("n") - F.col("common")) * SAME
+    return sized.select("a", "b", near.alias("near"), "n", "apart")
+
+
+def meeting_again(checked: DataFrame) -> DataFrame:
+    """(a, b): members of one head, one of which is unlike the head, that may be alike.
+
+    Alike means |x ^ y| * (OF + SAME) <= (OF - SAME) * (|x| + |y|), and |x ^ y| = dx + dy - 2 |common differences|. With
+    all differences in one order, the rarest of the head's members first, a pair's first common one has all the others
+    behind it on both sides, and it is among the first n / 4 of either, or too few are left for any y."""
+    others = checked.join(checked.where(~F.col("near")).select("a").distinct(), "a", "left_semi")
+    each = others.select("a", "b", "near", "n", F.size("apart").alias("d"), F.explode("apart").alias("e"))
+    held = each.groupBy("a", "e").agg(F.count("*").alias("held"))
+    most = F.floor(F.col("n") * (OF - SAME) / SAME).cast("int") + 1
+    ranked = each.join(held, ["a", "e"]).groupBy("a", "b", "near", "n", "d").agg(F.sort_array(F.collect_list(F.struct("held", "e"))).alias("apart"))
+    ranked = written(ranked.withColumn("apart", F.slice("apart", 1, most)), "apart")
+
+    def exploded(rows: DataFrame, side: str) -> DataFrame:
+        placed = rows.select("a", F.col("b").alias(side), (~F.col("near")).alias(f"far_{side}"), F.col("n").alias(f"n_{side}"), F.col("d").alias(f"d_{side}"), F.posexplode("apart").alias(f"at_{side}", "common"))
+        return placed.where("common.held > 1").select("*", "common.e").drop("common")
+
+    c = F.col
+    left = F.least(c("d_x") - c("at_x"), c("d_y") - c("at_y"))
+    enough = (c("d_x") + c("d_y") - 2 * left) * (OF + SAME) <= (OF - SAME) * (c("n_x") + c("n_y"))
+    once = F.when(c("far_y"), c("x.x") < c("y.y")).otherwise(c("x.x") != c("y.y"))
+    x, y = exploded(ranked.where(~F.col("near")), "x").alias("x"), exploded(ranked, "y").alias("y")
+    met = x.join(y, (c("x.a") == c("y.a")) & (c("x.e") == c("y.e")) & enough & once)
+    return met.select(F.least("x.x", "y.y").alias("a"), F.greatest("x.x", "y.y").alias("b")).distinct()
 
 
 def line_components(lines: DataFrame) -> DataFrame:
     """(id, component) of lines that are linked to a different line."""
-    keyed = written(signatures(lines), "signatures")
+    texts = written(lines.where(said()).groupBy("line").agg(F.count("*").alias("copies")).select(F.xxhash64("line").alias("id"), "line", "copies"), "texts")
     bands = [F.xxhash64(F.lit(band), *[F.col(f"m{band * ROWS + row}") for row in range(ROWS)]) for band in range(BANDS)]
-    banded = keyed.select("id", F.explode(F.array(*bands)).alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head")).where(F.col("n") > 1).drop("n")
-    members = written(banded.join(buckets, "band").where(F.col("id") != F.col("head")), "members")
-    minima = keyed.select("id", F.array(*[F.col(f"m{j}") for j in range(BANDS * ROWS)]).alias("minima"))
-
-    def signed(pairs: DataFrame) -> DataFrame:
-        p, q = minima.select(F.col("id").alias("a"), F.col("minima").alias("p")), minima.select(F.col("id").alias("b"), F.col("minima").alias("q"))
-        return pairs.join(p, "a").join(q, "b")
-
-    star = members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    checked = written(verified(signed(star), lines), "checked")
-    failing = members.join(checked.where(~F.col("near")).select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_semi")
-    others = members.select("band", F.col("id").alias("other"))
-    # Whoever failed meets every other member of its bucket; the rest are linked through its head.
-    left = failing.join(others, "band").where(F.col("id") != F.col("other"))
-    left = left.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    links = checked.where("near").select("a", "b").unionByName(verified(signed(left), lines).where("near").select("a", "b"))
+    weight = F.shiftleft(F.least("copies", F.lit(1 << 20)), 42).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 42) - 1)))
+    banded = signatures(texts).join(texts.select("id", weight.alias("weight")), "id").select("id", "weight", F.explode(F.array(*bands)).alias("band"))
+    banded = written(banded, "bands")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.max_by("id", "weight").alias("head")).where(F.col("n") > 1).drop("n")
+    members = banded.join(buckets, "band").where(F.col("id") != F.col("head"))
+    checked = written(compared(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts), "checked")
+    again = written(meeting_again(checked), "again")
+    links = checked.where("near").select("a", "b").unionByName(compared(again, texts).where("near").select("a", "b"))
     return components(links, name="lines").withColumnRenamed("node", "id")
 
 
@@ -142,17 +158,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return again.groupBy("key").agg(F.collect_set("line_no").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with the text its kept lines make, and n_lines and n_removed behind
-    the other columns (columns of those names are replaced).
-
-    Of every component of lines whose similarity reaches 0.8 the first stays, by doc_id (null first), then a
-    hash of the text, then line number. Rows with equal doc_id and text are one document: they are
-    answered alike. Lines without anything but white space stay. A null text stays null, with no lines; an
-    empty table gives no rows; columns other than doc_id and text are handed on."""
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    # The row travels as one value, so its columns can have any names.
-    keyed = docs.select(F.struct(*columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("key"))
+def answered(docs: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_removed): every row as one value, so its columns can have any names."""
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("key"))
     rows = keyed.join(removed_lines(docs), "key", "left")
     text = F.col("row")["text"]
     lines = F.split(text, "\n")
@@ -160,19 +168,35 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     left = F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
     whole = F.col("removed").isNull() | text.isNull()
     return rows.select(
-        *[F.when(whole, text).otherwise(left).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns],
+        "row",
+        F.when(whole, text).otherwise(left).alias("text"),
         F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).alias("n_lines"),
         F.when(whole, F.lit(0)).otherwise(F.size("removed")).alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with the text its kept lines make, and n_lines and n_removed behind
+    the other columns (columns of those names are replaced).
+
+    Of every component of lines whose similarity reaches 0.8 the first stays, by doc_id (null first), then a
+    hash of the text, then line number. Rows with equal doc_id and text are one document: they are
+    answered alike. Lines without anything but white space stay. A null text stays null, with no lines; an
+    empty table gives no rows; columns other than doc_id and text are handed on."""
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    done = answered(docs)
+    return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns], "n_lines", "n_removed")
+
+
 def op2_lines(docs: DataFrame) -> DataFrame:
     """Each document's numbers of lines and the digest of what stays of its text."""
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated lines go, and documents of which no line is left."""
-    columns = docs.columns
-    done = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    """Pipeline stage: repeated lines go, and documents of which no line is left. Columns of any name
+    are handed on as they are, but for text and, where there is one, n_chars. Nulls, blank lines and
+    repeated rows as in ``dedup_lines``."""
+    done = answered(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return done.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
