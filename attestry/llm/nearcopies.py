@@ -7,8 +7,9 @@ that is searched with radius 1: a pair meets in one of ten trees with probabilit
 meet are candidates within ``BITS`` of all bits (3.3 standard deviations above what is expected).
 
 Candidates are verified by their sets, so no chance link joins two texts. No group puts out all its pairs:
-in a round each text names its nearest candidates outside its component (1, then 4, then 16, ...), which are
-verified and merged; rounds end when no text has an untested candidate outside its component.
+in a round each text names its nearest candidates outside its component (1, then 4, then 16, ...); those not
+tested yet are verified and merged. A text without an untested candidate outside its component is settled,
+and only the others are filed again; rounds end when all are settled.
 """
 
 from __future__ import annotations
@@ -92,18 +93,21 @@ def visits(node: Tree, points: np.ndarray, rows: np.ndarray, home: bool, out: li
         visits(node.right, points, rows[right], False, out)
 
 
-def filed(distinct: DataFrame) -> DataFrame:
-    """(leaf, home, sid, p0, p1): every set in its own leaf of each tree and in those it visits."""
-    spark, count = distinct.sparkSession, distinct.count()
-    ship_package(spark)
+def trees(distinct: DataFrame) -> list[tuple[int, Tree]]:
+    """A vantage-point tree for each stretch of each fingerprint, grown on a bounded sample."""
+    count = distinct.count()
     drawn = distinct.select(*POINTS).orderBy(F.xxhash64(*POINTS), *POINTS).limit(SAMPLE).collect()
-    leaves, counter, trees = min(MOST_LEAVES, parts_for(count, LEAF)), [0], []
+    leaves, counter, grown = min(MOST_LEAVES, parts_for(count, LEAF)), [0], []
     edges = np.linspace(0, 64, STRETCHES + 1).astype(int)
     for k, name in enumerate(POINTS):
         sample = np.unique(np.array([r[name] for r in drawn], np.int64).view(np.uint64))
         for low, high in zip(edges[:-1], edges[1:]):
-            trees.append((k, grow(sample, sum(1 << int(i) for i in range(low, high)), RADIUS, leaves, counter)))
-    upper = spark.sparkContext.broadcast(trees)
+            grown.append((k, grow(sample, sum(1 << int(i) for i in range(low, high)), RADIUS, leaves, counter)))
+    return grown
+
+
+def filed(sets: DataFrame, upper) -> DataFrame:
+    """(leaf, home, sid, label, p0, p1): every set in its own leaf of each tree and in those it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +119,9 @@ def filed(distinct: DataFrame) -> DataFrame:
                     leaf = np.concatenate([np.full(len(rows), number, np.int32) for number, _, rows in out])
                     home = np.concatenate([np.full(len(rows), is_home) for _, is_home, rows in out])
                     moved = part.take(pa.array(np.concatenate([rows for _, _, rows in out])))
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), *moved.columns], names=["leaf", "home", "sid", *POINTS])
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), *moved.columns], names=["leaf", "home", "sid", "label", *POINTS])
 
-    return distinct.select("sid", *POINTS).mapInArrow(run, "leaf int, home boolean, sid long, p0 long, p1 long")
+    return sets.select("sid", "label", *POINTS).mapInArrow(run, "leaf int, home boolean, sid long, label long, p0 long, p1 long")
 
 
 def first_of_each(src: np.ndarray, dst: np.ndarray, d: np.ndarray, sid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +135,7 @@ def first_of_each(src: np.ndarray, dst: np.ndarray, d: np.ndarray, sid: np.ndarr
 
 
 def nearest(table: pa.Table, most: int) -> pa.Table:
-    """(a, b, d): what each set of a cell has nearest to it outside its component, untested."""
+    """(a, b, d): what each set of a cell has nearest to it outside its component."""
     home = table.column("home").to_numpy(zero_copy_only=False)
     chunk, low, high = table.column("chunk").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
     order = np.lexsort((~home,)) if low == high else np.argsort(chunk, kind="stable")
@@ -141,7 +145,6 @@ def nearest(table: pa.Table, most: int) -> pa.Table:
     # Within one chunk residents meet all behind them; of two chunks the first meets the second.
     split = int((chunk[order] == low).sum())
     compared = int(home.sum()) if low == high else split
-    failed = table.column("failed").to_pylist()
     none = np.zeros(0, np.int64)
     best = none, none, none
     for a in range(0, compared, 128):
@@ -157,8 +160,6 @@ def nearest(table: pa.Table, most: int) -> pa.Table:
         if low == high:
             fresh &= i < j
         i, j, far = i[fresh], j[fresh], far[fresh]
-        known = np.array([bool(failed[x]) and sid[y] in failed[x] for x, y in zip(i.tolist(), j.tolist())], bool)
-        i, j, far = (x[~known] for x in (i, j, far))
         best = first_of_each(*(np.concatenate(x) for x in zip(best, (i, j, far), (j, i, far))), sid, most)
     return pa.table({"a": sid[best[0]], "b": sid[best[1]], "d": best[2].astype(np.int32)})
 
@@ -168,35 +169,50 @@ def naming(most: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, component) of the sets that have a near copy."""
-    members = written(filed(distinct).withColumn("label", F.col("sid")).withColumn("failed", F.lit(None).cast("array<long>")), "near-leaves")
-    most, tested, sets = 1, None, None
+    """(node, component) of the sets that have a near copy.
+
+    A set is settled once it has no candidate outside its component but tested ones; as candidates are
+    mutual, later rounds are filed without it."""
+    spark = distinct.sparkSession
+    ship_package(spark)
+    upper = spark.sparkContext.broadcast(trees(distinct))
+    active, most, tested, sets = distinct.withColumn("label", F.col("sid")), 1, None, None
     while True:
+        members = written(filed(active, upper), "near-leaves")
         sizes = members.groupBy("leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
         dealt = members.join(sizes, "leaf").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")
         cells = dealt.select(*members.columns, "chunk", every).select("*", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high")).drop("with")
         found = cells.groupBy("leaf", "low", "high").applyInArrow(naming(most), "a long, b long, d int").distinct()
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= most)
-        pairs = written(ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        if pairs.isEmpty():
-            break
+        ranked = written(found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= most), "near-named")
+        named = ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(named if tested is None else named.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
         if sets is None:
-            active = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-            sets = written(shingle_sets(docs, distinct.select("key", "sid").join(active, "sid")), "near-sets")
+            wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+            sets = written(shingle_sets(docs, distinct.select("key", "sid").join(wanted, "sid")), "near-sets")
         a, b = sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), sets.select(F.col("sid").alias("b"), F.col("set").alias("y"))
         checked = pairs.join(a, "a").join(b, "b").select("a", "b", (jaccard(F.col("x"), F.col("y")) >= THRESHOLD).alias("near"))
         checked = written(checked, "near-checked")
-        tested = checked if tested is None else tested.unionByName(checked)
-        labels = components(tested.where("near"), name="near").select(F.col("node").alias("sid"), F.col("component").alias("now"))
-        misses = tested.where(~F.col("near"))
-        failed = misses.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(misses.select("b", "a")).groupBy("sid").agg(F.collect_list("other").alias("failed"))
-        left = members.drop("label", "failed").join(sets.select("sid"), "sid").join(labels, "sid", "left").join(failed, "sid", "left")
-        members = written(left.select("leaf", "home", "sid", *POINTS, F.coalesce("now", "sid").alias("label"), "failed"), "near-leaves")
+        tested = checked if tested is None else written(tested.unionByName(checked), "near-tested")
+        links = components(tested.where("near"), name="near")
+        # Whoever named something new, or was cut short, may have more.
+        open_ = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(ranked.where(F.col("rank") == most).select("a")).distinct()
+        labels = links.select(F.col("node").alias("sid"), F.col("component").alias("now"))
+        active = written(active.drop("label").join(open_, "sid").join(labels, "sid", "left").select("sid", *POINTS, F.coalesce("now", "sid").alias("label")), "near-active")
+        if active.isEmpty():
+            return links
         most *= 4
-    if tested is None:
-        return distinct.select(F.col("sid").alias("node"), F.col("sid").alias("component")).limit(0)
-    return components(tested.where("near"), name="near")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, least, component) for every row: a hash of its text, and of its component
+    the smallest id and the name."""
+    ship_package(docs.sparkSession)
+    marked = written(marks(docs), "near-marks")
+    distinct = written(marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *[F.min(p).alias(p) for p in POINTS]), "near-distinct")
+    named = distinct.join(linked(docs, distinct).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("least"))
+    return marked.join(named.drop("least").join(least, "component"), "sid").select("doc_id", "key", "least", "component")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -205,18 +221,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Texts without words have the same empty set. A null doc_id is kept in its row and never the
     smallest unless the component has no other. Repeated rows are each answered; an empty table gives no rows."""
-    ship_package(docs.sparkSession)
-    marked = written(marks(docs), "near-marks")
-    distinct = written(marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *[F.min(p).alias(p) for p in POINTS]), "near-distinct")
-    named = distinct.join(linked(docs, distinct).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(least, "component").select("sid", "component_id"), "sid").select("doc_id", "component_id")
+    return labelled(docs).select("doc_id", F.col("least").alias("component_id"))
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near copies the row with the smallest doc_id stays (of
-    rows that share it, one). Rows without an id stay."""
-    columns = docs.columns
-    kept = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull())).select(*columns)
+    """Pipeline stage: of every group of near copies one row stays, that with the smallest doc_id (rows without one
+    come last), then the smallest hash of its text. Rows of one id are held apart by their texts; columns of
+    any name are handed on."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    kept = labelled(docs).groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.key").alias("kept_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("key"))
+    left = rows.join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["id", "key"])
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
