@@ -1,6 +1,6 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: lower case, lines that only state a copyright dropped, every run
+A text is brought to a canonical form: lower case, lines that state a copyright dropped, every run
 of ASCII characters other than letters and digits one blank, equivalent spellings made one. The SHA-256
 of that form is looked up by a hash join among the digests of known licence texts, taken the same way.
 Whole documents are looked up, and every whole line, so that a notice inside a document is found too.
@@ -41,23 +41,28 @@ SPELLINGS = [
     ("whilst", "while"),
     ("https", "http"),
 ]
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-OTHERS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
-ANY_SPELLING = "|".join(said for said, _ in SPELLINGS)
-
-
-def canonical(text: Column) -> Column:
-    """The form whose digest is compared. Spellings are replaced as whole words; one
-    test first spares most texts the replacements."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1"), OTHERS, " "))
-    apart = F.concat(F.lit(" "), F.replace(bare, F.lit(" "), F.lit("  ")), F.lit(" "))
+#: A line that states a copyright by a sign or a year; sentences that speak of one stay, however they are wrapped.
+COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*((copyright[^\n]*?(\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*|all rights reserved[^a-z0-9\n]*)"
+#: Everything of ASCII but letters, digits and line feeds.
+OTHERS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
+ANY_SPELLING = r"[ \n](" + "|".join(said for said, _ in SPELLINGS) + r")[ \n]"
+
+
+def canonical_lines(text: Column) -> Column:
+    """A text's lines, each in the form whose digest is compared; a line that only states a copyright, or has no
+    words, is empty. Spellings are replaced as whole words; one test first spares most texts the replacements."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1"), OTHERS, " ")
+    framed = F.concat(F.lit("\n"), bare, F.lit("\n"))
+    # Words stand apart by two blanks each, so that neighbours are both seen.
+    apart = F.concat(F.lit(" "), F.replace(F.replace(bare, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for said, meant in SPELLINGS:
         apart = F.replace(apart, F.lit(f" {said} "), F.lit(f" {meant} "))
-    return F.when(bare.rlike(ANY_SPELLING), F.trim(F.replace(apart, F.lit("  "), F.lit(" ")))).otherwise(bare)
+    return F.transform(F.split(F.when(framed.rlike(ANY_SPELLING), F.replace(apart, F.lit("  "), F.lit(" "))).otherwise(bare), "\n"), lambda line: F.trim(line))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def joined(lines: Column) -> Column:
+    """The canonical form of a whole text from its lines'."""
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
 
 
 def builtin(spark) -> DataFrame:
@@ -68,7 +73,7 @@ def builtin(spark) -> DataFrame:
 def known_digests(licences: DataFrame) -> DataFrame:
     """(known, licence) of a table (licence, text): a text that comes out empty is no
     licence, and of several licences with one digest the first by name is kept."""
-    canon = licences.select("licence", canonical(text_of()).alias("_canon")).where(F.length("_canon") > 0)
+    canon = licences.select("licence", joined(canonical_lines(text_of())).alias("_canon")).where(F.length("_canon") > 0)
     return canon.groupBy(F.sha2("_canon", 256).alias("known")).agg(F.min("licence").alias("licence"))
 
 
@@ -79,22 +84,24 @@ def scan_licences(docs: DataFrame, licences: DataFrame) -> DataFrame:
 
     A null text is the empty one and no licence; a null doc_id is an id like others. Repeated rows are
     each answered; an empty table gives no rows; other columns are not read. Texts never move: the
-    licences are joined to them, a broadcast as long as Spark finds that table small, and only lines
-    that match are grouped."""
+    licences are joined to them, a broadcast as long as Spark finds that table small, and only digests of whole
+    texts and lines that match are grouped."""
     known = known_digests(licences)
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("_same", F.sha2("text", 256))
-    lines = rows.select("doc_id", "_same", F.posexplode(F.split("text", "\n")).alias("_line", "line"))
-    stated = lines.select("doc_id", "_same", "_line", digest(F.col("line")).alias("known")).join(known, "known")
+    canon = docs.select("doc_id", F.sha2(text_of(), 256).alias("_same"), canonical_lines(text_of()).alias("_lines"))
+    # Each text is brought to its form once: place 0 is the whole, then come its lines.
+    forms = canon.select("doc_id", "_same", F.posexplode(F.concat(F.array(joined(F.col("_lines"))), F.col("_lines"))).alias("_at", "_form"))
+    looked = forms.where((F.col("_at") == 0) | (F.col("_form") != "")).select("doc_id", "_same", "_at", F.sha2("_form", 256).alias("known")).join(known, "known", "left")
+    whole, line = F.col("_at") == 0, F.col("_at") > 0
     # Repeated rows give the same lines again: each line of a text counts once.
-    stated = stated.groupBy("doc_id", "_same", "_line").agg(F.first("licence").alias("licence"))
-    stated = stated.groupBy("doc_id", "_same").agg(F.sort_array(F.collect_set("licence")).alias("_stated"), F.count("*").alias("_lines"))
-    whole = rows.select("doc_id", "_same", digest(F.col("text")).alias("digest"))
-    whole = whole.join(known.select(F.col("known").alias("digest"), F.col("licence")), "digest", "left")
-    stated = stated.select(F.col("doc_id").alias("_id"), F.col("_same").alias("_text"), "_stated", "_lines")
-    found = whole.join(stated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_text")), "left")
-    return found.select(
-        "doc_id", "digest", "licence", F.coalesce("_stated", F.array().cast("array<string>")).alias("stated"), F.coalesce("_lines", F.lit(0)).cast("long").alias("stated_lines")
+    found = looked.where(whole | F.col("licence").isNotNull()).groupBy("doc_id", "_same").agg(
+        F.sum(whole.cast("long")).alias("_rows"),
+        F.max(F.when(whole, F.col("known"))).alias("digest"),
+        F.max(F.when(whole, F.col("licence"))).alias("licence"),
+        F.sort_array(F.collect_set(F.when(line, F.col("licence")))).alias("stated"),
+        F.sum(line.cast("long")).alias("_stated"),
     )
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))
+    return found.select("*", each.alias("_row")).select("doc_id", "digest", "licence", "stated", F.expr("_stated div _rows").alias("stated_lines"))
 
 
 def op6_licences(spark, sf_dir: str) -> DataFrame:
@@ -108,12 +115,11 @@ def _sql_text(text: str) -> str:
 
 def _canon(source: str) -> str:
     """SQL: the columns of ``source`` without t, and the canonical form of t."""
-    bare = f"trim(regexp_replace(regexp_replace(lower(t), '{COPYRIGHT_LINE}', '\\1', 'g'), '{OTHERS}', ' ', 'g'))"
+    bare = f"trim(regexp_replace(regexp_replace(lower(t), '{COPYRIGHT_LINE}', '\\1', 'g'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'))"
     apart = "' ' || replace(b, ' ', '  ') || ' '"
     for said, meant in SPELLINGS:
         apart = f"replace({apart}, ' {said} ', ' {meant} ')"
-    form = f"CASE WHEN regexp_matches(b, '{ANY_SPELLING}') THEN trim(replace({apart}, '  ', ' ')) ELSE b END"
-    return f"SELECT * EXCLUDE (t, b), {form} AS canon FROM (SELECT *, {bare} AS b FROM ({source}))"
+    return f"SELECT * EXCLUDE (t, b), trim(replace({apart}, '  ', ' ')) AS canon FROM (SELECT *, {bare} AS b FROM ({source}))"
 
 
 ORACLE = f"""

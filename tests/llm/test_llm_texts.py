@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import sys
 from pathlib import Path
 
@@ -14,7 +15,7 @@ import xxhash
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from helpers import Union, crc, near_lines, repeats, small_docs, word_list  # noqa: E402
+from helpers import Union, crc, every_shingle, near_lines, repeats, small_docs, word_list  # noqa: E402
 
 from attestry.llm import decontaminate, interleave, licences, linededup, pieces, pitmanyor, simhash, suffixes  # noqa: E402
 
@@ -71,8 +72,7 @@ def test_seating_keeps_within_bounds():
 def test_line_dedup_equals_brute_force(docs, rows):
     got = {r.doc_id: r for r in linededup.op2_lines(docs).collect()}
     lines = list(dict.fromkeys(x for _, t in sorted(rows) for x in t.split("\n") if x.strip()))
-    pattern = re.compile(linededup.SHINGLES)
-    label = dict(zip(lines, near_lines(lines, pattern.findall, linededup.THRESHOLD)))
+    label = dict(zip(lines, near_lines(lines, every_shingle, 0.8)))
     seen = set()
     for i, t in sorted(rows):
         kept = []
@@ -279,3 +279,23 @@ def test_encoding_is_exact_and_independent_of_batches(spark, docs, rows):
     again = pieces.encode_samples(frame.repartition(7), k=3, pieces=False).collect()
     assert sorted((r.doc_id or -1, r.sample, r.ids_crc32) for r in got) == sorted((r.doc_id or -1, r.sample, r.ids_crc32) for r in again)
     assert sorted(r.sample for r in got if r.doc_id == 1001) == [1]
+
+
+def test_licence_texts_are_found_however_they_are_wrapped(spark):
+    from attestry.llm.licence_texts import KNOWN
+
+    def wrapped(text, width):
+        return "\n".join(textwrap.wrap(re.sub(r"\s+", " ", text), width, break_long_words=False))
+
+    rows = []
+    for n, (name, text) in enumerate(KNOWN):
+        first, *rest = text.split("\n\n") if re.match(r"(?i)\s*(copyright|all rights)", text) else ["", text]
+        for m, width in enumerate((40, 77, 100_000)):
+            body = wrapped("\n\n".join(rest), width)
+            rows.append((10 * n + m, "Copyright (c) 2011 Some Body\nAll rights reserved.\n\n" + body.replace(",", " ,").upper(), name))
+    got = {r.doc_id: r.licence for r in licences.scan_licences(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), licences.builtin(spark)).collect()}
+    names = {}
+    for r in licences.known_digests(licences.builtin(spark)).collect():
+        names.setdefault(r.licence, r.known)
+    missing = {name for i, _, name in rows if got[i] != name and name in names}
+    assert not missing
