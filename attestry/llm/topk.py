@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -40,13 +40,13 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def unpack(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and the matrix of one packed block."""
+def unpack(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and the matrix of one packed block."""
     packed = column[row].values
-    ids = packed.field("vec_id").to_numpy(zero_copy_only=False)
+    rows, ids = (packed.field(name).to_numpy(zero_copy_only=False) for name in ("row", "vec_id"))
     vectors = packed.field("vector")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, flat.reshape(len(ids), -1)
+    return rows, ids, flat.reshape(len(ids), -1)
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -59,12 +59,12 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, vector, product) of the best k of a block for each query, less what
-    the query's bound proves to be too small."""
+def search_block(q_rows: np.ndarray, q: np.ndarray, bounds: np.ndarray, v_rows: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """(query row, vec_id, product) of the best k of a block for each query but its own row, less
+    what the query's bound proves to be too small."""
     lengths = np.sqrt((v.astype(np.float64) ** 2).sum(1))
     order = np.lexsort((v_ids, -lengths))
-    v, v_ids, lengths = v[order], v_ids[order], lengths[order]
+    v, v_rows, v_ids, lengths = v[order], v_rows[order], v_ids[order], lengths[order]
     units = v / np.maximum(lengths, 1e-300)[:, None]
     q_lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
     reach = q_lengths * lengths[0]
@@ -77,9 +77,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, v_ids: np
         longest = int(np.searchsorted(-lengths, -(needed.min() * (1 - SLACK)), side="right")) if needed.min() > 0 else len(v)
         scores = products(q[by_length], v[:longest])
         for i, row in zip(by_length, scores):
-            near = np.flatnonzero((row >= bounds[i]) & (v_ids[:longest] != q_ids[i]))
+            near = np.flatnonzero((row >= bounds[i]) & (v_rows[:longest] != q_rows[i]))
             for j in near[best_of(v_ids[near], row[near], k)]:
-                yield q_ids[i], v_ids[j], row[j]
+                yield q_rows[i], v_ids[j], row[j]
     sorted_coordinates: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for i in np.flatnonzero(by_coordinate):
         unit, threshold = q[i] / max(q_lengths[i], 1e-300), min(1.0, local[i])
@@ -100,47 +100,45 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, v_ids: np
             else:
                 here = units[inside, f]
                 inside = inside[(here >= low - 1e-7) & (here <= high + 1e-7)]
-        inside = inside[(lengths[inside] * q_lengths[i] >= bounds[i] * (1 - SLACK)) & (v_ids[inside] != q_ids[i])]
+        inside = inside[(lengths[inside] * q_lengths[i] >= bounds[i] * (1 - SLACK)) & (v_rows[inside] != q_rows[i])]
         if len(inside):
             row = products(q[i : i + 1], v[inside])[0]
             near = row >= bounds[i]
             inside, row = inside[near], row[near]
             for j in best_of(v_ids[inside], row, k):
-                yield q_ids[i], v_ids[inside[j]], row[j]
+                yield q_rows[i], v_ids[inside[j]], row[j]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): each query's k highest products among all
-    vectors but those of its own id, ties to the smaller vec_id; all of them, if fewer.
+def top_k(vectors: DataFrame, wanted: Column, k: int = 5) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score): for each row of ``vectors`` (vec_id long, vector array<long>)
+    that meets ``wanted``, the k highest products among all other rows, ties to the smaller vec_id; all of them, if fewer.
 
-    Both tables hold (vec_id long, vector array<long>). Rows with a null id, a null or empty vector or
-    a null component take no part; of rows with one id, the one whose vector sorts first counts. Vectors
-    only meet vectors of their own dimension. Empty tables give no rows."""
+    Rows with a null id, a null or empty vector or a null component take no part. Only a query's own row is
+    left out: other rows of its id are candidates, rows repeated as a whole count as often as they come, and
+    repeated query rows are each answered. Vectors only meet vectors of their own dimension. An empty table gives no rows."""
     spark = vectors.sparkSession
     ship_package(spark)
-
-    def clean(df: DataFrame) -> DataFrame:
-        good = df.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull()))
-        good = good.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-        length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-        return good.select("vec_id", "vector", F.size("vector").alias("dim"), length.alias("length"))
-
-    rows = written(clean(vectors), "vectors")
-    longest = rows.orderBy(F.desc("length"), "vec_id").limit(LONGEST).select("vec_id", "vector").collect()
-    hashed = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(HASHED).select("vec_id", "vector").collect()
+    good = vectors.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull()))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    # No answer names more than k + 1 copies of a row; one of them is the row itself.
+    copies = good.groupBy("vec_id", "vector").agg(F.count("*").alias("times"))
+    copies = copies.select("*", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k + 1)))).alias("copy"))
+    rows = written(copies.select("vec_id", "vector", "copy", "times", F.size("vector").alias("dim"), length.alias("length"), F.monotonically_increasing_id().alias("row")), "vectors")
+    longest = rows.orderBy(F.desc("length"), "vec_id").limit(LONGEST).select("row", "vector").collect()
+    hashed = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(HASHED).select("row", "vector").collect()
     seeds: dict[int, tuple[list[int], list[list[int]]]] = {}
-    for vec_id, vector in {r.vec_id: r.vector for r in [*longest, *hashed]}.items():
-        ids, matrix = seeds.setdefault(len(vector), ([], []))
-        ids.append(vec_id)
+    for row, vector in {r.row: r.vector for r in [*longest, *hashed]}.items():
+        numbers, matrix = seeds.setdefault(len(vector), ([], []))
+        numbers.append(row)
         matrix.append(vector)
     packed_seeds = spark.sparkContext.broadcast({d: (np.array(i), np.array(m, dtype=np.int64)) for d, (i, m) in seeds.items()})
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bounds = []
-            for vec_id, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist()):
-                ids, matrix = packed_seeds.value.get(len(vector), (np.zeros(0, np.int64), None))
-                others = np.flatnonzero(ids != vec_id)
+            for own, vector in zip(batch.column("row").to_pylist(), batch.column("vector").to_pylist()):
+                numbers, matrix = packed_seeds.value.get(len(vector), (np.zeros(0, np.int64), None))
+                others = np.flatnonzero(numbers != own)
                 if len(others) < k:
                     bounds.append(-math.inf)
                 else:
@@ -148,12 +146,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     bounds.append(float(np.partition(found, len(found) - k)[len(found) - k]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.float64())], names=[*batch.schema.names, "bound"])
 
-    wanted = clean(queries)
-    wanted = wanted.mapInArrow(bounded, with_fields(wanted.schema, bound=DoubleType()))
+    queries = rows.where(wanted & (F.col("copy") == 1)).drop("copy")
     parts = parts_for(queries.count(), BLOCK_QUERIES)
-    asked = wanted.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    asked = queries.mapInArrow(bounded, with_fields(queries.schema, bound=DoubleType())).withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     asked = asked.groupBy("dim", "_part").agg(
-        F.collect_list(F.struct("vec_id", "vector", "bound")).alias("asked"), F.min(F.when(F.col("length") > 0, F.col("bound") / F.col("length")).otherwise(F.lit(-math.inf))).alias("needed")
+        F.collect_list(F.struct("row", "vec_id", "vector", "bound")).alias("asked"), F.min(F.when(F.col("length") > 0, F.col("bound") / F.col("length")).otherwise(F.lit(-math.inf))).alias("needed")
     )
     count, ends = rows.agg(F.count("*"), F.percentile_approx("length", [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)], 10_000)).first()
     ends = sorted(set(ends or []))
@@ -163,8 +160,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     filed = rows.withColumn("_bucket", bucket)
     most = filed.groupBy("dim", "_bucket").count().agg(F.max("count")).first()[0] or 0
     # Equal lengths share a bucket however many they are: it is cut into blocks by a hash.
-    filed = filed.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(parts_for(most, BLOCK_VECTORS, 1))))
-    blocks = filed.groupBy("dim", "_bucket", "_block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("vectors"), F.max("length").alias("reach"))
+    filed = filed.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(parts_for(most, BLOCK_VECTORS, 1))))
+    blocks = filed.groupBy("dim", "_bucket", "_block").agg(F.collect_list(F.struct("row", "vec_id", "vector")).alias("vectors"), F.max("length").alias("reach"))
     blocks = written(blocks, "blocks")
     # Only the blocks' keys are repeated for each part of the queries; what a whole part
     # can prove to be too short is dropped before any vector moves.
@@ -175,15 +172,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q = unpack(batch.column("asked"), row)
+                q_rows, _, q = unpack(batch.column("asked"), row)
                 bounds = batch.column("asked")[row].values.field("bound").to_numpy(zero_copy_only=False)
-                v_ids, v = unpack(batch.column("vectors"), row)
-                found = list(search_block(q_ids, q, bounds, v_ids, v, k))
-                yield pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+                found = list(search_block(q_rows, q, bounds, *unpack(batch.column("vectors"), row), k))
+                yield pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in range(3)], names=["query_row", "vec_id", "score"])
 
-    near = pairs.mapInArrow(searched, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = pairs.mapInArrow(searched, "query_row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    best = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    named = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1), "times")).alias("time"))
+    return best.join(named, "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def whole_numbers(embeddings: DataFrame) -> DataFrame:
@@ -197,16 +195,16 @@ def whole_numbers(embeddings: DataFrame) -> DataFrame:
 def op4_topk(embeddings: DataFrame) -> DataFrame:
     """Each 50th vector's five highest integer products among all others."""
     vectors = whole_numbers(embeddings)
-    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+    return top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
 ORACLE = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
-  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.at, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON c.at <> q.at WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
