@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -153,6 +154,28 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Longer stretches are hashed one by one.
+_STEPWISE = 4096
+
+
+def bytes_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], eight bytes a step, each step mixed into the last."""
+    lengths = ends - starts
+    out = mixed(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live, step = np.flatnonzero((lengths > 0) & (lengths <= _STEPWISE)), 0
+    while len(live):
+        left = lengths[live] - step
+        chunk = eights[starts[live] + step]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[live] = mixed((out[live] ^ chunk) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(step + 1))
+        live, step = live[left > 8], step + 8
+    for i in np.flatnonzero(lengths > _STEPWISE):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 77)
+    return out
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)

@@ -184,7 +184,9 @@ def quality_net(docs: DataFrame, labels: DataFrame) -> Net:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    """The quality contract's columns for every document."""
+    """The quality contract's columns for every document. A null text scores as the empty one; repeated rows
+    are each answered alike, a null doc_id counts as the empty text for its fold; an empty table gives no rows;
+    columns other than doc_id and text are not read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality_net(docs, table(spark, sf_dir, "labels"))
 
@@ -198,7 +200,8 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
-    columns = docs.columns
+    """Pipeline stage: documents that the classifier rejects go. Each row is judged by its text alone, a null
+    one as the empty text, so repeated rows go or stay together; columns of any name are handed on as they are."""
     net = quality_net(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score_documents(docs, net).where(F.col("score") >= THRESHOLD).select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("text"))
+    return score_documents(rows, net).where(F.col("score") >= THRESHOLD).select(*[F.col("row")[c].alias(c) for c in docs.columns])

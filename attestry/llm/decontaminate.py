@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import flat, lowered, mixed, passes, prefix_hashes, ship_package, span_hashes, table, text_of, words
+from attestry.llm.common import bytes_hashes, flat, lowered, mixed, parts_for, passes, ship_package, table, text_of, words
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.97
 STRIDE = 4
 SAMPLED = 3
-BLOCK_ITEMS = 10_000
+#: Text of a block of items, which the driver holds and whose index it builds.
+BLOCK_BYTES = 8 << 20
 #: Edited items on which the recall of one repetition is measured.
 TRIALS = 240
+MOST_REPETITIONS = 1000
 _MAP = 1 << 16
 
 
@@ -45,7 +47,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hashes of all words, one zero after each text's last, and where texts begin."""
     low = lowered(data)
     starts, ends, rows = words(low, offsets)
-    hashes = span_hashes(prefix_hashes(low), starts, ends) | np.uint64(1)
+    hashes = bytes_hashes(low, starts, ends) | np.uint64(1)
     counts = np.bincount(rows, minlength=len(offsets) - 1)
     begin = np.concatenate([[0], np.cumsum(counts + 1)])
     out = np.zeros(begin[-1], np.uint64)
@@ -138,7 +140,10 @@ def repetitions_for(items: list[np.ndarray], similarity: float, target: float, s
             hits += bool(np.isin(only.walk(text, np.arange(0, len(text) - 1, STRIDE), turn)[number], mine).any())
         missed.append(1 - hits / probe)
     missed = np.array(missed)
-    return next((r for r in range(1, 200) if (missed**r).mean() <= 1 - target), 200)
+    turns = next((r for r in range(1, MOST_REPETITIONS + 1) if (missed**r).mean() <= 1 - target), None)
+    if turns is None:
+        raise ValueError(f"{MOST_REPETITIONS} repetitions do not find {target:.2f} of the edited items; ask for a lower recall or a higher similarity")
+    return turns
 
 
 def nearest_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -257,19 +262,13 @@ class Index:
             yield r, self.ids[n], distance, start, end
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, seed: int = 42) -> DataFrame:
-    """(doc_id, item_id, distance, start_word, end_word): a row for each row of ``docs`` and item
-    that it leaks, with the nearest stretch, the first of several.
-
-    Words are what white space parts, A-Z in lower case. Texts that are null or have no words leak
-    nothing; items that are null, have no words or no id leak nowhere; of items with one id each counts. A
-    null doc_id is kept. Empty tables give no rows; other columns are not read."""
-    spark = docs.sparkSession
+def found_leaks(rows: DataFrame, benchmark: DataFrame, similarity: float, target_recall: float, seed: int) -> DataFrame:
+    """(doc_id, key, item_id, distance, start_word, end_word) of rows (doc_id, key, text)."""
+    spark = rows.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
-    found = spark.createDataFrame([], "doc_id long, item_id long, distance int, start_word long, end_word long")
+    blocks = parts_for(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], BLOCK_BYTES)
+    found = spark.createDataFrame([], "doc_id long, key long, item_id long, distance int, start_word long, end_word long")
     for block in range(blocks):
         taken = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         if not taken:
@@ -279,23 +278,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = flat(batch.column("text"))
-                ids, out = batch.column("doc_id").to_pylist(), []
+                ids, keys, out = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), []
                 for a, b in passes(offsets):
                     tokens, begin = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    out += [(ids[a + r], *rest) for r, *rest in known.value.matches(tokens, begin)]
-                columns = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])], names=["doc_id", "item_id", "distance", "start_word", "end_word"])
+                    out += [(ids[a + r], keys[a + r], *rest) for r, *rest in known.value.matches(tokens, begin)]
+                columns = list(zip(*out)) if out else [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=found_names)
 
-        found = found.unionByName(rows.mapInArrow(run, found.schema))
+        found_names = found.columns
+        found = found.unionByName(rows.select("doc_id", "key", "text").mapInArrow(run, found.schema))
     return found
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, seed: int = 42) -> DataFrame:
+    """(doc_id, item_id, distance, start_word, end_word): a row for each row of ``docs`` and item
+    that it leaks, with the nearest stretch, the first of several.
+
+    Words are what white space parts, A-Z in lower case. Texts that are null or have no words leak
+    nothing; items that are null, have no words or no id leak nowhere; of items with one id each counts. A
+    null doc_id is kept. Empty tables give no rows; other columns are not read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("key"), "text")
+    return found_leaks(rows, benchmark, similarity, target_recall, seed).drop("key")
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak a benchmark item go. Rows without an id cannot be
-    told apart in the answer, so one that leaks takes the others without an id along."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """Pipeline stage: documents that leak a benchmark item go. A row is known by its id, null or not, and a hash
+    of its text, so rows that share either alone are not taken along; columns of any name are handed on."""
+    doc_id, key = F.col("doc_id").cast("long"), F.xxhash64(text_of())
+    found = found_leaks(docs.select(doc_id.alias("doc_id"), key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), SIMILARITY, TARGET_RECALL, 42)
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("id"), key.alias("key"))
+    left = rows.join(gone, (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

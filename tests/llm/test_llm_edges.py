@@ -2,6 +2,7 @@
 
 import math
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -11,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 from helpers import crc  # noqa: E402
 
-from attestry.llm import convnet, decontaminate, interleave, licences, linededup, pieces, pitmanyor, simhash, suffixes, topk  # noqa: E402
+from attestry.llm import common, convnet, decontaminate, interleave, licences, linededup, pieces, pitmanyor, simhash, suffixes, topk  # noqa: E402
 from attestry.llm.components import components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key long, fp long, shard int, slot long, score double, label string, n_lines int, rank int, licence string, digest string, component_id long, sample int, pieces string, _key long"
@@ -79,6 +80,52 @@ def test_stage_columns_and_empty_tables(spark, tmp_path):
     assert all(r.round_trip for r in corpus_pipeline.run(spark, sf).collect())
 
 
+CLASHING = [
+    (1, "It was a plain sentence about gardens and the people who keep them through the year.", 9, "k"), (1, "Quite another matter is told here: rivers rise in spring and carry the ice down to the sea.", 8, "l"),
+    (None, "seven green bottles stood on the old stone wall behind the house", 7, "m"), (None, "Every evening the ferry crossed the sound with post, milk and a few late travellers on board.", 6, "n"),
+    (2, "seven green bottles stood on the old stone wall behind the house", 5, "o"), (2, "Nobody had counted the swallows since the barn burned down, but there were fewer of them.", 4, "p"),
+]
+
+
+def test_stages_keep_clean_rows_of_shared_ids_and_columns_of_any_name(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    sf, names = str(tmp_path), ["_leak", "score", "n_lines", "n_removed", "row", "key", "id", "text_of", "gone_id", "component", "item_id", "a", "sid"]
+    spark.createDataFrame([(1, "seven green bottles stood on the old stone wall behind the house")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, n, *[c] * len(names)) for i, t, n, c in CLASHING], ", ".join(["doc_id long, text string, n_chars long", *[f"{n} string" for n in names]]))
+    docs.select("doc_id", "text").write.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    everything = {(r.doc_id, r.text, r.score, r.row) for r in docs.collect()}
+    for name in ("quality_classifier", "line_dedup", "simhash_near_dedup", "benchmark_decontamination"):
+        got = stages[name](spark, docs, sf)
+        assert got.columns == docs.columns, name
+        rows = {(r.doc_id, r.text, r.score, r.row) for r in got.collect()}
+        leaking = {r for r in everything if r[1].startswith("seven")}
+        if name == "benchmark_decontamination":
+            assert rows == everything - leaking
+        if name in ("line_dedup", "simhash_near_dedup"):
+            # One of the two equal rows stays, and all others.
+            assert rows - leaking == everything - leaking and len(rows & leaking) == 1
+
+
+def test_words_of_thue_and_morse_have_hashes_of_their_own():
+    thue = "".join(str(i.bit_count() % 2) for i in range(1024)).encode()
+    other = thue.translate(bytes.maketrans(b"01", b"10"))
+    texts = [thue, other, b"", b"a", b"a\0", thue * 9, other * 9, thue[:8], thue[:9]]
+    offsets = np.cumsum([0, *map(len, texts)])
+    hashes = common.bytes_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets[:-1], offsets[1:])
+    assert len(set(hashes.tolist())) == len(texts)
+    both = np.frombuffer(thue + b" " + other, np.uint8)
+    assert len(set(pitmanyor.tokens_of(both, np.array([0, len(both)]))[0].tolist())) == 3
+
+
+def test_a_text_of_thue_and_morse_words_comes_back(spark):
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    text = f"{thue} {thue.translate(str.maketrans('ab', 'ba'))}"
+    assert all(r.round_trip for r in pieces.op9_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
+
+
 def test_components_of_paths_stars_and_noise(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 40)] + [(7, 7), (None, 3), (9, 8), (8, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -87,15 +134,12 @@ def test_components_of_paths_stars_and_noise(spark):
 
 
 def brute_top(rows, k):
-    whole = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(256 * float(np.float32(x))) for x in v]
-            whole[i] = min(whole.get(i, w), w)
-    out = set()
-    for q in (i for i in whole if i % 50 == 0):
-        near = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q and len(w) == len(whole[q]))
-        out |= {(q, r, i, -s) for r, (s, i) in enumerate(near[:k], 1)}
+    good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for at, (q, own) in enumerate(good):
+        if q % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(own, w)), i) for n, (i, w) in enumerate(good) if n != at and len(w) == len(own))
+            out.update((q, r, i, -s) for r, (s, i) in enumerate(near[:k], 1))
     return out
 
 
@@ -116,8 +160,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch, kind):
         v *= rng.exponential(1, n)[:, None]
     rows = [(i, x.tolist()) for i, x in enumerate(v.astype(np.float32))]
     rows += [(600, None), (650, [1.0, None]), (700, [math.nan] * 12), (750, [math.inf] * 12), (None, [1.0] * 12), (800, []), (850, [1.0, 2.0]), (851, [2.0, 2.0]), (100, [0.0] * 12), (50, [-9.0] * 12)]
+    rows += [(7, [2.0] + [0.0] * 11), (7, [5.0] + [0.0] * 11), *[(150, [3.0] * 12)] * 3, *[(9, [4.0] * 12)] * 8]
     frame = spark.createDataFrame([(i, x, 0, 1) for i, x in rows], "vec_id long, embedding array<float>, rank int, score int").repartition(3)
-    assert {tuple(r) for r in topk.op4_topk(frame).collect()} == brute_top(rows, 5)
+    assert Counter(tuple(r) for r in topk.op4_topk(frame).collect()) == brute_top(rows, 5)
     assert topk.op4_topk(frame.limit(0)).collect() == []
 
 

@@ -1,6 +1,5 @@
 """The pipeline against a brute-force version of its stages."""
 
-import re
 import sys
 from pathlib import Path
 
@@ -9,7 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from helpers import Union, near_lines, word_list  # noqa: E402
+from helpers import Union, every_shingle, near_lines, word_list  # noqa: E402
 from test_llm_texts import brute_fingerprint  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
@@ -32,7 +31,7 @@ def test_pipeline_equals_brute_force(spark, result):
         if convnet.scores(net, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0] >= 0.3:
             kept[r.doc_id] = r.text
     lines = list(dict.fromkeys(x for t in kept.values() for x in t.split("\n") if x.strip()))
-    label = dict(zip(lines, near_lines(lines, re.compile(linededup.SHINGLES).findall, 0.8)))
+    label = dict(zip(lines, near_lines(lines, every_shingle, 0.8)))
     seen, left = set(), {}
     for i, t in kept.items():
         mine = []
