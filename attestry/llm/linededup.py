@@ -14,7 +14,8 @@ their differences can still be shared from there on. No link that the bands find
 a common line that differ in different words never meet. Links become components by a distributed union-find, and of
 each component the first line by (doc_id, line number) stays.
 
-Lines are compared as they stand, and equal ones are one from the start (by a 64-bit hash).
+Lines are compared as they stand, and equal ones are one from the start (by a 64-bit hash). Signatures
+are taken where the documents are read; only they, keys and the texts of candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -74,14 +75,14 @@ def permuted(h: Column, number: int, seed: int) -> Column:
     return turned.bitwiseXOR(F.lit(seed))
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...): minima of the shingles' hashes of distinct lines. Two minima are
-    taken for equal by their upper 32 bits."""
-    cut = texts.select("id", F.explode(windows(F.col("line"))).alias("w"))
-    hashes = cut.select("id", "w", F.explode(starts(F.col("w"))).alias("i")).select("id", shingle(F.col("w"), F.col("i")).alias("h"))
-    minima = [F.min(permuted(F.col("h"), j, seed)).alias(f"m{j}") for j, seed in enumerate(_seeds(BANDS * ROWS))]
-    found = hashes.groupBy("id").agg(*minima)
-    return found.select("id", *[F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(BANDS * ROWS)])
+def signatures(lines: DataFrame) -> DataFrame:
+    """(id, copies, m0, m1, ...): how often each distinct line stands and the minima of its shingles' hashes, taken
+    where the lines are read. Two minima are taken for equal by their upper 32 bits."""
+    cut = lines.where(said()).select("id", F.posexplode(windows(F.col("line"))).alias("at", "w"))
+    each = cut.select("id", "at", "w", F.explode(starts(F.col("w"))).alias("i"))
+    hashes = each.select("id", ((F.col("at") == 0) & (F.col("i") == 1)).cast("int").alias("first"), shingle(F.col("w"), F.col("i")).alias("h"))
+    minima = [F.min(F.shiftright(permuted(F.col("h"), j, seed), 32).cast("int")).alias(f"m{j}") for j, seed in enumerate(_seeds(BANDS * ROWS))]
+    return hashes.groupBy("id").agg(F.sum("first").alias("copies"), *minima)
 
 
 def shingle_set(line: Column) -> Column:
@@ -93,10 +94,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b, near, n, apart) of the pairs (a, b) of lines: whether they are alike, how many shingles b has, and
     those that one has and the other lacks."""
-    of = texts.select("id", "line")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    of = written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
     a, b = (of.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
     both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
     parts = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
@@ -133,16 +135,16 @@ def meeting_again(checked: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame) -> DataFrame:
     """(id, component) of lines that are linked to a different line."""
-    texts = written(lines.where(said()).groupBy("line").agg(F.count("*").alias("copies")).select(F.xxhash64("line").alias("id"), "line", "copies"), "texts")
     bands = [F.xxhash64(F.lit(band), *[F.col(f"m{band * ROWS + row}") for row in range(ROWS)]) for band in range(BANDS)]
-    weight = F.shiftleft(F.least("copies", F.lit(1 << 20)), 42).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 42) - 1)))
-    banded = signatures(texts).join(texts.select("id", weight.alias("weight")), "id").select("id", "weight", F.explode(F.array(*bands)).alias("band"))
-    banded = written(banded, "bands")
+    weight = F.shiftleft(F.least(F.col("copies").cast("long"), F.lit(1 << 20).cast("long")), 42).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 42) - 1)))
+    signed = written(signatures(lines).select("id", weight.alias("weight"), F.array(*bands).alias("bands")), "signatures")
+    banded = signed.select("id", "weight", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.max_by("id", "weight").alias("head")).where(F.col("n") > 1).drop("n")
-    members = banded.join(buckets, "band").where(F.col("id") != F.col("head"))
-    checked = written(compared(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts), "checked")
+    members = banded.drop("weight").join(buckets, "band").where(F.col("id") != F.col("head"))
+    star = written(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    checked = written(compared(star, lines), "checked")
     again = written(meeting_again(checked), "again")
-    links = checked.where("near").select("a", "b").unionByName(compared(again, texts).where("near").select("a", "b"))
+    links = checked.where("near").select("a", "b").unionByName(compared(again, lines).where("near").select("a", "b"))
     return components(links, name="lines").withColumnRenamed("node", "id")
 
 
