@@ -72,6 +72,13 @@ def name_match(file: Column, name: Column, changed_words: Column) -> Column:
     return F.size(F.array_intersect(test_words(file, name), changed_words))
 
 
+IDENTIFIER = r"[\p{L}\p{N}_]+"
+
+
+def identifiers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+
+
 def names_word(text: Column, word: Column) -> Column:
     """Whether the text holds the word as a whole identifier."""
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}_])"))

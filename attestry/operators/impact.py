@@ -103,11 +103,14 @@ def own_lines(units: DataFrame) -> DataFrame:
     return ranges(parts.join(nested.distinct(), ["file", "idx", "line"], "left_anti"), ["file", "idx"], "line")
 
 
-def helpers(changes: DataFrame, known_tests: DataFrame, measured: DataFrame) -> DataFrame:
-    """Changed files that are no test, not measured, no configuration and no dependency."""
+def helpers(changes: DataFrame, known_tests: DataFrame, measured: DataFrame, difference: DataFrame) -> DataFrame:
+    """Changed files that are no test, not measured, no configuration and no dependency, and how each
+    changed. A change that only adds declarations reaches no test written before."""
     moved = changes.filter(F.col("change").isin("removed", "bytes", "code"))
+    only = difference.groupBy("file").agg(F.bool_and(F.col("change") == "added").alias("_only")).filter("_only").select("file")
+    added = changes.filter("change = 'code'").join(only, "file", "left_semi").select("file")
     return (
-        moved.filter(~configuration_file(F.col("file")) & ~dependency_file(F.col("file")))
+        moved.filter(~configuration_file(F.col("file")) & ~dependency_file(F.col("file"))).join(added, "file", "left_anti")
         .join(known_tests.select(F.col("test_file").alias("file")).distinct(), "file", "left_anti")
         .join(measured.select("file").distinct(), "file", "left_anti")
     )
@@ -119,21 +122,93 @@ def reached_units(executions: DataFrame, closure: DataFrame) -> DataFrame:
     return executions.join(up, ["file", "idx"], "left").select(*TEST, "file", F.coalesce("_up", "idx").alias("idx")).distinct()
 
 
+# Files of the JVM, and file names that say nothing about what a file declares.
+JVM_ENDINGS = (".java", ".kt", ".kts", ".groovy", ".scala")
+NAMELESS_STEMS = ("mod", "lib", "main", "index", "__init__")
+
+
+def load_closure(seeds: DataFrame, imports: DataFrame) -> DataFrame:
+    """(test_file, file): all that test files load, through any number of imports.
+
+    Semi-naive: a round joins only the pairs the last round found new, so a cycle ends and
+    nothing is derived twice from the same pair. ``seeds`` holds test_file, ``imports`` file and target."""
+    edges = imports.select("file", "target").distinct()
+    fresh = checkpointed(seeds.select("test_file").distinct().join(edges.withColumnRenamed("file", "test_file"), "test_file").select("test_file", F.col("target").alias("file")))
+    rounds = []
+    while not fresh.isEmpty():
+        rounds.append(fresh)
+        known = reduce(DataFrame.unionByName, rounds)
+        onward = fresh.join(edges, "file").select("test_file", F.col("target").alias("file")).distinct()
+        fresh = checkpointed(onward.join(known, ["test_file", "file"], "left_anti"))
+    return reduce(DataFrame.unionByName, rounds) if rounds else fresh
+
+
+def declared_names(units: DataFrame, changes: DataFrame) -> DataFrame:
+    """(file, word): for each JVM file whose declarations changed, what a test file may call it by: its
+    top-level declarations before the change and its own name."""
+    ends = reduce(lambda x, y: x | y, [F.col("file").endswith(e) for e in JVM_ENDINGS])
+    moved = changes.filter("change = 'code' and not narrow").filter(ends).select("file")
+    old = _side(units, "before").join(moved, "file", "left_semi")
+    nameless = old.filter("path = ''").select("file", F.col("idx").alias("parent"), F.lit(True).alias("_top"))
+    top = old.join(nameless, ["file", "parent"], "left").filter("parent is null or _top")
+    stem = F.element_at(F.split(F.element_at(F.split("file", "/"), -1), r"\."), 1)
+    said = top.select("file", F.element_at(F.split("path", r"\."), -1).alias("word")).unionByName(
+        moved.select("file", stem.alias("word")).filter(~F.col("word").isin(*NAMELESS_STEMS)))
+    return said.filter(F.octet_length("word") > 2).distinct()
+
+
+def naming_tests(sources: DataFrame, names: DataFrame) -> DataFrame:
+    """(test_file, file, word): test files whose text holds a name as a whole identifier; the first
+    name of several.
+
+    The texts are indexed by their identifiers, so names are found by equality. A name that is no
+    identifier is found by the first one in it and then looked for as a whole."""
+    index = sources.select("test_file", F.explode(F.array_distinct(words.identifiers(F.col("text")))).alias("_token"))
+    keyed = names.withColumn("_token", F.regexp_extract("word", words.IDENTIFIER, 0)).filter("_token <> ''")
+    met = keyed.join(index, "_token")
+    plain = met.filter("word = _token").select("test_file", "file", "word")
+    odd = met.filter("word <> _token").join(sources, "test_file").filter(words.names_word(F.col("text"), F.col("word"))).select("test_file", "file", "word")
+    return plain.unionByName(odd).groupBy("test_file", "file").agg(F.min("word").alias("word"))
+
+
+def helper_reasons(tests: DataFrame, helper_files: DataFrame, loads: DataFrame, followed: DataFrame, served: DataFrame) -> DataFrame:
+    """Reasons for which changed files that nothing probes may have reached a test.
+
+    ``loads`` (test_file, file): what the test files of ``followed`` load, all of whose imports are known; of other
+    test files nothing is known. ``served`` (file, name): files that processes serving tests of that name
+    loaded. A file a serving process loaded reached the tests it served and those that import it; any other reached
+    those that import it, and, if no test is seen to import it, all of them; and all of whose loads nothing is known."""
+    told = helper_files.select("file", F.concat("file", F.when(F.col("change") == "removed", " removed").otherwise(" changed")).alias("_what"))
+    known = followed.select("test_file").distinct().withColumn("_known", F.lit(True))
+    marked = tests.select(*TEST).join(known, "test_file", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    own = loads.join(known, "test_file", "left_semi").select("test_file", "file").distinct()
+    imported = marked.filter("_known").join(own, "test_file").join(told, "file").select(*TEST, "file", "_what")
+    by_server = told.join(served.select("file", "name").distinct(), "file").join(marked, "name").join(imported.select(*TEST, "file"), [*TEST, "file"], "left_anti")
+    loose = told.join(served.select("file").distinct(), "file", "left_anti")
+    unplaced = loose.join(own.select("file").distinct(), "file", "left_anti")
+    # What any test may load, told to every test it concerns.
+    wide = unplaced.withColumn("_known", F.lit(True)).unionByName(loose.withColumn("_known", F.lit(False)))
+    may = marked.join(wide, "_known")
+    said = [(imported, " (this test's file loads it)"), (by_server, " (a server that served this test loaded it)"), (may, " (a file tests may load)")]
+    return reduce(DataFrame.unionByName, [rows.select(*TEST, F.concat("_what", F.lit(why)).alias("reason")) for rows, why in said]).distinct()
+
+
 def affected_tests(
     tests: DataFrame, executions: DataFrame, closure: DataFrame, changes: DataFrame, difference: DataFrame,
-    helper_files: DataFrame, loads: DataFrame, covered: DataFrame,
+    helper_files: DataFrame, loads: DataFrame, covered: DataFrame, followed: DataFrame, served: DataFrame, naming: DataFrame,
 ) -> DataFrame:
     """Tests sorted into affected, undetermined and unaffected, one row per reason.
 
-    ``loads`` (test_file, file) is what test files load; ``covered`` (file, idx)
-    what the run as a whole reached. Tests whose silence proves nothing are
-    undetermined wherever the change lies inside that.
+    ``loads``, ``followed`` and ``served`` as in ``helper_reasons``; ``naming`` (test_file, file, word) which test files
+    name a changed declaration; ``covered`` (file, idx) what the run as a whole reached. Tests whose silence
+    proves nothing are undetermined wherever the change lies inside that, and tell the foremost reason of those.
     """
     moved = changes.filter(F.col("change").isin("removed", "bytes", "code"))
     ran_files = executions.select(*TEST, "file").distinct()
     hit_units = reached_units(executions, closure).join(
         difference.filter("change = 'changed'").select("file", F.col("old_idx").alias("idx")), ["file", "idx"])
     narrow_hits = hit_units.select(*TEST, "file").distinct().join(changes.filter("change = 'code' and narrow").select("file"), "file")
+    named = tests.select(*TEST).join(naming.filter("file <> test_file"), "test_file").join(ran_files, [*TEST, "file"], "left_anti")
     own = F.col("file")
     parts = [
         tests.filter("not passed").select(*TEST, F.lit("did not pass in the run").alias("reason")),
@@ -144,27 +219,32 @@ def affected_tests(
         narrow_hits.select(*TEST, F.concat(own, F.lit(": changed (this test ran it)")).alias("reason")),
         ran_files.join(moved.filter("change = 'code' and not narrow"), "file").select(
             *TEST, F.concat(own, F.lit(": changed (this test ran code in this file)")).alias("reason")),
-        tests.join(loads, "test_file").join(helper_files.select("file"), "file").select(
-            *TEST, F.concat(own, F.lit(" changed (this test's file loads it)")).alias("reason")),
+        helper_reasons(tests, helper_files, loads, followed, served),
+        named.select(*TEST, F.concat(own, F.lit(": declarations changed, and the test file names "), "word").alias("reason")),
     ]
     reasons = reduce(DataFrame.unionByName, parts).distinct()
-    inside = beyond_the_run(changes, difference, covered, closure)
+    # One row for the whole run: the foremost reason why the change lies inside what it covered.
+    inside = beyond_the_run(changes, difference, covered, closure).agg(F.min_by("reason", F.struct("rank", "reason")).alias("_inside"))
     loose = tests.filter(~coverage_is_complete(F.col("attribution"))).join(reasons.select(*TEST).distinct(), TEST, "left_anti")
-    # One flag for the whole run: whether the change reached anything it covered.
-    any_inside = inside.agg(F.count(F.lit(1)).alias("_n")).withColumn("_inside", F.col("_n") > 0)
-    unclear = loose.select(*TEST, F.lit(1).alias("_k")).join(any_inside.withColumn("_k", F.lit(1)), "_k").filter("_inside").select(*TEST).withColumn("_unclear", F.lit(True))
+    unclear = loose.select(*TEST, F.lit(1).alias("_k")).join(inside.withColumn("_k", F.lit(1)), "_k").filter("_inside is not null").select(*TEST, "_inside")
     return tests.select(*TEST, "attribution").join(reasons, TEST, "left").join(unclear, TEST, "left").select(
-        *TEST, "attribution", "reason",
-        F.when(F.col("reason").isNotNull(), "affected").when(F.col("_unclear"), "undetermined").otherwise("unaffected").alias("bucket"))
+        *TEST, "attribution", F.coalesce("reason", "_inside").alias("reason"),
+        F.when(F.col("reason").isNotNull(), "affected").when(F.col("_inside").isNotNull(), "undetermined").otherwise("unaffected").alias("bucket"))
 
 
 def beyond_the_run(changes: DataFrame, difference: DataFrame, covered: DataFrame, closure: DataFrame) -> DataFrame:
-    """Changed files whose change lies inside what the run covered."""
+    """Changed files whose change lies inside what the run covered: (file, why, rank, reason).
+
+    A file that went or cannot be read apart counts whole; of code only declarations that hold something
+    covered, so a change to what no test ran, or what was only added, is outside."""
     gone = changes.filter("change in ('removed', 'bytes')").select("file", F.col("change").alias("why"))
-    reached = covered.join(closure, ["file", "idx"]).select("file", F.col("ancestor").alias("old_idx")).distinct()
+    up = closure.select("file", "idx", "ancestor")
+    reached = covered.join(up, ["file", "idx"], "left").select("file", F.coalesce("ancestor", "idx").alias("old_idx")).distinct()
     hit = difference.filter("change = 'changed'").join(reached, ["file", "old_idx"], "left_semi").select("file").distinct()
     code = changes.filter("change = 'code'").join(hit, "file", "left_semi").select("file", F.lit("code").alias("why"))
-    return gone.unionByName(code)
+    rank = F.when(F.col("why") == "removed", 0).when(F.col("why") == "bytes", 1).otherwise(2)
+    told = F.when(F.col("why") == "removed", " removed (the run covered code in it)").when(F.col("why") == "bytes", " changed (the run covered code in it)").otherwise(": changed (the run covered it)")
+    return gone.unionByName(code).select("file", "why", rank.alias("rank"), F.concat("file", told).alias("reason"))
 
 
 def merged_affected(rows: DataFrame) -> DataFrame:

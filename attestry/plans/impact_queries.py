@@ -8,10 +8,33 @@ from attestry.functions import text as words
 from attestry.operators import asserts, impact
 from attestry.plans.catalog import query
 from attestry.plans.model import Model
+from attestry.session import stored
+
+
+def kept(m: Model, name: str, build):
+    """A table several of these queries start from, written once in an application."""
+    return stored(m.spark, m.sf_dir, f"impact-{name}", build)
+
 
 # --- the documents as a checkout ----------------------------------------------
 
 def units(m: Model):
+    return kept(m, "units", lambda: split_units(m))
+
+
+def difference_of(m: Model):
+    return kept(m, "difference", lambda: impact.declaration_diff(units(m)))
+
+
+def changes_of(m: Model):
+    return kept(m, "changes", lambda: impact.file_changes(files(m), difference_of(m), probed(m)))
+
+
+def closure_of(m: Model):
+    return kept(m, "closure", lambda: impact.ancestors(before(m)))
+
+
+def split_units(m: Model):
     lines = m.versions.filter("parsed").select("version", F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     idx = F.col("pos") + 1
     return lines.select(
@@ -33,15 +56,16 @@ def before(m: Model):
 
 def test_records(m: Model):
     d = F.col("doc_id")
-    return m.paths.select(
+    return m.checkout.select(
         "doc_id", F.col("path").alias("test_file"), F.concat(F.lit("test d"), d.cast("string"), F.lit("::srcCase")).alias("name"), (d % 13 != 0).alias("passed"),
         F.when(d % 7 == 3, "partial").when(d % 11 == 0, "run-wide").otherwise("exact").alias("attribution"))
 
 
 def executed(m: Model):
-    ran = before(m).select("file", "idx").join(m.paths.select(F.col("path").alias("file"), "doc_id"), "file")
+    ran = before(m).select("file", "idx").join(m.checkout.select(F.col("path").alias("file"), "doc_id"), "file")
     tests = test_records(m).select("doc_id", "test_file", "name")
-    return ran.withColumn("doc_id", F.col("doc_id") + 1 + F.col("idx") % 3).join(tests, "doc_id").select("test_file", "name", "file", "idx")
+    # Every fourth line is run by no test.
+    return ran.filter("idx % 4 <> 0").withColumn("doc_id", F.col("doc_id") + 1 + F.col("idx") % 3).join(tests, "doc_id").select("test_file", "name", "file", "idx")
 
 
 def probed(m: Model):
@@ -65,12 +89,12 @@ O_CHANGES = O_UNITS + """,
 
 @query("declaration_diff", f"WITH {O_UNITS} SELECT file, path, old_idx, new_idx, change FROM dd")
 def declaration_diff(m: Model):
-    return impact.declaration_diff(units(m)).drop("inert")
+    return difference_of(m).drop("inert")
 
 
 @query("file_changes", f"WITH {O_CHANGES} SELECT file, change, narrow FROM ch")
 def file_changes(m: Model):
-    return impact.file_changes(files(m), impact.declaration_diff(units(m)), probed(m))
+    return changes_of(m)
 
 
 O_TREE = """
@@ -117,32 +141,80 @@ def own_lines(m: Model):
 
 O_TESTS = """
   te AS (SELECT doc_id, path AS test_file, 'test d' || doc_id || '::srcCase' AS name, doc_id % 13 <> 0 AS passed,
-     CASE WHEN doc_id % 7 = 3 THEN 'partial' WHEN doc_id % 11 = 0 THEN 'run-wide' ELSE 'exact' END AS attribution FROM paths),
-  ex AS (SELECT t.test_file, t.name, b.file, b.idx FROM bu b JOIN te t ON t.doc_id = b.doc_id + 1 + b.idx % 3),
+     CASE WHEN doc_id % 7 = 3 THEN 'partial' WHEN doc_id % 11 = 0 THEN 'run-wide' ELSE 'exact' END AS attribution FROM checkout),
+  ex AS (SELECT t.test_file, t.name, b.file, b.idx FROM bu b JOIN te t ON t.doc_id = b.doc_id + 1 + b.idx % 3 WHERE b.idx % 4 <> 0),
   ru AS (SELECT test_file, name, file, idx FROM ex UNION SELECT test_file, name, file, CAST((idx - 1) // 5 AS BIGINT) * 5 + 1 FROM ex),
-  lo AS (SELECT a.path AS test_file, b.path AS file FROM paths a JOIN paths b ON b.doc_id = a.doc_id + 2),
-  he AS (SELECT file FROM ch WHERE change IN ('removed', 'bytes', 'code') AND file NOT IN (SELECT test_file FROM te WHERE doc_id % 2 = 0) AND file NOT IN (SELECT path FROM paths WHERE doc_id % 3 = 0)),
+  im AS (SELECT a.path AS file, b.path AS target FROM checkout a JOIN checkout b ON b.doc_id = a.doc_id + CASE WHEN a.doc_id % 2 = 0 THEN 1 ELSE 5 END WHERE a.doc_id % 4 <> 3),
+  lo AS (SELECT file AS test_file, target AS file FROM im UNION SELECT a.file, b.target FROM im a JOIN im b ON b.file = a.target
+     UNION SELECT a.file, c.target FROM im a JOIN im b ON b.file = a.target JOIN im c ON c.file = b.target UNION SELECT a.file, d.target FROM im a JOIN im b ON b.file = a.target JOIN im c ON c.file = b.target JOIN im d ON d.file = c.target),
+  fo AS (SELECT path AS test_file FROM checkout WHERE doc_id % 1000 <> 8),
+  sv AS (SELECT a.path AS file, t.name FROM checkout a JOIN te t ON t.doc_id = a.doc_id + 9 OR t.doc_id = a.doc_id + 11 WHERE a.doc_id % 4 = 1 OR a.doc_id < 12),
+  nw AS (SELECT DISTINCT b.file, CASE WHEN b.idx % 5 = 1 THEN 'L' || b.idx END AS word FROM bu b JOIN ch ON ch.file = b.file WHERE ch.change = 'code' AND NOT narrow AND b.file LIKE '%.java' AND b.idx % 5 = 1 AND b.idx > 9
+     UNION SELECT file, regexp_extract(file, '([^/.]*)\\.[^/]*$', 1) FROM ch WHERE change = 'code' AND NOT narrow AND file LIKE '%.java' AND strlen(regexp_extract(file, '([^/.]*)\\.[^/]*$', 1)) > 2),
+  ns AS (SELECT v.path AS test_file, nw.file, min(nw.word) AS word FROM (SELECT path, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM versions WHERE version = 'after') v JOIN nw ON nw.word = v.w GROUP BY ALL),
+  oa AS (SELECT ch.file FROM ch JOIN dd ON dd.file = ch.file WHERE ch.change = 'code' GROUP BY ch.file HAVING bool_and(dd.change = 'added')),
+  he AS (SELECT file FROM ch WHERE change IN ('removed', 'bytes', 'code') AND file NOT IN (SELECT test_file FROM te WHERE doc_id % 2 = 0) AND file NOT IN (SELECT path FROM checkout WHERE doc_id % 3 = 0) AND file NOT IN (SELECT file FROM oa)),
+  hr AS (SELECT t.test_file, t.name, he.file, ch.change, fo.test_file IS NOT NULL AS known, fo.test_file IS NOT NULL AND (t.test_file, he.file) IN (SELECT test_file, file FROM lo) AS imported,
+       he.file IN (SELECT file FROM sv) AS serving, (he.file, t.name) IN (SELECT file, name FROM sv) AS served, he.file IN (SELECT file FROM lo WHERE test_file IN (SELECT test_file FROM fo)) AS placed
+     FROM te t CROSS JOIN he JOIN ch ON ch.file = he.file LEFT JOIN fo ON fo.test_file = t.test_file),
+  hs AS (SELECT test_file, name, file || CASE change WHEN 'removed' THEN ' removed' ELSE ' changed' END || CASE WHEN imported THEN ' (this test''s file loads it)' WHEN serving THEN ' (a server that served this test loaded it)' ELSE ' (a file tests may load)' END AS reason
+     FROM hr WHERE imported OR (serving AND served) OR (NOT serving AND (NOT known OR NOT placed))),
   mv AS (SELECT * FROM ch WHERE change IN ('removed', 'bytes', 'code')),
   re AS (SELECT test_file, name, 'did not pass in the run' AS reason FROM te WHERE NOT passed
     UNION SELECT t.test_file, t.name, CASE change WHEN 'removed' THEN 'test file removed' ELSE 'test file changed' END FROM te t JOIN mv ON mv.file = t.test_file
     UNION SELECT e.test_file, e.name, e.file || CASE change WHEN 'removed' THEN ' removed' ELSE ' changed' END || ' (this test ran code in it)' FROM ex e JOIN mv ON mv.file = e.file WHERE change IN ('removed', 'bytes')
     UNION SELECT r.test_file, r.name, r.file || ': changed (this test ran it)' FROM ru r JOIN dd ON dd.file = r.file AND dd.old_idx = r.idx AND dd.change = 'changed' JOIN mv ON mv.file = r.file WHERE mv.change = 'code' AND narrow
     UNION SELECT e.test_file, e.name, e.file || ': changed (this test ran code in this file)' FROM ex e JOIN mv ON mv.file = e.file WHERE change = 'code' AND NOT narrow
-    UNION SELECT t.test_file, t.name, lo.file || ' changed (this test''s file loads it)' FROM te t JOIN lo ON lo.test_file = t.test_file JOIN he ON he.file = lo.file),
-  bu2 AS (SELECT t.test_file, t.name, t.attribution, re.reason, CASE WHEN re.reason IS NOT NULL THEN 'affected' WHEN t.attribution IN ('partial', 'run-wide') AND (SELECT count(*) FROM mv) > 0 THEN 'undetermined' ELSE 'unaffected' END AS bucket
+    UNION SELECT * FROM hs
+    UNION SELECT t.test_file, t.name, ns.file || ': declarations changed, and the test file names ' || ns.word FROM te t JOIN ns ON ns.test_file = t.test_file
+      WHERE ns.file <> t.test_file AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.test_file = t.test_file AND ex.name = t.name AND ex.file = ns.file)),
+  inside AS (SELECT file, change AS why, CASE change WHEN 'removed' THEN 0 ELSE 1 END AS rank, file || CASE change WHEN 'removed' THEN ' removed' ELSE ' changed' END || ' (the run covered code in it)' AS reason FROM ch WHERE change IN ('removed', 'bytes')
+    UNION ALL SELECT file, 'code', 2, file || ': changed (the run covered it)' FROM ch WHERE change = 'code' AND EXISTS (SELECT 1 FROM dd JOIN ru ON ru.file = dd.file AND ru.idx = dd.old_idx WHERE dd.file = ch.file AND dd.change = 'changed')),
+  bu2 AS (SELECT t.test_file, t.name, t.attribution, coalesce(re.reason, CASE WHEN t.attribution IN ('partial', 'run-wide') THEN (SELECT arg_min(reason, (rank, reason)) FROM inside) END) AS reason,
+      CASE WHEN re.reason IS NOT NULL THEN 'affected' WHEN t.attribution IN ('partial', 'run-wide') AND (SELECT count(*) FROM inside) > 0 THEN 'undetermined' ELSE 'unaffected' END AS bucket
     FROM te t LEFT JOIN re ON re.test_file = t.test_file AND re.name = t.name)"""
 
 
+def imports_of(m: Model, without: int = -1):
+    """Files and what they import: one other each, some none."""
+    near = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(5)
+    by = m.checkout.filter(f"doc_id % 4 <> 3 and doc_id <> {without}").select(F.col("path").alias("file"), (F.col("doc_id") + near).alias("doc_id"))
+    return by.join(m.checkout.select("doc_id", F.col("path").alias("target")), "doc_id").select("file", "target")
+
+
+def loaded(m: Model, without: int = -1):
+    return kept(m, f"loads{without}", lambda: impact.load_closure(m.checkout.select(F.col("path").alias("test_file")), imports_of(m, without)))
+
+
+def followed(m: Model):
+    return m.checkout.filter("doc_id % 1000 <> 8").select(F.col("path").alias("test_file"))
+
+
+def served_by(m: Model):
+    """Files a serving process loaded, with the names of the tests it served."""
+    files_ = m.checkout.filter("doc_id % 4 = 1 or doc_id < 12").select(F.col("path").alias("file"), F.explode(F.array(F.col("doc_id") + 9, F.col("doc_id") + 11)).alias("doc_id"))
+    return files_.join(test_records(m).select("doc_id", "name"), "doc_id").select("file", "name")
+
+
+def namings(m: Model, changes):
+    sources = m.versions.filter("version = 'after'").select(F.col("path").alias("test_file"), "text")
+    return impact.naming_tests(sources, impact.declared_names(units(m), changes))
+
+
+def changed_helpers(m: Model, changes, difference):
+    known = test_records(m).filter("doc_id % 2 = 0")
+    measured = m.checkout.filter("doc_id % 3 = 0").select(F.col("path").alias("file"))
+    return impact.helpers(changes, known, measured, difference)
+
+
 def buckets(m: Model):
-    every, difference = units(m), impact.declaration_diff(units(m))
-    changes = impact.file_changes(files(m), difference, probed(m))
-    tests, ran = test_records(m), executed(m)
-    known = tests.filter("doc_id % 2 = 0")
-    measured = m.paths.filter("doc_id % 3 = 0").select(F.col("path").alias("file"))
-    after = m.paths.select((F.col("doc_id") - 2).alias("doc_id"), F.col("path").alias("file"))
-    loads = m.paths.select("doc_id", F.col("path").alias("test_file")).join(after, "doc_id").select("test_file", "file")
-    closure = impact.ancestors(every.filter("version = 'before'"))
-    return impact.affected_tests(tests.drop("doc_id"), ran, closure, changes, difference, impact.helpers(changes, known, measured), loads, ran.select("file", "idx").distinct())
+    difference = difference_of(m)
+    changes = changes_of(m)
+    ran = executed(m)
+    closure = closure_of(m)
+    return impact.affected_tests(
+        test_records(m).drop("doc_id"), ran, closure, changes, difference, changed_helpers(m, changes, difference), loaded(m), ran.select("file", "idx").distinct(),
+        followed(m), served_by(m), namings(m, changes))
 
 
 @query("affected_tests", f"WITH {O_CHANGES}, {O_TESTS} SELECT test_file, name, attribution, reason, bucket FROM bu2")
@@ -150,20 +222,40 @@ def affected_tests(m: Model):
     return buckets(m)
 
 
-@query("helper_files", f"WITH {O_CHANGES}, {O_TESTS} SELECT file FROM he")
+@query("helper_files", f"WITH {O_CHANGES}, {O_TESTS} SELECT file, change FROM he JOIN ch USING (file)")
 def helper_files(m: Model):
-    changes = impact.file_changes(files(m), impact.declaration_diff(units(m)), probed(m))
-    measured = m.paths.filter("doc_id % 3 = 0").select(F.col("path").alias("file"))
-    return impact.helpers(changes, test_records(m).filter("doc_id % 2 = 0"), measured).select("file")
+    difference = difference_of(m)
+    return changed_helpers(m, changes_of(m), difference).select("file", "change")
+
+
+# Nothing is seen to import document 35, so any test may load it.
+O_UNPLACED = O_TESTS.replace("a.doc_id % 4 <> 3", "a.doc_id % 4 <> 3 AND a.doc_id <> 34")
+
+
+@query("helper_reasons", f"WITH {O_CHANGES}, {O_UNPLACED} SELECT test_file, name, reason FROM hs")
+def helper_reasons(m: Model):
+    difference = difference_of(m)
+    changes = changes_of(m)
+    return impact.helper_reasons(test_records(m), changed_helpers(m, changes, difference), loaded(m, without=34), followed(m), served_by(m))
+
+
+@query("loads_of_tests", f"""WITH RECURSIVE im AS (SELECT a.path AS file, b.path AS target FROM checkout a JOIN checkout b ON b.doc_id = a.doc_id + CASE WHEN a.doc_id % 2 = 0 THEN 1 ELSE 5 END WHERE a.doc_id % 4 <> 3),
+  lo AS (SELECT file AS test_file, target AS file FROM im UNION SELECT lo.test_file, im.target FROM lo JOIN im ON im.file = lo.file)
+  SELECT test_file, file FROM lo""")
+def loads_of_tests(m: Model):
+    return loaded(m)
+
+
+@query("declarations_named_by_tests", f"WITH {O_CHANGES}, {O_TESTS} SELECT test_file, file, word FROM ns")
+def declarations_named_by_tests(m: Model):
+    return namings(m, changes_of(m))
 
 
-@query("beyond_the_run", f"""WITH {O_CHANGES}, {O_TESTS}
-  SELECT file, change AS why FROM ch WHERE change IN ('removed', 'bytes') UNION ALL SELECT file, 'code' FROM ch WHERE change = 'code'
-   AND EXISTS (SELECT 1 FROM dd JOIN ru ON ru.file = dd.file AND ru.idx = dd.old_idx WHERE dd.file = ch.file AND dd.change = 'changed')""")
+@query("beyond_the_run", f"WITH {O_CHANGES}, {O_TESTS} SELECT file, why, reason FROM inside")
 def beyond_the_run(m: Model):
-    difference = impact.declaration_diff(units(m))
-    changes = impact.file_changes(files(m), difference, probed(m))
-    return impact.beyond_the_run(changes, difference, executed(m).select("file", "idx").distinct(), impact.ancestors(before(m)))
+    difference = difference_of(m)
+    changes = changes_of(m)
+    return impact.beyond_the_run(changes, difference, executed(m).select("file", "idx").distinct(), closure_of(m)).select("file", "why", "reason")
 
 
 @query("affected_of_merge", f"""WITH {O_CHANGES}, {O_TESTS},
@@ -177,7 +269,7 @@ def affected_of_merge(m: Model):
 
 
 O_VERDICTS = """
-  st AS (SELECT e.test_file, e.name, e.file, e.idx, CASE WHEN e.idx % 4 = 0 THEN (e.idx * 37 % 100) / 100.0::DOUBLE END AS p, e.idx % 9 <> 0 AS complete
+  st AS (SELECT e.test_file, e.name, e.file, e.idx, CASE WHEN e.idx % 3 = 0 THEN (e.idx * 37 % 100) / 100.0::DOUBLE END AS p, e.idx % 9 <> 0 AS complete
      FROM ex e JOIN dd ON dd.file = e.file AND dd.old_idx = e.idx AND dd.change = 'changed'),
   an AS (SELECT test_file, name, max(p) AS best, count(*) AS n, bool_and(complete) AS c FROM st GROUP BY ALL),
   ow2 AS (SELECT test_file, name, bool_or(reason LIKE 'test file%' OR reason = 'did not pass in the run') AS own FROM bu2 WHERE bucket = 'affected' GROUP BY ALL),
@@ -186,9 +278,9 @@ O_VERDICTS = """
 
 
 def verdicts(m: Model):
-    changed = impact.declaration_diff(units(m)).filter("change = 'changed'").select("file", F.col("old_idx").alias("idx"))
+    changed = difference_of(m).filter("change = 'changed'").select("file", F.col("old_idx").alias("idx"))
     statements = executed(m).join(changed, ["file", "idx"]).select(
-        "test_file", "name", F.when(F.col("idx") % 4 == 0, (F.col("idx") * 37 % 100) / 100.0).alias("p"), (F.col("idx") % 9 != 0).alias("complete"))
+        "test_file", "name", F.when(F.col("idx") % 3 == 0, (F.col("idx") * 37 % 100) / 100.0).alias("p"), (F.col("idx") % 9 != 0).alias("complete"))
     return impact.assertion_verdicts(buckets(m), statements)
 
 
@@ -203,7 +295,7 @@ def assertion_verdicts_of_change(m: Model):
   SELECT v.test_file, v.name, verdict, best, coalesce(name_match, 0) AS name_match, CASE verdict WHEN 'must run' THEN 0 WHEN 'catches' THEN 1 WHEN 'unassessed' THEN 2 WHEN 'runs' THEN 3 ELSE 4 END AS rank
   FROM vd v LEFT JOIN ma ON ma.test_file = v.test_file AND ma.name = v.name""")
 def affected_order(m: Model):
-    changes = impact.file_changes(files(m), impact.declaration_diff(units(m)), probed(m))
+    changes = changes_of(m)
     matches = impact.matched_words(test_records(m), impact.changed_words(changes))
     return impact.order_affected(verdicts(m), matches)
 

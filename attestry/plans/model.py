@@ -208,16 +208,21 @@ VIEWS: dict[str, str] = {
               FROM (SELECT snapshot, path, check_id, doc_id, SPAN(1, 2 + CAST(n_chars % 60 AS INT)) AS line
                     FROM (SELECT 'a' AS snapshot, path, doc_id, n_chars,
                                  EACH('injection_sink', 'secret_in_source', 'unescaped_output') AS check_id FROM paths) x) y) z""",
-    # The documents as a checkout before and after a change, one declaration per line.
+    # The documents as the files of a checkout; each names another one, some only as part of a longer word.
+    "checkout": """
+        SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN replace(path, '.py', '.java') ELSE path END AS path, n_chars,
+               concat(text, CASE WHEN doc_id % 4 = 3 THEN ' see x_d' ELSE ' see d' END, CAST(doc_id + 6 AS VARCHAR(20)), '.') AS text
+        FROM paths""",
+    # Its versions before and after a change, one declaration per line.
     "versions": """
         SELECT doc_id, path, version, text, doc_id % 9 <> 0 AS parsed
-        FROM (SELECT doc_id, path, 'before' AS version, text FROM paths
+        FROM (SELECT doc_id, path, 'before' AS version, text FROM checkout
               UNION ALL SELECT doc_id, path, 'after' AS version,
                      CASE WHEN doc_id % 5 = 0 THEN replace(text, 'the', 'THE')
                           WHEN doc_id % 6 = 1 THEN concat(text, chr(10), 'one more line') 
                           WHEN doc_id % 4 = 1 THEN replace(text, 'an', 'on') ELSE text END AS text
-              FROM paths WHERE doc_id % 7 <> 0
-              UNION ALL SELECT doc_id, concat(path, '.new') AS path, 'after' AS version, text FROM paths WHERE doc_id % 50 = 3) x""",
+              FROM checkout WHERE doc_id % 7 <> 0
+              UNION ALL SELECT doc_id, concat(path, '.new') AS path, 'after' AS version, text FROM checkout WHERE doc_id % 50 = 3) x""",
     "runs": """
         SELECT run_id, started_ms, records, records % 7 = 0 AS merged, CAST(records % 3 AS INT) AS exit_code,
                concat('schema-', CASE WHEN records % 29 = 0 THEN '2' ELSE '3' END) AS schema_version,
