@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.operators import ordered
+from attestry.session import landed
 
 
 def join_server_records(server: DataFrame, attempts: DataFrame, scope: list[str]) -> DataFrame:
@@ -104,21 +107,86 @@ def support_reach(loads: DataFrame, served: DataFrame, unscoped: DataFrame, wind
     return loads.join(tests, ["run_id", "process"]).select("file", "test_id").distinct()
 
 
-def separate_repeats(phases: DataFrame) -> DataFrame:
-    """Phases of a record that declares one an earlier record declared get fresh
-    ids ``id~2``, ``id~3``, ... in record order; references follow by record.
+RECORD = ["run_id", "record_seq"]
 
-    A record is a repeat where any of its phases was seen in an earlier record,
-    which is what repeated executions of one test look like.
-    """
-    first = phases.groupBy("run_id", "id").agg(F.min("record_seq").alias("_first"))
-    marked = phases.join(first, ["run_id", "id"]).withColumn("_again", F.col("record_seq") > F.col("_first"))
-    repeats = marked.filter("_again").select("run_id", "record_seq").distinct().withColumn("_repeat", F.lit(True))
-    told = marked.drop("_first", "_again").join(repeats, ["run_id", "record_seq"], "left")
-    kept = told.filter("_repeat is null").drop("_repeat").withColumn("fresh_id", F.col("id"))
-    numbered = ordered.row_numbers(told.filter("_repeat").drop("_repeat"), ["run_id", "id"], "record_seq", [F.col("record_seq")], "_n")
-    renamed = numbered.withColumn("fresh_id", F.concat("id", F.lit("~"), (F.col("_n") + 1).cast("string"))).drop("_n")
-    return kept.unionByName(renamed.select(*kept.columns))
+
+def _mark(df: DataFrame) -> tuple:
+    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first())
+
+
+def repeated_records(phases: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """(run_id, record_seq) of records that declare a phase some earlier record had declared.
+
+    A repeat declares nothing itself, so records are decided in rounds: one that meets a declared phase is a repeat,
+    one that is the first undecided for each of its phases declares them. ``named`` (run_id, id, at) are names
+    given to earlier repeats' phases."""
+    pending = landed(phases.select(*RECORD, "id").distinct())
+    declared, repeats = [named.select("run_id", "id", "at")] if named is not None else [], []
+    while True:
+        first = pending.groupBy("run_id", "id").agg(F.min("record_seq").alias("_first"))
+        each = pending.join(first, ["run_id", "id"])
+        met = F.lit(False)
+        if declared:
+            known = reduce(DataFrame.unionByName, declared).groupBy("run_id", "id").agg(F.min("at").alias("_at"))
+            each, met = each.join(known, ["run_id", "id"], "left"), F.coalesce(F.col("_at") < F.col("record_seq"), F.lit(False))
+        told = each.groupBy(*RECORD).agg(F.bool_or(met).alias("repeat"), F.bool_and(F.col("record_seq") == F.col("_first")).alias("foremost"))
+        decided = landed(told.filter("repeat or foremost").select(*RECORD, "repeat"))
+        if decided.isEmpty():
+            break
+        repeats.append(decided.filter("repeat").select(*RECORD))
+        declared.append(pending.join(decided.filter("not repeat").select(*RECORD), RECORD).select("run_id", "id", F.col("record_seq").alias("at")))
+        pending = landed(pending.join(decided.select(*RECORD), RECORD, "left_anti"))
+    return reduce(DataFrame.unionByName, repeats) if repeats else pending.select(*RECORD)
+
+
+def own_numbers(phases: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(run_id, id, n, at): where a record that is no repeat declares ``id~n`` itself."""
+    kept = phases.select(*RECORD, "id").distinct().join(repeats, RECORD, "left_anti")
+    pattern = r"^(.*)~([1-9][0-9]*)$"
+    return kept.select("run_id", F.regexp_extract("id", pattern, 1).alias("id"), F.regexp_extract("id", pattern, 2).try_cast("int").alias("n"), F.col("record_seq").alias("at")).filter("n >= 2")
+
+
+def fresh_names(phases: DataFrame, repeats: DataFrame, passed_over: DataFrame) -> DataFrame:
+    """(run_id, record_seq, id, n): the phases of repeats numbered from 2 on in record order, but for the
+    numbers (run_id, id, n) that are passed over."""
+    again = phases.select(*RECORD, "id").distinct().join(repeats, RECORD)
+    taken = ordered.row_numbers(passed_over.select("run_id", "id", "n").distinct(), ["run_id", "id"], "n", [F.col("n")], "_j")
+    # Of the numbers from 2 on that are not passed over, so many lie below one that is.
+    gaps = taken.select("run_id", "id", (F.col("n") - 1 - F.col("_j")).alias("_below"))
+    numbered = ordered.row_numbers(again, ["run_id", "id"], "record_seq", [F.col("record_seq")], "_i")
+    told = numbered.join(gaps, ["run_id", "id"], "left").groupBy(*RECORD, "id", "_i").agg(F.count_if(F.col("_below") < F.col("_i")).alias("_passed"))
+    return told.select(*RECORD, "id", (F.col("_i") + 1 + F.col("_passed")).cast("int").alias("n"))
+
+
+def separate_repeats(phases: DataFrame) -> DataFrame:
+    """Phases of a record that declares one an earlier record declared get names of their own, ``id~2``, ``id~3``
+    and so on (``fresh_id``); references follow by record.
+
+    A given name is declared too, so a later record that uses it is a repeat, and a name that an earlier record
+    has of its own is passed over. What repeats, what is passed over and what names are given each depend only on
+    earlier records, so deriving them in turn until nothing moves gives what going through the records would."""
+    fresh, seen = None, None
+    used = phases.select("run_id", F.col("id").alias("_name")).distinct()
+    while True:
+        # Only given names that some record has of its own can change what repeats.
+        given = None
+        if fresh is not None:
+            named = fresh.select("run_id", F.concat("id", F.lit("~"), F.col("n").cast("string")).alias("_name"), F.col("record_seq").alias("at"))
+            given = landed(named.join(used, ["run_id", "_name"], "left_semi").withColumnRenamed("_name", "id"))
+        repeats = landed(repeated_records(phases, given))
+        own = own_numbers(phases, repeats)
+        if fresh is None:
+            over = own.limit(0)
+        else:
+            # A number is passed over where it is declared before the repeat that would take it.
+            reached = own.join(fresh.select("run_id", "id", F.col("n").alias("_n"), "record_seq"), ["run_id", "id"]).filter("_n >= n")
+            over = reached.groupBy("run_id", "id", "n", "at").agg(F.min("record_seq").alias("_reached")).filter("at < _reached")
+        fresh = landed(fresh_names(phases, repeats, over))
+        mark = _mark(fresh)
+        if mark == seen:
+            told = fresh.select(*RECORD, "id", F.concat("id", F.lit("~"), F.col("n").cast("string")).alias("fresh_id"))
+            return phases.join(told, [*RECORD, "id"], "left").withColumn("fresh_id", F.coalesce("fresh_id", "id"))
+        seen = mark
 
 
 def release_leaked(events: DataFrame, phases: DataFrame) -> DataFrame:

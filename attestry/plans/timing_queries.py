@@ -133,18 +133,23 @@ def support_reach_union(m: Model):
 
 
 def repeated_phases(m: Model):
-    return m.event_times.select("run_id", F.col("day_ms").alias("record_seq"), F.concat("test_id", F.lit("#"), "event_type").alias("id")).distinct()
-
-
-O_REPEATS = """
-  pr AS (SELECT DISTINCT run_id, day_ms AS record_seq, test_id || '#' || event_type AS id FROM event_times),
-  again AS (SELECT *, record_seq > min(record_seq) OVER (PARTITION BY run_id, id) AS later FROM pr),
-  rec AS (SELECT run_id, record_seq, bool_or(later) AS repeat FROM again GROUP BY ALL)"""
-
-
-@query("repeated_executions", f"""WITH {O_REPEATS}
-  SELECT p.run_id, p.record_seq, p.id, CASE WHEN r.repeat THEN p.id || '~' || CAST(1 + row_number() OVER (PARTITION BY p.run_id, p.id, r.repeat ORDER BY p.record_seq) AS VARCHAR)
-    ELSE p.id END AS fresh_id FROM pr p JOIN rec r ON r.run_id = p.run_id AND r.record_seq = p.record_seq""")
+    """Days as records; some phases have a name that a repeat of another would be given."""
+    own = F.concat("test_id", F.lit("#"), "event_type", F.when(F.col("event_id") % 11 == 0, "~2").when(F.col("event_id") % 13 == 0, "~4").otherwise(""))
+    return m.event_times.select("run_id", F.col("day_ms").alias("record_seq"), own.alias("id")).distinct()
+
+
+# The records of a run one after another: what is declared decides the next one.
+@query("repeated_executions", """WITH RECURSIVE
+  pr AS (SELECT DISTINCT run_id, day_ms AS record_seq, test_id || '#' || event_type || CASE WHEN event_id % 11 = 0 THEN '~2' WHEN event_id % 13 = 0 THEN '~4' ELSE '' END AS id FROM event_times),
+  re AS (SELECT run_id, record_seq, list(id ORDER BY id) AS ids, row_number() OVER (PARTITION BY run_id ORDER BY record_seq) AS k FROM pr GROUP BY run_id, record_seq),
+  go AS (
+    SELECT run_id, 0::BIGINT AS k, 0::BIGINT AS record_seq, []::VARCHAR[] AS ids, []::VARCHAR[] AS fresh, []::VARCHAR[] AS declared FROM (SELECT DISTINCT run_id FROM re)
+    UNION ALL
+    SELECT run_id, k, record_seq, ids, fresh, list_concat(declared, fresh) FROM (
+      SELECT go.run_id, re.k, re.record_seq, re.ids, go.declared, CASE WHEN NOT list_has_any(go.declared, re.ids) THEN re.ids
+        ELSE list_transform(re.ids, lambda i: i || '~' || CAST(list_filter(range(2, 3 + len(go.declared)), lambda n: NOT list_contains(go.declared, i || '~' || CAST(n AS VARCHAR)))[1] AS VARCHAR)) END AS fresh
+      FROM go JOIN re ON re.run_id = go.run_id AND re.k = go.k + 1))
+  SELECT run_id, record_seq, unnest(ids) AS id, unnest(fresh) AS fresh_id FROM go WHERE k > 0""")
 def repeated_executions(m: Model):
     return timing.separate_repeats(repeated_phases(m)).select("run_id", "record_seq", "id", "fresh_id")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +72,14 @@ def stored(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_stored[key])
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: lineage, and all that was known of the
+    plan, end there, so rounds may be joined and united with each other freely."""
+    path = f"{shared_folder(df.sparkSession)}/attestry-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder the cluster names.
 
