@@ -6,11 +6,14 @@ started_ms.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import beside_the_tests, configuration_file, dependency_file
 from attestry.operators.selection import NoMatch
+from attestry.operators.timing import separate_repeats
 
 # Fingerprint columns with their names in a merge and in a stale run.
 DOMAINS = {
@@ -100,6 +103,70 @@ def merge(records: DataFrame, run_ids: list[str], merged_id: str, superseded: Da
     return kept.withColumn("shard", ranks[F.col("run_id")]).withColumn("run_id", F.lit(merged_id))
 
 
+def table_fingerprints(tables: dict[str, DataFrame]) -> DataFrame:
+    """(run_id, domain, rows, total, mixed): what each run's rows of each table come to, in whatever order.
+
+    Count, sum and exclusive or of row hashes are the same for the same rows, copies counted, and need one
+    partial aggregation, however large the tables. A null hashes apart from a missing neighbour's value."""
+    parts = []
+    for domain, rows in tables.items():
+        names = sorted(name for name in rows.columns if name != "run_id")
+        row = F.xxhash64(*[x for name in names for x in (F.col(name), F.col(name).isNull())])
+        parts.append(rows.groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("total"), F.bit_xor(row).alias("mixed")).withColumn("domain", F.lit(domain)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def denominator_conflicts(tables: dict[str, DataFrame], run_ids: list[str]) -> DataFrame:
+    """(run_id, domain) where a run named for a merge has other rows than the first one; runs
+    without rows in a domain have the empty table there."""
+    require_mergeable(run_ids)
+    spark = next(iter(tables.values())).sparkSession
+    named = {domain: rows.filter(F.col("run_id").isin(run_ids)) for domain, rows in tables.items()}
+    prints = table_fingerprints(named)
+    every = spark.createDataFrame([(run, domain) for run in run_ids for domain in tables], "run_id string, domain string")
+    told = every.join(prints, ["run_id", "domain"], "left").withColumn("_print", F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "total", "mixed"))
+    first = told.filter(F.col("run_id") == run_ids[0]).select("domain", F.col("_print").alias("_first"))
+    return told.filter(F.col("run_id") != run_ids[0]).join(first, "domain").filter(~F.col("_print").eqNullSafe(F.col("_first"))).select("run_id", "domain")
+
+
+def denominator_difference(tables: dict[str, DataFrame], conflicts: DataFrame, first: str) -> DataFrame:
+    """(run_id, domain, id, surplus): rows by which the first run and one in conflict with it differ, copies
+    counted, positive where the first has more. Domains that agree are not looked at."""
+    parts, against = [], {}
+    for run, domain in sorted((r.run_id, r.domain) for r in conflicts.distinct().collect()):  # few: runs named times tables
+        against.setdefault(domain, []).append(run)
+    for domain, others in against.items():
+        rows, shape = tables[domain], [name for name in tables[domain].columns if name != "run_id"]
+        one = rows.filter(F.col("run_id") == first).select(*shape, F.lit(1).alias("_n"), F.explode(F.array(*map(F.lit, others))).alias("run_id"))
+        other = rows.filter(F.col("run_id").isin(others)).withColumn("_n", F.lit(-1))
+        surplus = one.unionByName(other).groupBy("run_id", *shape).agg(F.sum("_n").alias("surplus")).filter("surplus <> 0")
+        parts.append(surplus.select("run_id", F.lit(domain).alias("domain"), "id", "surplus"))
+    empty = conflicts.select("run_id", "domain", F.lit("").alias("id"), F.lit(0).cast("long").alias("surplus")).limit(0)
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def merge_evidence(tables: dict[str, DataFrame], run_ids: list[str], merged_id: str, superseded: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every evidence table of the runs as one run's, with the ``shard`` each row is from: records, hits, vectors, phases
+    and whatever else names a run and a test. Rows of superseded (run, test) pairs are left out of all alike.
+
+    Sightings that several shards make are one, the first shard's and its first; phases that shards declare under one
+    id get ids of their own, ``fresh_id``, in the order the runs were named."""
+    out = {name: merge(rows, run_ids, merged_id, superseded) for name, rows in tables.items()}
+    if "hits" in out:
+        sight = F.struct("shard", "seq")
+        out["hits"] = out["hits"].groupBy("run_id", "test_id", "hit_id").agg(F.min(sight).alias("_first")).select("run_id", "test_id", "hit_id", "_first.shard", "_first.seq")
+    if "vectors" in out:
+        shape = [name for name in out["vectors"].columns if name not in ("seq", "shard")]
+        out["vectors"] = out["vectors"].groupBy(*shape).agg(F.min(F.struct("shard", "seq")).alias("_first")).select(*shape, "_first.shard", "_first.seq")
+    if "phases" in out:
+        # A record is a shard's test; it stands where its first phase does, behind all of the shards before.
+        begun = out["phases"].groupBy("shard", "test_id").agg(F.min("seq").alias("_begun"))
+        placed = out["phases"].join(begun, ["shard", "test_id"]).withColumn("record_seq", F.shiftleft(F.col("shard").cast("long"), 44) + F.col("_begun")).drop("_begun")
+        out["phases"] = separate_repeats(placed)
+    return out
+
+
 def first_kind(merged_tests: DataFrame) -> DataFrame:
     """A test's kind is the first named run's that has it."""
     return merged_tests.groupBy("run_id", "test_id").agg(F.min_by("kind", "shard").alias("kind"))

@@ -70,6 +70,80 @@ def merge_runs(m: Model):
     return folded.select("run_id", "test_id", "retry", (F.col("status") == "failed").alias("failed"), (F.col("status") != "unknown").alias("known"), "records")
 
 
+# --- whole runs ----------------------------------------------------------------
+# A copy of one run whose decisions and limitations differ, and whose points and alternatives do not.
+COPY = "run_copy"
+
+
+def manifests(m: Model):
+    """What decides whether runs share a denominator."""
+    tables = {"points": m.points, "alternatives": m.alternatives, "decisions": m.decisions, "limitations": m.limitations}
+    own = {name: rows.filter(F.col("run_id") == ONE).withColumn("run_id", F.lit(COPY)) for name, rows in tables.items()}
+    own["decisions"] = own["decisions"].withColumn("declined", F.col("declined") != (F.col("width") == 2))
+    own["limitations"] = own["limitations"].filter("not whole_file")
+    return {name: rows.filter(F.col("run_id").isin(ONE, TWO)).unionByName(own[name]) for name, rows in tables.items()}
+
+
+def o_domain(name: str, copied: str = "*", where: str = "TRUE") -> str:
+    """Rows of the other two runs against the first's: (run_id, domain, id, surplus)."""
+    one = f"SELECT * EXCLUDE (run_id) FROM {name} WHERE run_id = '{ONE}'"
+    parts = []
+    for run, rows in ((TWO, f"SELECT * EXCLUDE (run_id) FROM {name} WHERE run_id = '{TWO}'"), (COPY, f"SELECT {copied} FROM ({one}) WHERE {where}")):
+        for sign, left, right in ((1, one, rows), (-1, rows, one)):
+            parts.append(f"SELECT '{run}' AS run_id, '{name}' AS domain, id, {sign} AS surplus FROM (({left}) EXCEPT ALL ({right}))")
+    return " UNION ALL ".join(parts)
+
+
+O_DENOMINATORS = " UNION ALL ".join([
+    o_domain("points"), o_domain("alternatives"), o_domain("decisions", "* REPLACE (declined <> (width = 2) AS declined)"), o_domain("limitations", where="NOT whole_file")])
+
+
+@query("merge_denominator_conflicts", f"SELECT DISTINCT run_id, domain FROM ({O_DENOMINATORS})")
+def merge_denominator_conflicts(m: Model):
+    return runs.denominator_conflicts(manifests(m), [ONE, TWO, COPY])
+
+
+@query("merge_denominator_difference", O_DENOMINATORS)
+def merge_denominator_difference(m: Model):
+    tables = manifests(m)
+    return runs.denominator_difference(tables, runs.denominator_conflicts(tables, [ONE, TWO, COPY]), ONE)
+
+
+O_LEFT_OUT = f"SELECT run_id, test_id FROM tests WHERE run_id = '{ONE}' AND kind = 'e2e'"
+
+
+def left_out(m: Model):
+    """Tests measured again elsewhere: one kind of the first run's."""
+    return m.tests.filter((F.col("run_id") == ONE) & (F.col("kind") == "e2e")).select("run_id", "test_id")
+
+
+@query("merge_hits", f"""
+  WITH o AS ({O_LEFT_OUT}), k AS (SELECT *, CASE run_id WHEN '{ONE}' THEN 0 ELSE 1 END AS shard FROM hits WHERE run_id IN ('{ONE}', '{TWO}') AND (run_id, test_id) NOT IN (SELECT run_id, test_id FROM o))
+  SELECT '{ALL}' AS run_id, test_id, hit_id, min(shard) AS shard, arg_min(seq, (shard, seq)) AS seq FROM k GROUP BY test_id, hit_id""")
+def merge_hits(m: Model):
+    return runs.merge_evidence({"hits": m.hits}, [ONE, TWO], ALL, left_out(m))["hits"]
+
+
+@query("merge_vectors", f"""
+  WITH o AS ({O_LEFT_OUT}), k AS (SELECT *, CASE run_id WHEN '{ONE}' THEN 0 ELSE 1 END AS shard FROM vectors WHERE run_id IN ('{ONE}', '{TWO}') AND (run_id, test_id) NOT IN (SELECT run_id, test_id FROM o))
+  SELECT '{ALL}' AS run_id, test_id, decision_id, width, a, b, c, outcome, min(shard) AS shard, arg_min(seq, (shard, seq)) AS seq FROM k GROUP BY test_id, decision_id, width, a, b, c, outcome""")
+def merge_vectors(m: Model):
+    return runs.merge_evidence({"vectors": m.vectors}, [ONE, TWO], ALL, left_out(m))["vectors"]
+
+
+# Two runs of the phases, the second with half of the first's ids; a record is a run's test.
+@query("merge_phases", """
+  WITH k AS (SELECT 0 AS shard, test_id, id, kind, seq FROM phases WHERE run_id = 'run_u3' UNION ALL
+     SELECT 1, test_id, CASE WHEN seq % 2 = 0 THEN id ELSE id || 'b' END, kind, seq FROM phases WHERE run_id = 'run_u3' AND seq % 5 <> 0),
+  r AS (SELECT DISTINCT k.test_id FROM k JOIN k f ON f.id = k.id AND f.shard = 0 WHERE k.shard = 1)
+  SELECT 'run_all' AS run_id, shard, test_id, id, kind, seq, CASE WHEN shard = 1 AND test_id IN (SELECT test_id FROM r) THEN id || '~2' ELSE id END AS fresh_id FROM k""")
+def merge_phases(m: Model):
+    rows = m.phases.filter("run_id = 'run_u3'").select("run_id", "test_id", "id", "kind", "seq")
+    again = rows.filter("seq % 5 <> 0").withColumn("run_id", F.lit("run_again")).withColumn("id", F.when(F.col("seq") % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("b"))))
+    merged = runs.merge_evidence({"phases": rows.unionByName(again)}, ["run_u3", "run_again"], ALL)["phases"]
+    return merged.select("run_id", "shard", "test_id", "id", "kind", "seq", "fresh_id")
+
+
 @query("merge_first_kind", f"""
   SELECT '{ALL}' AS run_id, test_id, coalesce(max(kind) FILTER (run_id = '{TWO}'), max(kind)) AS kind FROM tests WHERE run_id IN ('{ONE}', '{TWO}') GROUP BY test_id""")
 def merge_first_kind(m: Model):
