@@ -218,3 +218,29 @@ def ranges(df: DataFrame, keys: list[str], at: str, size: int = 4096) -> DataFra
         .groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
     )
     return whole.unionByName(edges)
+
+
+def _before(df: DataFrame, keys: list[str], split: str, summary: list[Column], carried: list[Column]) -> DataFrame:
+    """Rows with what the splits before theirs come to: one summary row for each split."""
+    totals = df.groupBy(*keys, split).agg(*summary)
+    told = totals.select(*keys, split, *carried)
+    return df.join(told, [*keys, split])
+
+
+def split_numbers(df: DataFrame, keys: list[str], split: str, at: str, out: str) -> DataFrame:
+    """Numbers from one along (split, at) of each key. A task holds one split, as a scan cut it."""
+    earlier = Window.partitionBy(*keys).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _before(df, keys, split, [F.count(F.lit(1)).alias("_n")], [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")])
+    local = F.row_number().over(Window.partitionBy(*keys, split).orderBy(at))
+    return placed.withColumn(out, F.col("_offset") + local).drop("_offset")
+
+
+def fill_splits(df: DataFrame, keys: list[str], split: str, at: str, names: list[str]) -> DataFrame:
+    """Replace nulls by the last value before them along (split, at) of each key, per column."""
+    earlier = Window.partitionBy(*keys).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    summary = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col(at))).alias(f"_last_{name}") for name in names]
+    carried = [F.last(f"_last_{name}", ignorenulls=True).over(earlier).alias(f"_carry_{name}") for name in names]
+    placed = _before(df, keys, split, summary, carried)
+    along = Window.partitionBy(*keys, split).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {name: F.coalesce(F.last(name, ignorenulls=True).over(along), f"_carry_{name}") for name in names}
+    return placed.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])

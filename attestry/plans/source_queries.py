@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from attestry import schemas
@@ -9,40 +11,64 @@ from attestry.operators import coverage, gaps, minimize
 from attestry.plans.catalog import query
 from attestry.plans.coverage_queries import BASE, O_KEY, O_STATES, evidence, o_totals
 from attestry.plans.model import Model
+from attestry.session import shared_folder
 from attestry.sources import evidence as scans
 from attestry.sources import exports, lcov
 
-# --- scans over journals the tables are written out as ---------------------------------
+# --- scans of journals that the tables are written out as ---------------------------------
+
+
+def files_of(m: Model, name: str, lines):
+    """Text files in the shared folder, a folder for each ``run_id`` and its lines in order of ``pos``: written
+    once in an application, then scanned like any others."""
+    path = f"{shared_folder(m.spark)}/journals-{m.spark.sparkContext.applicationId}-{hashlib.sha256(m.sf_dir.encode()).hexdigest()[:12]}/{name}"
+    if path not in _written:
+        rows = lines().select("run_id", "pos", "text").repartition("run_id").sortWithinPartitions("run_id", "pos")
+        rows.select("run_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
+        _written.add(path)
+    return f"{path}/*/*.txt"
+
+
+_written: set[str] = set()
+RUN_OF_FILE = r"regexp_extract(file, '/run_id=([^/]+)/', 1)"
 
 
 def journal(m: Model):
-    """Server records as JSON lines, one file per run; every eleventh line torn."""
-    scope = F.when(F.col("request").isNull() | (F.col("record_id") % 4 == 0), F.struct(F.col("process").alias("workerId"), F.col("run_id").alias("runId")))
-    body = F.to_json(F.struct(F.lit("hit").alias("type"), F.col("hit_id").alias("id"), F.col("timestamp_ms").alias("timestampMs"), F.col("request"), scope.alias("scope")))
-    text = F.when(F.col("record_id") % 11 == 0, F.expr("substring(body, 1, length(body) - 3)")).otherwise(F.col("body"))
-    return m.background.withColumn("body", body).select(F.col("run_id").alias("file"), F.col("record_id").alias("pos"), text.alias("text"))
+    """Server records as JSON lines, a folder for each run; every eleventh line torn."""
+    def lines():
+        scope = F.when(F.col("request").isNull() | (F.col("record_id") % 4 == 0), F.struct(F.col("process").alias("workerId"), F.col("run_id").alias("runId")))
+        body = F.to_json(F.struct(F.lit("hit").alias("type"), F.col("hit_id").alias("id"), F.col("timestamp_ms").alias("timestampMs"), F.col("request"), scope.alias("scope")))
+        text = F.when(F.col("record_id") % 11 == 0, F.expr("substring(body, 1, length(body) - 3)")).otherwise(F.col("body"))
+        return m.background.withColumn("body", body).select("run_id", F.col("record_id").alias("pos"), text.alias("text"))
+
+    return files_of(m, "server", lines)
 
 
 @query("strict_scan", "SELECT run_id, test_id, retry, count(*) AS records FROM records GROUP BY ALL")
 def strict_scan(m: Model):
-    body = F.to_json(F.struct(F.col("test_id").alias("testId"), F.col("retry"), F.col("status"), F.col("expected_status").alias("expectedStatus"), F.struct(F.col("run_id").alias("runId")).alias("scope")))
-    read = m.records.select(body.alias("text")).select(F.from_json("text", schemas.RECORD, {"mode": "FAILFAST"}).alias("r"))
-    return read.groupBy(F.col("r.scope.runId").alias("run_id"), F.col("r.testId").alias("test_id"), F.col("r.retry").alias("retry")).agg(F.count(F.lit(1)).alias("records"))
+    def lines():
+        body = F.to_json(F.struct(F.col("test_id").alias("testId"), F.col("retry"), F.col("status"), F.col("expected_status").alias("expectedStatus"), F.struct(F.col("run_id").alias("runId")).alias("scope")))
+        return m.records.select("run_id", F.col("seq").alias("pos"), body.alias("text"))
+
+    read = scans.strict_records(m.spark, files_of(m, "records", lines))
+    return read.groupBy(F.col("scope.runId").alias("run_id"), F.col("testId").alias("test_id"), "retry").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("tolerant_scan", """
   SELECT count(*) FILTER (record_id % 11 <> 0) AS records, count(*) FILTER (record_id % 11 = 0) AS corrupt_records, count(DISTINCT run_id) FILTER (record_id % 11 = 0) AS corrupt_files FROM background""")
 def tolerant_scan(m: Model):
-    good, corrupt = scans.tolerant(journal(m))
+    good, corrupt = scans.tolerant(scans.text_lines(m.spark, journal(m)))
     counted = good.agg(F.count(F.lit(1)).alias("records")).withColumn("_k", F.lit(1))
     return counted.join(corrupt.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 @query("scoped_server_records", """
-  WITH g AS (SELECT run_id AS file, record_id AS pos, hit_id AS id, CASE WHEN request IS NULL OR record_id % 4 = 0 THEN process END AS w FROM background WHERE record_id % 11 <> 0)
+  WITH n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY record_id) AS pos FROM background),
+  g AS (SELECT run_id AS file, pos, hit_id AS id, CASE WHEN request IS NULL OR record_id % 4 = 0 THEN process END AS w FROM n WHERE record_id % 11 <> 0)
   SELECT file, pos, id, last_value(w IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos) AS worker FROM g""")
 def scoped_server_records(m: Model):
-    return scans.scoped_server_records(journal(m)).select("file", "pos", "id", F.col("scope.workerId").alias("worker"))
+    read = scans.scoped_server_records(scans.numbered_lines(m.spark, journal(m)))
+    return read.select(F.expr(RUN_OF_FILE).alias("file"), "pos", "id", F.col("scope.workerId").alias("worker"))
 
 
 @query("event_columns", "SELECT run_id, test_id, event_id, hour_ms, event_type AS type, CASE WHEN event_id % 2 = 0 THEN 'browser' ELSE 'server' END AS environment, CASE WHEN event_id % 3 = 0 THEN 'ph1' END AS phase_id, ms AS timestamp_ms FROM event_times")

@@ -1,9 +1,8 @@
 """Scans of evidence: JSON documents, journals, manifests, event columns.
 
 Files are split by Spark as far as their format allows: journals by line, other
-documents by file. Order inside a file is kept by byte-ordered line positions,
-so a journal larger than a split is read whole only where a rule needs its
-order (``numbered_lines``).
+documents by file. Order inside a file is that of its splits and of the lines in each, so a rule that
+reads in order needs no task that holds a whole journal.
 """
 
 from __future__ import annotations
@@ -21,14 +20,18 @@ def strict_records(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Journal lines with their file, splittable."""
-    return spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    """(file, block, at, text): journal lines with where they stand, splittable.
+
+    A file is read by as many tasks as it has splits. ``block`` is where a line's split begins in its file and ``at``
+    grows along a split, so (file, block, at) is the order of the file without a task that reads it whole."""
+    lines = spark.read.text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of whole files with positions from one, for rules that read in order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return whole.select("file", F.posexplode(F.split("text", "\r?\n")).alias("pos", "text")).withColumn("pos", F.col("pos") + 1).filter("text <> ''")
+    """(file, pos, block, at, text): the lines that are not empty, ``pos`` counting all of a file's lines from one."""
+    return ordered.split_numbers(text_lines(spark, path), ["file"], "block", "at", "pos").filter("text <> ''").withColumn("text", F.regexp_replace("text", "\r$", ""))
 
 
 def parsed(lines: DataFrame, schema) -> DataFrame:
@@ -48,11 +51,11 @@ def tolerant(lines: DataFrame, schema=schemas.SERVER_RECORD) -> tuple[DataFrame,
 
 def scoped_server_records(lines: DataFrame) -> DataFrame:
     """Server records of numbered lines; a line without a scope takes the scope of
-    the line before it in its file."""
+    the line before it in its file, one row for each split being carried to those behind it."""
     good, _ = tolerant(lines)
-    flat = good.select("file", "pos", F.col("record.type").alias("type"), F.col("record.id").alias("id"), F.col("record.timestampMs").alias("timestamp_ms"),
+    flat = good.select("file", "block", "at", "pos", F.col("record.type").alias("type"), F.col("record.id").alias("id"), F.col("record.timestampMs").alias("timestamp_ms"),
                        F.col("record.phaseId").alias("phase_id"), F.col("record.request").alias("request"), F.col("record.scope").alias("scope"))
-    return ordered.fill_forward(flat, ["file"], "pos", ["scope"])
+    return ordered.fill_splits(flat, ["file"], "block", "at", ["scope"]).drop("block", "at")
 
 
 def manifest_tables(manifests: DataFrame) -> dict[str, DataFrame]:

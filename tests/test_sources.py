@@ -1,6 +1,7 @@
 """Scans and sinks on files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,29 @@ def test_cycles_of_causes(spark):
     rows = spark.createDataFrame([("r", "x", "a", "b"), ("r", "x", "b", "a"), ("r", "x", "c", None), ("r", "x", "d", "c"), ("r", "y", "a", "b"), ("r", "y", "b", None)],
                                  "run_id string, record_id string, id string, cause string")
     assert sorted(r.key for r in validate.cyclic_causes(rows).collect()) == ["a", "b"]
+
+
+def test_a_journal_is_read_by_many_tasks_in_its_order(spark, tmp_path):
+    rng, wanted = random.Random(6), []
+    for name in ("a.jsonl", "b.jsonl"):
+        lines, scope = [], None
+        for n in range(1, 1500):
+            if rng.random() < 0.01:
+                scope = f"w{n}"
+                lines.append(json.dumps({"type": "hit", "id": f"h{n}", "scope": {"workerId": scope, "runId": "r"}}))
+            elif rng.random() < 0.05:
+                lines.append("" if rng.random() < 0.5 else '{"type": "hi')
+                continue
+            else:
+                lines.append(json.dumps({"type": "hit", "id": f"h{n}", "pad": "é" * rng.randint(0, 40)}))
+            wanted.append((name, n, f"h{n}", scope))
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if name == "a.jsonl" else ""))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = evidence.numbered_lines(spark, str(tmp_path))
+        assert evidence.text_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+        got = evidence.scoped_server_records(lines).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted((r.file.rsplit("/", 1)[1], r.pos, r.id, r.scope and r.scope.workerId) for r in got) == sorted(wanted)
