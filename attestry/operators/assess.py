@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.operators import ordered
+from attestry.session import landed
 
 # An answer at or above PRESENT_AT fires; security checks with a
 # cut of their own; a line dismissed at DISMISS_AT is no finding.
@@ -100,23 +102,24 @@ def findings_per_check(tiered: DataFrame) -> DataFrame:
 
 
 def thin_lines(line_answers: DataFrame, cuts: dict[str, float] | None = None) -> DataFrame:
-    """Confirmed lines, one per check and ten lines, the strongest first.
+    """Confirmed lines, one per check and ten lines, the strongest first (of equal ones the first line).
 
-    Lines more than ten apart never decide about each other, so a check's lines
-    are cut where such a gap is and each stretch is thinned alone.
-    """
+    In a round every line that is the strongest of its ten on either side stays and takes its neighbours out; the
+    others go on. That gives what going through the lines by strength would, in as many rounds as the longest
+    series of ever weaker neighbours has steps. Lines are compared by stretches with their margins, so a file of
+    any number of lines is spread over tasks."""
+    keys, size = [*FILE, "check_id"], 4096
     kept = fired(line_answers, cuts).filter(F.coalesce("dismissed", F.lit(0.0)) < DISMISS_AT)
-    keys = [*FILE, "check_id"]
-    stepped = ordered.previous(kept, keys, "line", ["line"], ["line"], 4096)
-    breaks = stepped.withColumn("_new", F.when(F.coalesce(F.col("line") - F.col("prev_line") <= NEAR_LINES, F.lit(False)), 0).otherwise(1))
-    stretched = ordered.running_total(breaks, keys, "line", "_new", "_stretch")
-    gathered = stretched.groupBy(*keys, "_stretch").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("_minus"), "line", "value"))).alias("_all"))
-    near = F.aggregate(
-        "_all", F.slice(F.col("_all"), 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda k: F.abs(k.line - x.line) <= NEAR_LINES), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return gathered.select(*keys, F.explode(near).alias("k")).select(*keys, "k.line", "k.value")
+    left, stay = landed(kept.groupBy(*keys, "line").agg(F.max("value").alias("value"))), []
+    around = Window.partitionBy(*keys, "_part").orderBy("line").rangeBetween(-NEAR_LINES, NEAR_LINES)
+    while not left.isEmpty():
+        own = F.floor(F.col("line") / size)
+        margins = F.array_distinct(F.array(own, F.floor((F.col("line") - NEAR_LINES) / size), F.floor((F.col("line") + NEAR_LINES) / size)))
+        spread = left.withColumn("_part", F.explode(margins)).withColumn("_best", F.max(F.struct("value", (-F.col("line")).alias("minus"))).over(around))
+        stay.append(landed(spread.filter((F.col("_part") == own) & (F.col("_best.minus") == -F.col("line"))).select(*keys, "line", "value")))
+        taken = stay[-1].select(*keys, F.explode(F.sequence(F.col("line") - NEAR_LINES, F.col("line") + NEAR_LINES)).alias("line"))
+        left = landed(left.join(taken, [*keys, "line"], "left_anti"))
+    return reduce(DataFrame.unionByName, stay) if stay else left
 
 
 def change_review(tiered: DataFrame, changed_lines: DataFrame) -> DataFrame:

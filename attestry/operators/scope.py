@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,36 +9,45 @@ from attestry.functions import text as words
 from attestry.functions.paths import folder_of
 
 
-def under_any(path, roots: list[str]):
-    """Whether a path is one of the roots or lies below one."""
-    terms = [(path == root) | path.startswith(root.rstrip("/") + "/") for root in roots]
-    return reduce(lambda a, b: a | b, terms, F.lit(False))
+def holders(files: DataFrame, folders: DataFrame, name: str) -> DataFrame:
+    """(checkout, file, depth, name): the folders of a checkout that a file is or lies below.
+
+    A path is met with its own beginnings by equality, so the plan and the work of a file do not
+    grow with the number of folders."""
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    bare = folders.select("checkout", name, F.regexp_replace(name, "/+$", "").alias("_above"))
+    met = files.select("checkout", "file", F.explode(above).alias("_above")).join(bare, ["checkout", "_above"])
+    return met.select("checkout", "file", (F.length("_above") - F.length(F.replace("_above", F.lit("/"), F.lit("")))).alias("depth"), name)
 
 
-def classify(files: DataFrame, roots: list[str], packages: list[str], explicit: bool) -> DataFrame:
-    """Each source file as included, excluded or ambiguous, by the first rule
+def classify(files: DataFrame, roots: DataFrame, packages: DataFrame, explicit: bool) -> DataFrame:
+    """Each source file of each checkout as included, excluded or ambiguous, by the first rule
     that holds, with the nearest package above it.
 
-    ``files``: file, text, skipped (reason of a skip convention or null), beside
-    (reason it is beside the product, or null), measured."""
-    path = F.col("file")
+    ``files``: checkout, file, text, skipped (reason of a skip convention or null), beside (reason it is
+    beside the product, or null), measured; ``roots`` checkout and root; ``packages`` checkout and package."""
+    path, key = F.col("file"), ["checkout", "file"]
+    rooted = holders(files, roots, "root").select(*key).distinct().withColumn("_rooted", F.lit(True))
+    nearest = holders(files, packages, "package").groupBy(*key).agg(F.max_by("package", F.struct("depth", "package")).alias("_package"))
     third = words.third_party(path, F.col("text"))
     by_place = ~F.coalesce("measured", F.lit(False))
     skipped = F.col("skipped").isNotNull() & (by_place | (F.col("skipped") != "test"))
-    rules = (
-        F.when(skipped, F.struct(F.lit("excluded").alias("status"), F.col("skipped").alias("reason")))
-        .when(F.col("beside").isNotNull() & by_place, F.struct(F.lit("excluded").alias("status"), F.col("beside").alias("reason")))
-        .when(third.isNotNull(), F.struct(F.lit("excluded").alias("status"), third.alias("reason")))
-        .when(~by_place | under_any(path, roots), F.struct(
-            F.lit("included").alias("status"), F.lit("explicit source root" if explicit else "discovered package source root").alias("reason")))
+
+    def ruled(status: str, reason):
+        return F.struct(F.lit(status).alias("status"), reason.alias("reason"))
+
+    rest = ruled("excluded", F.lit("outside explicit source roots")) if explicit else ruled("ambiguous", F.lit("unclassified first-party source"))
+    rule = (
+        F.when(skipped, ruled("excluded", F.col("skipped")))
+        .when(F.col("beside").isNotNull() & by_place, ruled("excluded", F.col("beside")))
+        .when(third.isNotNull(), ruled("excluded", third))
+        .when(~by_place | F.coalesce("_rooted", F.lit(False)), ruled("included", F.lit("explicit source root" if explicit else "discovered package source root")))
+        .otherwise(rest)
     )
-    rest = F.struct(F.lit("excluded").alias("status"), F.lit("outside explicit source roots").alias("reason")) if explicit else F.struct(
-        F.lit("ambiguous").alias("status"), F.lit("unclassified first-party source").alias("reason"))
-    # Deepest package first: the first that holds the file is the nearest.
-    nearest = F.coalesce(*[F.when(under_any(path, [package]), F.lit(package)) for package in sorted(packages, key=lambda p: -p.count("/"))], F.lit(None).cast("string"))
-    told = files.withColumn("_rule", F.coalesce(rules.otherwise(rest), rest)).select(
-        "file", F.col("_rule.status").alias("status"), F.col("_rule.reason").alias("reason"), (F.lit(None).cast("string") if explicit else nearest).alias("package_root"))
-    return told
+    told = files.join(rooted, key, "left").join(nearest, key, "left").withColumn("_rule", rule)
+    package = F.lit(None).cast("string") if explicit else F.col("_package")
+    return told.select(*key, F.col("_rule.status").alias("status"), F.col("_rule.reason").alias("reason"), package.alias("package_root"))
 
 
 def _directory(file):

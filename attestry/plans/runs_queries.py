@@ -273,17 +273,22 @@ def scope_after_whole_files(m: Model):
   WITH l AS (SELECT doc_id, strlen(unnest(string_split(text, chr(10)))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM paths),
   o AS (SELECT doc_id, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
   h AS (SELECT doc_id, coalesce(sum(least(n, greatest(65536 - before, 0))) FILTER (least(n, greatest(65536 - before, 0)) > 500), 0) AS long FROM o GROUP BY doc_id),
-  f AS (SELECT doc_id, path, text, long, doc_id % 4 = 0 AS measured FROM paths JOIN h USING (doc_id)),
-  r AS (SELECT path AS file, CASE WHEN doc_id % 9 = 0 AND NOT measured THEN 'excluded|test' WHEN doc_id % 10 = 1 AND doc_id % 9 <> 0 THEN 'excluded|generated' WHEN doc_id % 8 = 3 AND NOT measured THEN 'excluded|example'
+  f AS (SELECT doc_id, 'c' || (doc_id % 2) AS checkout, path, text, long, doc_id % 4 = 0 AS measured FROM paths JOIN h USING (doc_id)),
+  ro AS (SELECT * FROM (VALUES ('c0', 'src/src1'), ('c0', 'src/src2/en'), ('c1', 'src/src2/'), ('c1', 'src/src')) t(checkout, root)),
+  pa AS (SELECT * FROM (VALUES ('c0', 'src/src2'), ('c0', 'src/src2/en'), ('c1', 'src'), ('c1', 'src/src3')) t(checkout, package)),
+  r AS (SELECT f.checkout, path AS file, CASE WHEN doc_id % 9 = 0 AND NOT measured THEN 'excluded|test' WHEN doc_id % 10 = 1 AND doc_id % 9 <> 0 THEN 'excluded|generated' WHEN doc_id % 8 = 3 AND NOT measured THEN 'excluded|example'
       WHEN path LIKE '%.js' AND strlen(text) > 2000 AND long * 2 > least(strlen(text), 65536) THEN 'excluded|minified code'
-      WHEN measured OR path LIKE 'src/src1/%' OR path LIKE 'src/src2/en/%' THEN 'included|discovered package source root' ELSE 'ambiguous|unclassified first-party source' END AS r,
-      CASE WHEN path LIKE 'src/src2/en/%' THEN 'src/src2/en' WHEN path LIKE 'src/src2/%' THEN 'src/src2' END AS package_root FROM f)
-  SELECT file, string_split(r, '|')[1] AS status, string_split(r, '|')[2] AS reason, package_root FROM r""")
+      WHEN measured OR EXISTS (SELECT 1 FROM ro WHERE ro.checkout = f.checkout AND starts_with(path, rtrim(root, '/') || '/')) THEN 'included|discovered package source root' ELSE 'ambiguous|unclassified first-party source' END AS r,
+      (SELECT arg_max(package, len(string_split(package, '/'))) FROM pa WHERE pa.checkout = f.checkout AND starts_with(path, package || '/')) AS package_root FROM f)
+  SELECT checkout, file, string_split(r, '|')[1] AS status, string_split(r, '|')[2] AS reason, package_root FROM r""")
 def scope_classification(m: Model):
     d = F.col("doc_id")
     files = m.paths.select(
-        F.col("path").alias("file"), "text", F.when(d % 9 == 0, "test").when(d % 10 == 1, "generated").alias("skipped"), F.when(d % 8 == 3, "example").alias("beside"), (d % 4 == 0).alias("measured"))
-    return scope.classify(files, ["src/src1", "src/src2/en"], ["src/src2", "src/src2/en"], explicit=False)
+        F.concat(F.lit("c"), (d % 2).cast("string")).alias("checkout"), F.col("path").alias("file"), "text",
+        F.when(d % 9 == 0, "test").when(d % 10 == 1, "generated").alias("skipped"), F.when(d % 8 == 3, "example").alias("beside"), (d % 4 == 0).alias("measured"))
+    roots = m.spark.createDataFrame([("c0", "src/src1"), ("c0", "src/src2/en"), ("c1", "src/src2/"), ("c1", "src/src")], "checkout string, root string")
+    packages = m.spark.createDataFrame([("c0", "src/src2"), ("c0", "src/src2/en"), ("c1", "src"), ("c1", "src/src3")], "checkout string, package string")
+    return scope.classify(files, roots, packages, explicit=False)
 
 
 @query("measurement_status", """

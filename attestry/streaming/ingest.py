@@ -37,25 +37,24 @@ def _written(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-FIRST_HITS = "run_id string, hit_id string, batch long"
+FIRST_HITS = "run_id string, hit_id string"
 
 
-def first_hits(hits: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep the first sighting of every (run, hit). A batch writes what earlier
-    ones lack under its own number; replaying it overwrites that."""
-    spark = hits.sparkSession
+def first_hits(hits: DataFrame, table: str, checkpoint: str, at: str | None = None, late: str = "1 hour") -> StreamingQuery:
+    """Append the first sighting of every (run, hit).
 
-    def keep(batch: DataFrame, number: int) -> None:
-        known = _written(spark, table, FIRST_HITS).filter(F.col("batch") != number)
-        fresh = batch.select("run_id", "hit_id").distinct().join(known, ["run_id", "hit_id"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return hits.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    What was seen is kept as keyed state, so a batch looks up its own keys and never reads the table; the file
+    sink writes each batch once, also when it is replayed after a restart. With an event time ``at`` a
+    key's state goes ``late`` after its last sighting (and one seen later than that is written again, which
+    counts of distinct hits do not mind)."""
+    key = ["run_id", "hit_id"]
+    once = hits.select(*key).dropDuplicates(key) if at is None else hits.select(*key, at).withWatermark(at, late).dropDuplicatesWithinWatermark(key).select(*key)
+    return once.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def live_counts(spark: SparkSession, table: str, points: DataFrame) -> DataFrame:
     """Lines and statements covered so far per run, from the first-hit table."""
-    seen = _written(spark, table, FIRST_HITS).select("run_id", F.col("hit_id").alias("id"))
+    seen = _written(spark, table, FIRST_HITS).select("run_id", F.col("hit_id").alias("id")).distinct()
     met = points.filter("not declined").join(seen, ["run_id", "id"])
     return met.groupBy("run_id").agg(F.count_distinct("file", "line").alias("lines"), F.count_if(F.col("kind") == "statement").alias("statements"))
 
