@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import numbers, paths, text
 from attestry.functions.needles import CATALOGUE
-from attestry.operators import assess, coverage, gaps, scan
+from attestry.operators import assess, asserts, coverage, gaps, scan
 from attestry.plans.catalog import query
 from attestry.plans.model import Model
 
@@ -161,18 +161,18 @@ def shared_health(m: Model):
 
 @query("finding_coverage", """
   WITH fl AS (SELECT run_id AS snapshot, file AS path, count(*) AS findings FROM limitations GROUP BY ALL),
-  ml AS (SELECT p.file, p.line, bool_or(h.hit_id IS NOT NULL) AS covered FROM points p LEFT JOIN (SELECT DISTINCT run_id, hit_id FROM hits WHERE seq % 3 = 0) h
+  ml AS (SELECT p.file, p.line, bool_or(h.hit_id IS NOT NULL) AS covered FROM points p LEFT JOIN (SELECT DISTINCT run_id, hit_id FROM hits) h
      ON h.run_id = p.run_id AND h.hit_id = p.id WHERE NOT p.declined AND p.run_id = 'run_A1996' GROUP BY ALL),
   me AS (SELECT file, count(*) AS n, count(*) FILTER (NOT covered) AS u FROM ml GROUP BY file),
-  a AS (SELECT DISTINCT p.file FROM points p JOIN statement_answers s ON s.run_id = p.run_id AND s.id = p.id WHERE s.p >= 0.99)
+  a AS (SELECT DISTINCT p.file FROM points p JOIN (SELECT run_id, id FROM statement_answers WHERE asked GROUP BY ALL HAVING bool_or(p >= 0.5)) s ON s.run_id = p.run_id AND s.id = p.id)
   SELECT fl.snapshot, fl.path, fl.findings, me.n IS NOT NULL AS in_run, coalesce(me.n, 0) AS measured_lines, coalesce(me.u, 0) AS uncovered_lines,
     fl.findings > 0 AND coalesce(me.u, 0) > 0 AS flagged_and_untested, fl.findings > 0 AND coalesce(me.n, 0) > coalesce(me.u, 0) AND a.file IS NULL AS flagged_and_unasserted
   FROM fl LEFT JOIN me ON me.file = fl.path LEFT JOIN a ON a.file = fl.path""")
 def finding_coverage(m: Model):
     flagged = m.limitations.groupBy(F.col("run_id").alias("snapshot"), F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("findings"))
     one = F.col("run_id") == "run_A1996"
-    lines = coverage.line_fold(m.points.filter(one), m.hits.filter(one & (F.col("seq") % 3 == 0)), m.tests)
-    asserted = m.points.join(m.statement_answers.filter("p >= 0.99").select("run_id", "id"), ["run_id", "id"]).select("file", "line")
+    lines = coverage.line_fold(m.points.filter(one), m.hits.filter(one), m.tests)
+    asserted = m.points.join(asserts.verdicts(m.statement_answers).filter("asserted").select("run_id", "id"), ["run_id", "id"]).select("file", "line")
     return assess.cross_with_coverage(flagged, lines, asserted)
 
 
@@ -255,16 +255,16 @@ def candidate_lines(m: Model):
 
 @query("candidates_round_robin", f"""WITH {O_CANDIDATES},
   t AS (SELECT path, line, "check", row_number() OVER (PARTITION BY path, "check" ORDER BY line) AS r FROM ca)
-  SELECT path, line, "check" FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY r, "check") AS k FROM t) WHERE k <= 12""")
+  SELECT path, line, "check" FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY r, "check") AS k FROM t) WHERE k <= 120""")
 def candidates_round_robin(m: Model):
-    return scan.round_robin(candidates(m), 12).select("path", "line", "check")
+    return scan.round_robin(candidates(m), 120).select("path", "line", "check")
 
 
 @query("nodes_spread", f"""WITH {O_SOURCE},
   n AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS i, count(*) OVER (PARTITION BY path) AS size FROM sl)
-  SELECT path, line FROM n WHERE size <= 7 OR i IN (SELECT CAST(floor(k * (size / 7.0::DOUBLE)) AS BIGINT) FROM range(7) r(k))""")
+  SELECT path, line FROM n WHERE size <= 300 OR i IN (SELECT CAST(floor(k * (size / 300.0::DOUBLE)) AS BIGINT) FROM range(300) r(k))""")
 def nodes_spread(m: Model):
-    return scan.spread(scan.source_lines(m.paths.select("path", "text")), 7).select("path", "line")
+    return scan.spread(scan.source_lines(m.paths.select("path", "text")), 300).select("path", "line")
 
 
 @query("template_lines", r"""
