@@ -11,7 +11,7 @@ from attestry.operators import coverage, gaps, minimize
 from attestry.plans.catalog import query
 from attestry.plans.coverage_queries import BASE, O_KEY, O_STATES, evidence, o_totals
 from attestry.plans.model import Model
-from attestry.session import shared_folder
+from attestry.session import shared_folder, stored
 from attestry.sources import evidence as scans
 from attestry.sources import exports, lcov
 
@@ -351,12 +351,21 @@ def attributed_runs(m: Model):
     return minimize.attributed_runs(told, m.hits)
 
 
+def minimised(m: Model):
+    """Every run's tests that keep all its obligations, of every metric; written once in an application."""
+    kept = stored(m.spark, m.sf_dir, "minimise-options", lambda: choices(m))
+    return kept, stored(m.spark, m.sf_dir, "minimised", lambda: minimize.minimise(kept, kept.select("run_id", "metric").limit(0)))
+
+
 @query("minimised_tests")
 def minimised_tests(m: Model):
-    points, branches, decisions, hits, vectors = evidence(m)
-    kept = minimize.options(points, branches, decisions, hits, vectors, m.tests).filter("metric = 'functions'")
-    whole = coverage.totals(points, branches, decisions, ["run_id"])
-    return minimize.minimise(kept, whole.filter("metric = 'functions'"), target=15.0)
+    return minimised(m)[1]
+
+
+@query("minimised_keep_everything", f"""{O_OPTIONS}, al AS (SELECT run_id, metric, id FROM op UNION ALL SELECT run_id, metric, id FROM oc)
+  SELECT run_id, metric, count(DISTINCT id) AS obligations FROM al GROUP BY ALL""")
+def minimised_keep_everything(m: Model):
+    return minimize.kept_obligations(*minimised(m))
 
 
 # --- needed vectors ---------------------------------------------------------------------
