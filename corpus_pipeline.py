@@ -22,7 +22,7 @@ STAGES = [
 ]
 
 #: The classifier, the embedding's random walks and the sampled segmentations are beyond SQL;
-#: tests/llm/test_pipeline.py compares run() with a brute-force version instead.
+#: tests/llm/test_llm_pipeline.py compares run() with a brute-force version instead.
 ORACLE_SQL = None
 
 
