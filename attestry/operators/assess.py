@@ -18,6 +18,8 @@ PRESENT_AT = 0.6
 SECURITY_CUTS = {"secret_in_source": 0.5, "unsafe_code_execution": 0.5, "unescaped_output": 0.5, "insecure_configuration": 0.5}
 DISMISS_AT = 0.6
 NEAR_LINES = 10
+#: Rounds of thinning between two shuffles.
+ROUNDS = 4
 FILE = ["snapshot", "path"]
 
 
@@ -107,19 +109,27 @@ def thin_lines(line_answers: DataFrame, cuts: dict[str, float] | None = None) ->
     In a round every line that is the strongest of its ten on either side stays and takes its neighbours out; the
     others go on. That gives what going through the lines by strength would, in as many rounds as the longest
     series of ever weaker neighbours has steps. Lines are compared by stretches with their margins, so a file of
-    any number of lines is spread over tasks."""
-    keys, size = [*FILE, "check_id"], 4096
+    any number of lines is spread over tasks. ``ROUNDS`` rounds look no further than their margin: they follow one
+    shuffle, and nothing is joined or broadcast."""
+    keys, size, margin = [*FILE, "check_id"], 4096, ROUNDS * 2 * NEAR_LINES
     kept = fired(line_answers, cuts).filter(F.coalesce("dismissed", F.lit(0.0)) < DISMISS_AT)
-    left, stay = landed(kept.groupBy(*keys, "line").agg(F.max("value").alias("value"))), []
+    left, stay = kept.groupBy(*keys, "line").agg(F.max("value").alias("value")), []
     around = Window.partitionBy(*keys, "_part").orderBy("line").rangeBetween(-NEAR_LINES, NEAR_LINES)
-    while not left.isEmpty():
-        own = F.floor(F.col("line") / size)
-        margins = F.array_distinct(F.array(own, F.floor((F.col("line") - NEAR_LINES) / size), F.floor((F.col("line") + NEAR_LINES) / size)))
-        spread = left.withColumn("_part", F.explode(margins)).withColumn("_best", F.max(F.struct("value", (-F.col("line")).alias("minus"))).over(around))
-        stay.append(landed(spread.filter((F.col("_part") == own) & (F.col("_best.minus") == -F.col("line"))).select(*keys, "line", "value")))
-        taken = stay[-1].select(*keys, F.explode(F.sequence(F.col("line") - NEAR_LINES, F.col("line") + NEAR_LINES)).alias("line"))
-        left = landed(left.join(taken, [*keys, "line"], "left_anti"))
-    return reduce(DataFrame.unionByName, stay) if stay else left
+    # Stretches begin half of one before the first line, so that short files have no margins.
+    part = lambda line: F.floor((line + size // 2) / size)
+    while True:
+        line = F.col("line")
+        margins = F.array_distinct(F.array(part(line), part(line - margin), part(line + margin)))
+        told = left.select("*", F.explode(margins).alias("_part"), F.lit(True).alias("_left"), F.lit(False).alias("_stays"))
+        for _ in range(ROUNDS):
+            best = F.max(F.when(F.col("_left"), F.struct("value", (-line).alias("minus")))).over(around)
+            told = told.withColumn("_stays", F.col("_stays") | (F.col("_left") & F.coalesce(best["minus"] == -line, F.lit(False))))
+            told = told.withColumn("_left", F.col("_left") & ~F.max("_stays").over(around))
+        told = landed(told.filter((F.col("_part") == part(line)) & (F.col("_left") | F.col("_stays"))).select(*keys, "line", "value", "_left"))
+        stay.append(told.filter("not _left").drop("_left"))
+        left = told.filter("_left").drop("_left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, stay)
 
 
 def change_review(tiered: DataFrame, changed_lines: DataFrame) -> DataFrame:

@@ -35,3 +35,14 @@ def test_nearest_folder_by_equality(spark):
     folders = spark.createDataFrame([("x", "src"), ("x", "src/a/"), ("x", "src/a/b.ts"), ("x", "src/a/b"), ("y", "other"), ("x", "")], "checkout string, root string")
     got = {(r.checkout, r.file, r.root) for r in scope.holders(files, folders, "root").collect()}
     assert got == {("x", "src/a/b.ts", "src"), ("x", "src/a/b.ts", "src/a/"), ("x", "src/a/b.ts", "src/a/b.ts"), ("x", "src/ab.ts", "src"), ("x", "/src/c.ts", "")}
+
+
+def test_rounds_join_nothing(spark, monkeypatch):
+    """Rounds written out compress well; joined with their neighbours they were sent whole to the driver."""
+    landed = []
+    monkeypatch.setattr(assess, "landed", lambda df, land=assess.landed: landed.append(df._jdf.queryExecution().executedPlan().toString()) or land(df))
+    rows = [("a", None if line % 2 else "f", "c", line, 0.99 - line / 1000, 0.0) for line in range(1, 240)]
+    got = assess.thin_lines(spark.createDataFrame(rows, "snapshot string, path string, check_id string, line int, value double, dismissed double"))
+    expected = [(path, line) for path, start in ((None, 1), ("f", 2)) for line in sorted(line for line, _ in greedy({(0.99 - line / 1000, line) for line in range(start, 240, 2)}))]
+    assert sorted(((r.path, r.line) for r in got.collect()), key=lambda x: (x[0] or "", x[1])) == expected
+    assert len(landed) > 1 and not any("Join" in plan for plan in landed)
