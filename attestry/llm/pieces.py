@@ -426,8 +426,8 @@ ARROW_SCHEMA = pa.schema([
 
 
 def op9_pieces(docs: DataFrame) -> DataFrame:
-    """Sampled segmentations of every document, by their digests."""
-    return encode_samples(docs, pieces=False)
+    """Sampled segmentations of every document: their pieces, with digests of these."""
+    return encode_samples(docs)
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,3 +186,10 @@ def test_scores_do_not_depend_on_neighbours():
     together = convnet.scores(net, np.frombuffer(b"".join(texts), np.uint8), offsets)
     alone = [convnet.scores(net, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
     assert np.allclose(together, alone, atol=1e-6)
+
+
+def test_op9_gives_the_pieces_themselves(spark):
+    import zlib
+
+    for r in pieces.op9_pieces(spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string")).collect():
+        assert len(r.pieces) == r.n_pieces and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.pieces)) == r.ids_crc32
