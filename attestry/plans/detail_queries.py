@@ -239,8 +239,8 @@ def floor_check(m: Model):
     frames = evidence(m)
     none = m.points.select("run_id").distinct().withColumn("unmeasured", F.lit(0))
     blockers = m.records.filter("run_id like 'run_R%'").select("run_id", F.lit("suite failed").alias("reason")).distinct()
-    by_file = coverage.summary(*frames, ["run_id"], by_file=True).filter("metric = 'lines'")
-    return compare_runs.floor_check(coverage.summary(*frames, ["run_id"]), by_file, FLOORS, none, blockers)
+    by_file = coverage.summary(*frames, ["run_id"], by_file=True, metrics=["lines"])
+    return compare_runs.floor_check(coverage.summary(*frames, ["run_id"], metrics=list(FLOORS)), by_file, FLOORS, none, blockers)
 
 
 @query("floor_applicability", f"""{BASE}, {o_totals("run_id")},
