@@ -2,9 +2,9 @@
 
 Words fall into classes by a hash (words that alone make up a good part of the text are a class of their
 own), and a word's probability after a context is that of its class there times its probability within
-the class: P(class | context) is the context's share of the class, smoothed by the class's overall
-share; within a class every context is a Pitman-Yor restaurant, and all of them share one parent, whose
-base is uniform over the class's known words and one unknown. Seating is sampled by Gibbs: in every
+the class. Both are of hierarchical Pitman-Yor restaurants: over classes every context has one, whose
+dishes are the classes, and all share one parent with a uniform base; within a class every context has
+one, and all of them share one parent, whose base is uniform over the class's known words and one unknown. Seating is sampled by Gibbs: in every
 sweep each context's customers of a word leave and are seated anew, one after another, given all others;
 the parent's customers are the contexts' tables. Restaurants do not reach over classes, so classes are
 sampled in parallel, without approximation between them. Predictive probabilities are averaged
@@ -19,6 +19,7 @@ word contributes goes back to its document's block in another.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ BLOCK_BYTES = 6 << 20
 FOLDS, HELD_OUT = 5, 1
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 5.0
-CLASS_STRENGTH = 20.0
+CLASS_DISCOUNT, CLASS_STRENGTH = 0.5, 20.0
+#: Customers of the restaurants over classes that are seated in one group.
+PART_TOKENS = 4_000_000
 BURN_IN, SAMPLES = 2, 3
 #: Customers of one pair that are seated one by one; more follow in steps of a 16th of those seated.
 ONE_BY_ONE = 64
@@ -103,6 +106,28 @@ class Frequent:
         return out
 
 
+    @property
+    def dishes(self) -> int:
+        """Dishes of the restaurants over classes: the classes, then the words that are classes of their own."""
+        return self.classes + int(self.own.sum())
+
+    def dish_of_own(self, places: np.ndarray) -> np.ndarray:
+        return self.classes + (np.cumsum(self.own) - 1)[places]
+
+    def alone(self, places: np.ndarray) -> np.ndarray:
+        return (places >= 0) & self.own[places] if len(self.own) else np.zeros(len(places), bool)
+
+    def class_of(self, tokens: np.ndarray, context: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """The class whose group samples each token; a word that is its own class is dealt over all by context."""
+        kind = mixed(tokens ^ np.uint64(0xC1A55))
+        kind[alone] = mixed(kind[alone] + context[alone].astype(np.uint64))
+        return (kind % np.uint64(self.classes)).astype(np.int32)
+
+
+def first_of_rows(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+
+
 PACKED = "class int, block long, header binary, context binary, frequent binary, rare binary, doc binary"
 
 
@@ -130,16 +155,12 @@ def packed_tokens(docs: DataFrame, known) -> DataFrame:
                 for a, b in passes(offsets):
                     tokens, rows = tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     places = frequent.find(tokens)
-                    first = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
-                    context = frequent.contexts(tokens, places, first)
+                    context = frequent.contexts(tokens, places, first_of_rows(rows))
                     often = places >= 0
                     n_tokens[a:b] += np.bincount(rows, minlength=b - a)
                     n_known[a:b] += np.bincount(rows[often], minlength=b - a)
                     logs[a:b] += np.bincount(rows[often], np.log10(frequent.counts[places[often]] + 0.5), b - a)
-                    kind = mixed(tokens ^ np.uint64(0xC1A55))
-                    alone = often & frequent.own[places]
-                    kind[alone] = mixed(kind[alone] + context[alone].astype(np.uint64))
-                    found.append((context, places, tokens, rows + a, (kind % np.uint64(frequent.classes)).astype(np.int32)))
+                    found.append((context, places, tokens, rows + a, frequent.class_of(tokens, context, frequent.alone(places))))
                 context, places, tokens, rows, kind = (np.concatenate(p) for p in zip(*found))
                 order = np.lexsort((places, context, kind))
                 context, places, tokens, rows, kind = context[order], places[order], tokens[order], rows[order], kind[order]
@@ -188,14 +209,142 @@ def seated(counts: np.ndarray, others: np.ndarray, base: np.ndarray, discount: f
     return tables
 
 
-def class_probabilities(frequent: Frequent, number: int, context: np.ndarray, word: np.ndarray, own: np.ndarray, count: np.ndarray) -> np.ndarray:
+def parent_shares(upper: np.ndarray, tables: np.ndarray, base: float) -> np.ndarray:
+    """Probabilities in a parent restaurant with ``upper`` customers at ``tables`` of each dish."""
+    over = (PARENT_STRENGTH + PARENT_DISCOUNT * tables.sum()) * base
+    return (np.maximum(upper - PARENT_DISCOUNT * tables, 0) + over) / (PARENT_STRENGTH + upper.sum())
+
+
+def parent_seated(upper: np.ndarray, tables: np.ndarray, base: float, rng: np.random.Generator) -> np.ndarray:
+    order = np.argsort(-upper, kind="stable")
+    again = np.empty(len(upper))
+    again[order] = seated(upper[order], (tables.sum() - tables)[order], np.full(len(upper), base), PARENT_DISCOUNT, PARENT_STRENGTH, rng)
+    return again
+
+
+@dataclass(frozen=True)
+class Shares:
+    """What every task needs of the restaurants over classes: by context its customers and, by sample, the mass it
+    leaves to the parent; by sample the parent's probabilities. The tables of a context and class lie with the class."""
+
+    customers: np.ndarray
+    left: np.ndarray
+    parent: np.ndarray
+
+    def of(self, context: np.ndarray, dish: np.ndarray, served: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """P(dish | context) where the context served the dish so often, at so many tables on average."""
+        direct = (served - CLASS_DISCOUNT * tables) / (CLASS_STRENGTH + self.customers[context])
+        return direct + sum(left[context] * parent[dish] for left, parent in zip(self.left, self.parent)) / len(self.left)
+
+
+def class_customers(docs: DataFrame, known) -> DataFrame:
+    """(context, dish, n): how often each class, or word that is one, follows each context in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: Frequent = known.value
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            for a, b in passes(offsets):
+                tokens, rows = tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                places = frequent.find(tokens)
+                alone = frequent.alone(places)
+                dish = (mixed(tokens ^ np.uint64(0xC1A55)) % np.uint64(frequent.classes)).astype(np.int64)
+                dish[alone] = frequent.dish_of_own(places[alone])
+                pairs, n = np.unique(frequent.contexts(tokens, places, first_of_rows(rows)).astype(np.int64) * frequent.dishes + dish, return_counts=True)
+                columns = pa.array((pairs // frequent.dishes).astype(np.int32)), pa.array((pairs % frequent.dishes).astype(np.int32)), pa.array(n.astype(np.int64))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["context", "dish", "n"])
+
+    return docs.mapInArrow(run, "context int, dish int, n long").groupBy("context", "dish").agg(F.sum("n").alias("n"))
+
+
+SEATED = "part int, context int, dish int, n long, tables double, kept double"
+
+
+def reseated(table: pa.Table, base: np.ndarray, sweep: int) -> pa.Table:
+    """A part's contexts with every customer seated anew, given the parent's probabilities of the dishes."""
+    part, context, dish, n, tables, kept = (table[name].to_numpy() for name in ("part", "context", "dish", "n", "tables", "kept"))
+    order = np.lexsort((dish, context, -n))
+    context, dish, n, tables, kept = (x[order] for x in (context, dish, n, tables, kept))
+    places, here = np.unique(context, return_inverse=True)
+    others = np.bincount(here, tables, len(places))[here] - tables
+    rng = np.random.default_rng([SEED, sweep, int(part[0])])
+    tables = seated(n.astype(np.float64), others, base[dish], CLASS_DISCOUNT, CLASS_STRENGTH, rng)
+    kept = kept + tables / SAMPLES if sweep >= BURN_IN else kept
+    return pa.table({"part": part, "context": context, "dish": dish, "n": n, "tables": tables, "kept": kept})
+
+
+def class_restaurants(docs: DataFrame, known, frequent: Frequent) -> tuple[Shares, DataFrame]:
+    """The restaurants over classes, sampled in sweeps as those within them: contexts are seated in groups side by side,
+    and the parent, which has a dish for a class and so grows with the classes alone, between sweeps."""
+    parts, dishes, contexts = parts_for(frequent.tokens, PART_TOKENS), frequent.dishes, len(frequent.context_counts)
+    one, none = F.lit(1.0), F.lit(0.0)
+    state = written(class_customers(docs, known).select(F.pmod("context", F.lit(parts)).alias("part"), "context", "dish", "n", one.alias("tables"), none.alias("kept")), "seats")
+
+    def customers_above() -> np.ndarray:
+        rows = state.groupBy("dish").agg(F.sum("tables").alias("tables")).toPandas()
+        upper = np.zeros(dishes)
+        upper[rows["dish"].to_numpy(np.int64)] = rows["tables"].to_numpy(np.float64)
+        return upper
+
+    rng, upper = np.random.default_rng(SEED), customers_above()
+    above = np.minimum(upper, 1.0)
+    customers, left, parent = np.zeros(contexts), [], []
+    for sweep in range(BURN_IN + SAMPLES):
+        base = parent_shares(upper, above, 1.0 / dishes)
+
+        def seat(table):
+            return reseated(table, base, sweep)
+
+        state = written(state.groupBy("part").applyInArrow(seat, SEATED), "seats")
+        upper = customers_above()
+        above = parent_seated(upper, above, 1.0 / dishes, rng)
+        if sweep >= BURN_IN:
+            rows = state.groupBy("context").agg(F.sum("n").alias("n"), F.sum("tables").alias("tables")).toPandas()
+            at, tables = rows["context"].to_numpy(np.int64), np.zeros(contexts)
+            customers[at], tables[at] = rows["n"], rows["tables"]
+            left.append((CLASS_STRENGTH + CLASS_DISCOUNT * tables) / (CLASS_STRENGTH + customers))
+            parent.append(parent_shares(upper, above, 1.0 / dishes))
+
+    def by_class(table):
+        """A part's tables, packed for the groups that sample the classes."""
+        frequent: Frequent = known.value
+        context, dish, kept = (table[name].to_numpy() for name in ("context", "dish", "kept"))
+        single = dish >= frequent.classes
+        kind = dish.astype(np.int32)
+        words_ = frequent.words[frequent.own][dish[single] - frequent.classes]
+        kind[single] = frequent.class_of(words_, context[single], np.ones(len(words_), bool))
+        order = np.argsort(kind, kind="stable")
+        numbers, starts = np.unique(kind[order], return_index=True)
+        rows = [[x[part].astype(t).tobytes() for part in np.split(order, starts[1:])] for x, t in ((context, np.int32), (dish, np.int32), (kept, np.float64))]
+        nothing = [None] * len(numbers)
+        return pa.table([numbers, [-1] * len(numbers), nothing, *rows, nothing], schema=ARROW_PACKED)
+
+    return Shares(customers, np.array(left), np.array(parent)), state.groupBy("part").applyInArrow(by_class, PACKED)
+
+
+def class_probabilities(
+    frequent: Frequent, number: int, context: np.ndarray, word: np.ndarray, own: np.ndarray, count: np.ndarray,
+    shares: Shares | None = None, seats: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> np.ndarray:
     """Averaged probabilities of a class's distinct pairs (sorted by word). ``own``: the
-    place of a word that is its own class, or -1; ``count``: the pair in training."""
+    place of a word that is its own class, or -1; ``count``: the pair in training. ``seats``: the contexts, dishes and
+    tables of the restaurants over classes that lie with this class; without ``shares`` there is no other class."""
     out = np.zeros(len(context))
-    before = frequent.context_counts[context] + CLASS_STRENGTH
     single = own >= 0
-    total = max(1, frequent.tokens)
-    out[single] = (count[single] + CLASS_STRENGTH * frequent.counts[own[single]] / total) / before[single]
+
+    def share(context: np.ndarray, dish: np.ndarray, served: np.ndarray) -> np.ndarray:
+        if shares is None:
+            return np.ones(len(context))
+        keys = seats[0].astype(np.int64) * frequent.dishes + seats[1]
+        order, wanted = np.argsort(keys), context.astype(np.int64) * frequent.dishes + dish
+        tables = np.zeros(len(context))
+        if len(keys):
+            at = order[np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)]
+            tables = np.where(keys[at] == wanted, seats[2][at], 0.0)
+        return shares.of(context, dish, served, tables)
+
+    if single.any():
+        out[single] = share(context[single], frequent.dish_of_own(own[single]), count[single])
     rest = np.flatnonzero(~single)
     if not len(rest):
         return out
@@ -215,32 +364,22 @@ def class_probabilities(frequent: Frequent, number: int, context: np.ndarray, wo
     upper_tables = np.minimum(upper, 1.0)
     uniform = 1.0 / (types + 1)
 
-    def parent() -> np.ndarray:
-        over = (PARENT_STRENGTH + PARENT_DISCOUNT * upper_tables.sum()) * uniform
-        return (np.maximum(upper - PARENT_DISCOUNT * upper_tables, 0) + over) / (PARENT_STRENGTH + upper.sum())
-
     averaged = np.zeros(len(context))
     for sweep in range(BURN_IN + SAMPLES):
-        base, all_tables = parent(), np.bincount(r, tables, len(places))
+        base, all_tables = parent_shares(upper, upper_tables, uniform), np.bincount(r, tables, len(places))
         tables = seated(c, all_tables[r] - tables, base[d], DISCOUNT, STRENGTH, rng)
         upper = np.bincount(d, tables, dishes)
-        order = np.argsort(-upper, kind="stable")
-        again = np.empty(dishes)
-        again[order] = seated(upper[order], (upper_tables.sum() - upper_tables)[order], np.full(dishes, uniform), PARENT_DISCOUNT, PARENT_STRENGTH, rng)
-        upper_tables = again
+        upper_tables = parent_seated(upper, upper_tables, uniform, rng)
         if sweep >= BURN_IN:
             all_tables = np.bincount(r, tables, len(places))
             direct = np.zeros(len(context))
             direct[train] = c - DISCOUNT * tables
-            averaged += (direct + (STRENGTH + DISCOUNT * all_tables[here]) * parent()[dish]) / (STRENGTH + in_class[here])
-    share = in_class.sum() / total if frequent.tokens else 1.0 / frequent.classes
-    # A class no training word fell into still gives its words a share.
-    share = max(share, 0.5 / total)
-    out[rest] = averaged / SAMPLES * (in_class[here] + CLASS_STRENGTH * share) / before[rest]
+            averaged += (direct + (STRENGTH + DISCOUNT * all_tables[here]) * parent_shares(upper, upper_tables, uniform)[dish]) / (STRENGTH + in_class[here])
+    out[rest] = averaged / SAMPLES * share(context, np.full(len(context), number), in_class[here])
     return out
 
 
-def score_class(frequent: Frequent, number: int, table: pa.Table) -> pa.Table:
+def score_class(frequent: Frequent, shares: Shares, number: int, table: pa.Table) -> pa.Table:
     """A class's answers: for every block the documents it has words of, the sums of their
     words' log10 probabilities, and of rare words how many are known and sum log10(c + 0.5)."""
     back: dict[str, list] = {name: [] for name in ARROW_BACK.names}
@@ -249,11 +388,14 @@ def score_class(frequent: Frequent, number: int, table: pa.Table) -> pa.Table:
         for values, value in zip(back.values(), row):
             values.append(value)
 
-    blocks, context, word, place, doc = [], [], [], [], []
+    blocks, context, word, place, doc, seats = [], [], [], [], [], []
     for row in table.select(["block", "header", "context", "frequent", "rare", "doc"]).to_pylist():
         if row["header"] is not None:
             give(row["block"], row["header"], None, None, None, None, None)
             continue
+        if row["block"] < 0:
+            seats.append([np.frombuffer(row[name], kind) for name, kind in (("context", np.int32), ("frequent", np.int32), ("rare", np.float64))])
+            continue
         places = np.frombuffer(row["frequent"], np.int32)
         hashes = np.empty(len(places), np.uint64)
         hashes[places < 0] = np.frombuffer(row["rare"], np.uint64)
@@ -278,7 +420,8 @@ def score_class(frequent: Frequent, number: int, table: pa.Table) -> pa.Table:
     train = (doc & 1).astype(np.float64)
     count = np.bincount(pair, train, len(lead))
     own = np.where((place[lead] >= 0) & (frequent.own[place[lead]] if len(frequent.own) else False), place[lead], -1)
-    score = np.log10(class_probabilities(frequent, number, context[lead], word[lead], own, count))
+    seats = [np.concatenate(x) for x in zip(*seats)] if seats else [np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)]
+    score = np.log10(class_probabilities(frequent, number, context[lead], word[lead], own, count, shares, seats))
     dish = np.concatenate([[0], np.cumsum(word[lead][1:] != word[lead][:-1])])
     of_word = np.bincount(dish, count, int(dish[-1]) + 1)[dish]
     begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -325,9 +468,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         shared[row.slot] = row.n
     frequent = Frequent(often["word"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.float64), shared, texts, tokens)
     known = spark.sparkContext.broadcast(frequent)
+    shares, seats = class_restaurants(rows.where("train"), known, frequent)
+    given = spark.sparkContext.broadcast(shares)
 
     def by_class(key, table):
-        return score_class(known.value, key[0].as_py(), table)
+        return score_class(known.value, given.value, key[0].as_py(), table)
 
     def by_block(table):
         head, answers = None, []
@@ -354,7 +499,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             "train_tokens": np.full(n, tokens, np.int64), "base_score": base, "score": score,
         })
 
-    back = packed_tokens(rows, known).groupBy("class").applyInArrow(by_class, BACK)
+    back = packed_tokens(rows, known).unionByName(seats).groupBy("class").applyInArrow(by_class, BACK)
     return back.groupBy("block").applyInArrow(by_block, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
