@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,23 +54,42 @@ def line_tests(points: DataFrame, hits: DataFrame, tests: DataFrame, first: int
 
 
 def line_detail(points: DataFrame, hits: DataFrame, tests: DataFrame, limitations: DataFrame, states: DataFrame) -> DataFrame:
-    """Per line: covering tests, kinds, limitations that hold there and obligations open."""
-    covering = line_tests(points, hits, tests).groupBy("run_id", "file", "line").agg(
-        F.count(F.lit(1)).alias("tests"), F.count_distinct("kind").alias("kinds"))
-    noted = limitations_of_lines(points, limitations).groupBy("run_id", "file", "line").agg(F.count(F.lit(1)).alias("limitations"))
-    left = states.filter("metric <> 'lines' and not covered").groupBy("run_id", "file", "line").agg(F.count(F.lit(1)).alias("open"))
-    lines = points.groupBy("run_id", "file", "line").agg(F.bool_or(~F.col("declined")).alias("measured"))
+    """Per line: covering tests, kinds, limitations that hold there and obligations open.
+
+    What is told of a line comes from several tables and is counted in one aggregation; a whole file's
+    limitations are counted once for the file."""
     on = ["run_id", "file", "line"]
-    joined = lines.join(covering, on, "left").join(noted, on, "left").join(left, on, "left")
-    return joined.select(*on, "measured", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("tests", "kinds", "limitations", "open")])
+    measured = points.filter("not declined").select("run_id", F.col("id").alias("hit_id"), "file", "line")
+    # Equal rows go where a line's tests are told apart, and need not go before.
+    covering = hits.select("run_id", "test_id", "hit_id").join(tests.select("run_id", "test_id", F.col("kind").alias("_kind")), ["run_id", "test_id"]).join(
+        measured, ["run_id", "hit_id"]).select(*on, "test_id", "_kind").distinct()
+    told = limitations.withColumn("_wide", F.coalesce(whole_file_scope(), F.lit(False)))
+    one = F.lit(1).cast("long")
+    parts = [
+        points.select(*on, (~F.col("declined")).alias("_measured")),
+        covering.select(*on, one.alias("_tests"), "_kind"),
+        told.filter("not _wide").select(*on, one.alias("_noted")),
+        states.filter("metric <> 'lines' and not covered").select(*on, one.alias("_open")),
+    ]
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lines = united.groupBy(*on).agg(
+        F.bool_or("_measured").alias("measured"), F.count("_tests").alias("tests"), F.size(F.collect_set("_kind")).cast("long").alias("kinds"),
+        F.count("_noted").alias("_noted"), F.count("_open").alias("open")).filter("measured is not null")
+    wide = told.filter("_wide").groupBy("run_id", "file").agg(F.count(F.lit(1)).alias("_whole"))
+    return lines.join(wide, ["run_id", "file"], "left").select(
+        *on, "measured", "tests", "kinds", (F.col("_noted") + F.coalesce("_whole", F.lit(0))).alias("limitations"), "open")
+
+
+def whole_file_scope() -> Column:
+    """Whether a limitation is of its whole file."""
+    return (F.col("kind") == "source-scope") & (F.coalesce("source", F.lit("")).isin("") | (F.col("source") == F.col("file")))
 
 
 def limitations_of_lines(lines: DataFrame, limitations: DataFrame) -> DataFrame:
     """A line's limitations: those on it, and ``source-scope`` ones of its whole
     file, which quote no code of their own."""
     where = lines.select("run_id", "file", "line").distinct()
-    wide = (F.col("kind") == "source-scope") & (F.coalesce("source", F.lit("")).isin("") | (F.col("source") == F.col("file")))
-    told = limitations.withColumn("_wide", wide)
+    told = limitations.withColumn("_wide", F.coalesce(whole_file_scope(), F.lit(False)))
     on_line = where.join(told.filter("not _wide").select("run_id", "file", "line", "id"), ["run_id", "file", "line"])
     in_file = where.join(told.filter("_wide").select("run_id", "file", "id"), ["run_id", "file"]).select("run_id", "file", "line", "id")
     return on_line.unionByName(in_file)

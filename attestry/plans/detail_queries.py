@@ -48,7 +48,8 @@ def line_limitations(m: Model):
 def line_detail(m: Model):
     points, branches, decisions, hits, vectors = evidence(m)
     states = gaps.obligation_states(points, branches, decisions, hits, vectors)
-    return detail.line_detail(points, hits, m.tests, m.limitations, states)
+    # Hits on branches name no point.
+    return detail.line_detail(points, m.hits, m.tests, m.limitations, states)
 
 
 @query("test_detail", """
