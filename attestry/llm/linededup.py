@@ -25,7 +25,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import text_of, written
+from attestry.llm.common import drop_written, release_shuffles, text_of, written
 from attestry.llm.components import components
 
 SHINGLE = 12
@@ -94,11 +94,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, near, n, apart) of the pairs (a, b) of lines: whether they are alike, how many shingles b has, and
-    those that one has and the other lacks."""
+def texts_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line) of the lines in the pairs (a, b), written."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    of = written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    return written(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+
+def compared(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b, near, n, apart) of the pairs (a, b) of lines with texts ``of``: whether they are alike, how many
+    shingles b has, and those that one has and the other lacks."""
     a, b = (of.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
     both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
     parts = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
@@ -138,14 +142,25 @@ def line_components(lines: DataFrame) -> DataFrame:
     bands = [F.xxhash64(F.lit(band), *[F.col(f"m{band * ROWS + row}") for row in range(ROWS)]) for band in range(BANDS)]
     weight = F.shiftleft(F.least(F.col("copies").cast("long"), F.lit(1 << 20).cast("long")), 42).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 42) - 1)))
     signed = written(signatures(lines).select("id", weight.alias("weight"), F.array(*bands).alias("bands")), "signatures")
+    release_shuffles(lines.sparkSession)
+    star = written(stars(signed), "star")
+    texts = texts_of(star, lines)
+    checked = written(compared(star, texts), "checked")
+    for done in (signed, star, texts):
+        drop_written(done)
+    release_shuffles(lines.sparkSession)
+    again = written(meeting_again(checked), "again")
+    release_shuffles(lines.sparkSession)
+    links = checked.where("near").select("a", "b").unionByName(compared(again, texts_of(again, lines)).where("near").select("a", "b"))
+    return components(links, name="lines").withColumnRenamed("node", "id")
+
+
+def stars(signed: DataFrame) -> DataFrame:
+    """(a, b): the head and another member of a bucket of some band."""
     banded = signed.select("id", "weight", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.max_by("id", "weight").alias("head")).where(F.col("n") > 1).drop("n")
     members = banded.drop("weight").join(buckets, "band").where(F.col("id") != F.col("head"))
-    star = written(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    checked = written(compared(star, lines), "checked")
-    again = written(meeting_again(checked), "again")
-    links = checked.where("near").select("a", "b").unionByName(compared(again, lines).where("near").select("a", "b"))
-    return components(links, name="lines").withColumnRenamed("node", "id")
+    return members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

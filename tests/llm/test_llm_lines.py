@@ -60,3 +60,16 @@ def test_variants_of_a_common_line_keep_their_links_and_do_not_multiply(spark):
     checked = linededup.compared(star, texts).cache()
     assert checked.where("not near").count() > 100
     assert linededup.meeting_again(checked).count() < 4 * checked.count()
+
+
+def test_what_is_done_with_leaves_the_shared_folder(spark):
+    from pathlib import Path
+
+    from attestry.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    lines = [f"a line of some words number {i % 9} and {i % 5}" for i in range(60)]
+    linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    left = {p.name.split("-")[1] for p in folder.iterdir() if p.name not in before}
+    assert "checked" in left and not left & {"signatures", "star"}
