@@ -15,7 +15,7 @@ do not depend on batches, partitions or retries. The (k+1)-th value is the thres
 path its inclusion probability in such a sample.
 
 Pieces never cross most word ends, so sums over completions are taken once for each distinct stretch of
-a pass over about a megabyte of texts, for all stretches together in numpy. Texts do not move between
+a pass over about half a megabyte of texts, for all stretches together in numpy. Texts do not move between
 tasks. The vocabulary file is read by the driver and sent along (its size is fixed).
 """
 
@@ -39,6 +39,8 @@ SAMPLES = 2
 BYTE_PENALTY = 10.0
 #: No standard Gumbel variable from 53 random bits is higher; places looked at first.
 HIGHEST, EARLY = 38.0, 448
+#: Bytes of text in a pass: about 210 MB of arrays.
+PASS = 1 << 19
 MARK = "▁"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,6 +133,7 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray):
         """``data``: texts one after another, each with a blank before it."""
+        self.weights = vocabulary.weights
         blank = data == 32
         starts = np.zeros(len(data), bool)
         starts[1:] = blank[1:] & ~blank[:-1]
@@ -140,17 +143,22 @@ class Lattice:
         starts[offsets[:-1]] = True
         self.begins = np.flatnonzero(starts)
         ends = np.append(self.begins[1:], len(data))
-        keys, first, self.which = np.unique(bytes_hashes(data, self.begins, ends), return_index=True, return_inverse=True)
+        hashes = bytes_hashes(data, self.begins, ends)
+        order = np.argsort(hashes)
+        new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+        first = order[new]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
         lengths = (ends - self.begins)[first]
         self.at = np.concatenate([[0], np.cumsum(lengths)])
         total = int(self.at[-1])
-        owner = np.repeat(np.arange(len(keys)), lengths)
+        owner = np.repeat(np.arange(len(first)), lengths)
         text = data[np.arange(total) - self.at[owner] + self.begins[first][owner]]
         stop = self.at[owner + 1]
-        self.edges(vocabulary, text, stop, owner)
+        self.edges(vocabulary, text, stop)
         self.complete(stop, total)
 
-    def edges(self, vocabulary: Vocabulary, text: np.ndarray, stop: np.ndarray, owner: np.ndarray) -> None:
+    def edges(self, vocabulary: Vocabulary, text: np.ndarray, stop: np.ndarray) -> None:
         """Every match of a piece; single bytes where a character is no piece."""
         heads = (text & 0xC0) != 0x80
         heads[self.at[:-1]] = True
@@ -170,21 +178,32 @@ class Lattice:
             depth += 1
             piece = vocabulary.piece_at[node]
             match = piece >= 0
-            found.append((start[match], np.full(int(match.sum()), depth), piece[match]))
+            found.append((start[match], depth, piece[match]))
             known[start[match][end_of[start[match]] == start[match] + depth]] = True
         lone = here[~known[here]]
         widths = end_of[lone] - lone
         spread = np.repeat(lone, widths) + np.arange(int(widths.sum())) - np.repeat(np.cumsum(widths) - widths, widths)
-        found.append((spread, np.ones(len(spread), np.int64), vocabulary.byte_ids[text[spread]]))
-        start, width, piece = (np.concatenate(part) for part in zip(*found))
-        # By distance to the stretch's end, then by place: the order in which sums are taken.
-        order = np.argsort(((stop[start] - start) * len(text) + start) * 128 + width)
-        self.start, self.width, self.piece = start[order], width[order], piece[order]
-        self.weight = vocabulary.weights[self.piece]
+        found.insert(0, (spread, 1, vocabulary.byte_ids[text[spread]]))
+        counts = np.zeros(len(text), np.int32)
+        for start, _, _ in found:
+            counts[start] += 1
+        # By distance to the stretch's end, then by place, shorter ones first: the order in which sums are taken.
+        left = stop - np.arange(len(text))
+        places = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        free = np.empty(len(text), np.int64)
+        free[places] = np.cumsum(counts[places]) - counts[places]
+        total = int(counts.sum())
+        self.start, self.width, self.piece = np.empty(total, np.int64), np.empty(total, np.int16), np.empty(total, np.int32)
+        for start, width, piece in found:
+            slot = free[start]
+            self.start[slot], self.width[slot], self.piece[slot] = start, width, piece
+            free[start] += 1
+        self.first_edge = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
     def complete(self, stop: np.ndarray, total: int) -> None:
         """log of the weight of all ways from each place to its stretch's end, and each
         edge's probability among those of its place. ``stop`` places have none left."""
+        weight = self.weights[self.piece]
         left = stop[self.start] - self.start
         behind = np.full(total + 1, -np.inf)
         ahead = self.start + self.width
@@ -192,25 +211,23 @@ class Lattice:
         values = np.empty(len(self.start))
         levels = np.flatnonzero(np.diff(left, prepend=-1, append=-1))
         for a, b in zip(levels[:-1], levels[1:]):
-            value = self.weight[a:b] + np.where(closing[a:b], 0.0, behind[ahead[a:b]])
+            value = weight[a:b] + np.where(closing[a:b], 0.0, behind[ahead[a:b]])
             values[a:b] = value
             begin = np.flatnonzero(np.diff(self.start[a:b], prepend=-1))
             top = np.maximum.reduceat(value, begin)
             counts = np.diff(np.append(begin, b - a))
             behind[self.start[a:b][begin]] = np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), begin)) + top
-        self.log_p = np.minimum(0.0, values - behind[self.start])
+        log_p = np.minimum(0.0, values - behind[self.start])
         # Edges by place, likelier ones first, with running probabilities.
-        order = np.argsort((self.start * (1 << 20) - (np.exp(self.log_p) * ((1 << 20) - 1)).astype(np.int64)) * 128 + self.width)
-        self.start, self.width, self.piece, self.log_p = self.start[order], self.width[order], self.piece[order], self.log_p[order]
+        p = np.exp(log_p)
+        order = np.argsort((self.start * (1 << 20) - (p * ((1 << 20) - 1)).astype(np.int64)) * 128 + self.width)
+        self.start, self.width, self.piece, self.log_p = self.start[order], self.width[order], self.piece[order], log_p[order]
         self.closing = closing[order]
-        self.first_edge = np.searchsorted(self.start, np.arange(total + 1))
-        p = np.exp(self.log_p)
-        sums = np.cumsum(p)
+        sums = np.cumsum(p[order])
         before = np.concatenate([[0.0], sums])[self.first_edge[self.start]]
-        share = np.minimum(1.0, sums - before)
-        last = np.flatnonzero(np.diff(self.start, append=-1))
-        share[last] = 1.0
-        self.running = share
+        self.running = np.minimum(1.0, sums - before)
+        # The last edge of each place that has any.
+        self.running[np.flatnonzero(np.diff(self.start, append=-1))] = 1.0
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """One edge for each place by its probability."""
@@ -269,21 +286,25 @@ def sample_pass(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, k
             a, b = first_stretch[row], first_stretch[row + 1]
             inside = lattice.begins[a:b] - shifted[row]
             later = a + int(np.searchsorted(inside, place, side="left"))
-            walkers.append(np.stack([np.full(b - later, row), lattice.begins[later:b] - shifted[row], place_of_stretch[later:b]]))
             if edge >= 0 and not lattice.closing[edge]:
                 walkers.append(np.array([[row], [place], [lattice.start[edge] + lattice.width[edge]]]))
+            walkers.append(np.stack([np.full(b - later, row), lattice.begins[later:b] - shifted[row], place_of_stretch[later:b]]))
         row, place, at = np.concatenate(walkers, axis=1) if walkers else np.zeros((3, 0), np.int64)
-        steps = []
+        # Walkers stand in order of row and place, and each one's edges follow its steps.
+        walker, row_of_walker, steps = np.arange(len(row)), row, []
+        taken_by = np.zeros(len(row), np.int64)
         while len(row):
             edge = lattice.draw(at, uniform(keys[row], turn, place))
-            steps.append((row, place, edge))
+            steps.append((walker, edge))
+            taken_by[walker] += 1
             more = ~lattice.closing[edge]
             width = lattice.width[edge]
-            row, place, at = row[more], (place + width)[more], (at + width)[more]
-        row, place, edge = (np.concatenate(part) for part in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 3
-        order = np.argsort((row << 40) + place)
-        row, edge = row[order], edge[order]
-        bounds = np.searchsorted(row, np.arange(rows + 1))
+            walker, row, place, at = walker[more], row[more], (place + width)[more], (at + width)[more]
+        ends = np.cumsum(taken_by)
+        edge = np.zeros(int(taken_by.sum()), np.int64)
+        for number, (walker, chosen) in enumerate(steps):
+            edge[(ends - taken_by)[walker] + number] = chosen
+        bounds = np.concatenate([[0], ends])[np.searchsorted(row_of_walker, np.arange(rows + 1))]
         paths = []
         for r, prefix, given, _, value, taken in opened:
             tail = edge[bounds[r] : bounds[r + 1]]
@@ -314,7 +335,18 @@ def sample_pass(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, k
         early = np.flatnonzero(inner < EARLY + np.array([0 if o[1] is None else len(o[1]) for o in opened], np.int64)[of])
         value = np.full(len(flat_path), -np.inf)
         value[early] = drawn(early)
-        wanted = k - turn
+        wanted, late = k - turn, []
+        for i, o in enumerate(opened):
+            own = 0 if o[1] is None else len(o[1]) + 1
+            looked = own - 1 + EARLY if own else EARLY
+            near = value[begin[i] + own : begin[i + 1]]
+            if len(near) > EARLY and looked < begin[i + 1] - begin[i]:
+                enough = np.partition(near, len(near) - wanted)[len(near) - wanted]
+                if before[begin[i] + looked] + HIGHEST >= enough:
+                    late.append(np.arange(begin[i] + looked, begin[i + 1]))
+        if late:
+            late = np.concatenate(late)
+            value[late] = drawn(late)
         following = []
         for i, (r, prefix, given, _, bound, taken) in enumerate(opened):
             path, a, b = paths[i], begin[i], begin[i + 1]
@@ -324,12 +356,6 @@ def sample_pass(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, k
             # Regions before the place where this path left another one belong to that one.
             own = 0 if prefix is None else len(prefix) + 1
             near = values[own:]
-            looked = own - 1 + EARLY if own else EARLY
-            if len(near) > EARLY and looked < b - a:
-                enough = np.partition(near, len(near) - wanted)[len(near) - wanted]
-                if before[a + looked] + HIGHEST >= enough:
-                    rest = np.arange(a + looked, b)
-                    values[looked:] = drawn(rest)
             best = np.argpartition(-near, wanted)[:wanted] if len(near) > wanted else np.arange(len(near))
             for j in best:
                 if near[j] > -np.inf:
@@ -381,6 +407,34 @@ SAMPLE_FIELDS = {
 }
 
 
+def encoded(vocabulary: Vocabulary, batch: pa.RecordBatch, k: int, seed: int, pieces: bool) -> Iterator[pa.RecordBatch]:
+    """The samples of a batch of (doc_id, text), a pass at a time."""
+    data, offsets = flat(batch.column("text"))
+    keys, ids = row_keys(batch.column("doc_id"), seed), batch.column("doc_id").cast(pa.int64())
+    for a, b in passes(offsets, PASS):
+        part, begin = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        owner, ranks, paths, checks, scores, same = [], [], [], [], [], []
+        for i, samples in enumerate(sample_pass(vocabulary, part, begin, keys[a:b], k)):
+            text = part[begin[i] : begin[i + 1]].tobytes()
+            for rank, (found, log_p, value, inclusion) in enumerate(samples, 1):
+                owner.append(a + i)
+                ranks.append(rank)
+                paths.append(found.astype("<i4", copy=False))
+                checks.append(zlib.crc32(paths[-1].tobytes()))
+                scores.append((log_p, value, inclusion))
+                same.append(decode(found.tolist(), vocabulary.pieces) == text)
+        sizes = np.array([len(path) for path in paths], np.int32)
+        columns = {
+            "doc_id": ids.take(pa.array(owner, pa.int64())), "sample": pa.array(ranks, pa.int32()),
+            "pieces": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(paths).astype(np.int32, copy=False)),
+            "n_pieces": pa.array(sizes), "ids_crc32": pa.array(checks, pa.int64()),
+            **{name: pa.array(list(part_), pa.float64()) for name, part_ in zip(("log_prob", "perturbed", "log_inclusion"), zip(*scores))},
+            "round_trip": pa.array(same, pa.bool_()),
+        }
+        schema = ARROW_SCHEMA if pieces else ARROW_SCHEMA.remove(ARROW_SCHEMA.get_field_index("pieces"))
+        yield pa.RecordBatch.from_arrays([columns[name] for name in schema.names], schema=schema)
+
+
 def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = 42, model: str = MODEL, pieces: bool = True) -> DataFrame:
     """One row for each text and sample: doc_id, the sample's rank from 1, its piece ids (left
     out with ``pieces=False``), their number and CRC-32 (as little-endian 32-bit), log-probability,
@@ -397,24 +451,8 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = 42, model: str
     schema = with_fields(rows.select("doc_id").schema, **fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = known.value
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            keys = row_keys(batch.column("doc_id"), seed)
-            ids = batch.column("doc_id").to_pylist()
-            for a, b in passes(offsets):
-                part, begin = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                out: dict[str, list] = {name: [] for name in ["doc_id", *fields]}
-                for i, samples in enumerate(sample_pass(vocabulary, part, begin, keys[a:b], k)):
-                    text = part[begin[i] : begin[i + 1]].tobytes()
-                    for rank, (found, log_p, value, inclusion) in enumerate(samples, 1):
-                        row = {
-                            "doc_id": ids[a + i], "sample": rank, "pieces": found.astype(np.int32), "n_pieces": len(found), "ids_crc32": zlib.crc32(found.astype("<i4").tobytes()),
-                            "log_prob": log_p, "perturbed": value, "log_inclusion": inclusion, "round_trip": decode(found.tolist(), vocabulary.pieces) == text,
-                        }
-                        for name, values in out.items():
-                            values.append(row[name])
-                yield pa.RecordBatch.from_pydict(out, schema=ARROW_SCHEMA if pieces else ARROW_SCHEMA.remove(ARROW_SCHEMA.get_field_index("pieces")))
+            yield from encoded(known.value, batch, k, seed, pieces)
 
     return rows.mapInArrow(run, schema)
 
