@@ -59,3 +59,21 @@ def test_last_order_leaves_out_who_was_asked(spark):
     a = spark.createDataFrame([("r", "p1", "t2", 1)], "run_id string, id string, test_id string, place int")
     b = spark.createDataFrame([("r", "t1", 4)], "run_id string, test_id string, breadth int")
     assert [tuple(x) for x in asserts.last_order(s, r, t, a, a, b).collect()] == [("r", "p1", "t1", 1, 1)]
+
+
+def test_last_tests_follow_the_spread_where_they_run_as_much(spark):
+    """Every test runs one statement and shares no word with it, so only the spread puts them in order."""
+    import pandas as pd
+
+    from attestry.plans import impact_queries
+
+    class M:
+        points = spark.createDataFrame([("r", "p1", "src/cart.ts", None, "left")], "run_id string, id string, file string, label string, source string")
+        hits = spark.createDataFrame([("r", "p1", f"t{i}") for i in range(6)], "run_id string, hit_id string, test_id string")
+        tests = spark.createDataFrame(pd.DataFrame([("r", f"t{i}", f"n{9 - i}", "t/a_test.ts", "e2e") for i in range(6)], columns=["run_id", "test_id", "name", "test_file", "kind"]))
+        sf_dir = "spread"
+
+    M.spark = spark
+    rows = impact_queries.last_tests_to_ask(M).orderBy("last_place").collect()
+    # By name t5 and t4 are asked first; the spread goes on with t3, where ids alone would give t0.
+    assert [row["test_id"] for row in rows] == ["t3", "t2", "t1"]
