@@ -4,7 +4,8 @@ A text is the set of its hashed shingles; texts of one set are merged first. A s
 64-bit fingerprints, and at the threshold of 0.8 two sets differ in a bit with probability
 acos(2 * 0.8 / 1.8) / pi = 0.15. Every word's bits are cut into ``STRETCHES``, each with a vantage-point tree
 that is searched with radius 1: a pair meets in one of ten trees with probability 0.99. Pairs that
-meet are candidates within ``BITS`` of all bits (3.3 standard deviations above what is expected).
+meet are candidates within ``BITS`` of all bits (3.3 standard deviations above what is expected). In a leaf a
+set meets only those that differ from it in at most ``REACH`` bits of the stretch, about one in ninety.
 
 Candidates are verified by their sets, so no chance link joins two texts. No group puts out all its pairs:
 in a round each text names its nearest candidates outside its component (1, then 4, then 16, ...); those not
@@ -25,11 +26,17 @@ from pyspark.sql import functions as F
 from attestry.llm.common import flat, mixed, parts_for, passes, ship_package, text_of, written
 from attestry.llm.components import components
 from attestry.llm.linededup import jaccard
-from attestry.llm.simhash import CELL, LEAF, MOST_LEAVES, SAMPLE, Tree, grow, majority, shingle_hashes
+from attestry.llm.simhash import MOST_LEAVES, SAMPLE, Tree, grow, majority, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 WORDS, STRETCHES, RADIUS = 2, 5, 1
 BITS = 33
+# Sets of a leaf are compared where they differ in so many bits of its stretch, one more than trees are searched with.
+REACH = 2
+# Leaves only deal sets out, so they are few: each set visits fewer, and their number is the same for small tables.
+LEAF, LEAST_LEAVES, CELL = 16_384, 32, 262_144
+# Pairs compared at a time.
+AREA = 1 << 20
 TURNS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 POINTS = [f"p{k}" for k in range(WORDS)]
 
@@ -97,7 +104,7 @@ def trees(distinct: DataFrame) -> list[tuple[int, Tree]]:
     """A vantage-point tree for each stretch of each fingerprint, grown on a bounded sample."""
     count = distinct.count()
     drawn = distinct.select(*POINTS).orderBy(F.xxhash64(*POINTS), *POINTS).limit(SAMPLE).collect()
-    leaves, counter, grown = min(MOST_LEAVES, parts_for(count, LEAF)), [0], []
+    leaves, counter, grown = min(MOST_LEAVES, max(LEAST_LEAVES, parts_for(count, LEAF))), [0], []
     edges = np.linspace(0, 64, STRETCHES + 1).astype(int)
     for k, name in enumerate(POINTS):
         sample = np.unique(np.array([r[name] for r in drawn], np.int64).view(np.uint64))
@@ -106,6 +113,10 @@ def trees(distinct: DataFrame) -> list[tuple[int, Tree]]:
     return grown
 
 
+def first_leaf(node: Tree) -> int:
+    return node.leaf if node.left is None else first_leaf(node.left)
+
+
 def filed(sets: DataFrame, upper) -> DataFrame:
     """(leaf, home, sid, label, p0, p1): every set in its own leaf of each tree and in those it visits."""
 
@@ -134,38 +145,68 @@ def first_of_each(src: np.ndarray, dst: np.ndarray, d: np.ndarray, sid: np.ndarr
     return src[keep], dst[keep], d[keep]
 
 
-def nearest(table: pa.Table, most: int) -> pa.Table:
-    """(a, b, d): what each set of a cell has nearest to it outside its component."""
+def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of several stretches, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def nearest(table: pa.Table, most: int, tree: Callable[[int], tuple[int, int]]) -> pa.Table:
+    """(a, b, d): what each set of a cell has nearest to it outside its component.
+
+    Only sets are compared that differ in at most ``REACH`` bits of the stretch the cell's tree is over: those
+    within the tree's radius are among them, and what a set is compared with does not grow with the leaf."""
     home = table.column("home").to_numpy(zero_copy_only=False)
     chunk, low, high = table.column("chunk").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    order = np.lexsort((~home,)) if low == high else np.argsort(chunk, kind="stable")
-    table, home = table.take(pa.array(order)), home[order]
+    word, mask = tree(table.column("leaf")[0].as_py())
+    stretch = table.column(POINTS[word]).to_numpy().view(np.uint64) & np.uint64(mask)
+    # Within one chunk residents meet all behind them; of two chunks the first meets the second.
+    one = home if low == high else chunk == low
+    order = np.lexsort((stretch, ~one))
+    table, home, stretch, split = table.take(pa.array(order)), home[order], stretch[order], int(one.sum())
     sid, label = table.column("sid").to_numpy(), table.column("label").to_numpy()
     points = [table.column(name).to_numpy().view(np.uint64) for name in POINTS]
-    # Within one chunk residents meet all behind them; of two chunks the first meets the second.
-    split = int((chunk[order] == low).sum())
-    compared = int(home.sum()) if low == high else split
+    values, starts, counts = np.unique(stretch[:split], return_index=True, return_counts=True)
+    rest, behind, many = np.unique(stretch[split:], return_index=True, return_counts=True)
     none = np.zeros(0, np.int64)
-    best = none, none, none
-    for a in range(0, compared, 128):
-        z, begin = min(a + 128, compared), a if low == high else split
-        d = sum(np.bitwise_count(p[a:z, None] ^ p[None, begin:]) for p in points)
-        close = d <= BITS
-        if low != high:
-            close &= home[a:z, None] | home[None, begin:]
-        i, j = np.nonzero(close)
-        far = d[i, j].astype(np.int64)
-        i, j = i + a, j + begin
-        fresh = (i != j) & (label[i] != label[j])
+    best, found, waiting = (none, none, none), [], 0
+    for v, value in enumerate(values):
+        close = np.flatnonzero(np.bitwise_count(rest ^ value) <= REACH)
+        others = runs(behind[close] + split, many[close])
         if low == high:
-            fresh &= i < j
-        i, j, far = i[fresh], j[fresh], far[fresh]
-        best = first_of_each(*(np.concatenate(x) for x in zip(best, (i, j, far), (j, i, far))), sid, most)
+            close = np.flatnonzero(np.bitwise_count(values[v:] ^ value) <= REACH) + v
+            others = np.concatenate([runs(starts[close], counts[close]), others])
+        if not len(others):
+            continue
+        theirs, step = [p[others] for p in points], max(1, AREA // len(others))
+        for a in range(starts[v], starts[v] + counts[v], step):
+            z = min(a + step, starts[v] + counts[v])
+            d = sum(np.bitwise_count(p[a:z, None] ^ q[None, :]) for p, q in zip(points, theirs))
+            near = d <= BITS
+            if low != high:
+                near &= home[a:z, None] | home[others][None, :]
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            far, i, j = d[i, j].astype(np.int64), i + a, others[j]
+            fresh = label[i] != label[j]
+            if low == high:
+                fresh &= i < j
+            i, j, far = i[fresh], j[fresh], far[fresh]
+            found.append((np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])))
+            waiting += 2 * len(i)
+            if waiting > AREA:
+                best, found, waiting = first_of_each(*(np.concatenate(x) for x in zip(best, *found)), sid, most), [], 0
+    best = first_of_each(*(np.concatenate(x) for x in zip(best, *found)), sid, most)
     return pa.table({"a": sid[best[0]], "b": sid[best[1]], "d": best[2].astype(np.int32)})
 
 
-def naming(most: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda table: nearest(table, most)
+def naming(most: int, spans: list[tuple[int, int, int]]) -> Callable[[pa.Table], pa.Table]:
+    """``spans``: of each tree its first leaf, its word and the bits it is over."""
+    def tree(leaf: int) -> tuple[int, int]:
+        return next((word, mask) for first, word, mask in reversed(spans) if first <= leaf)
+
+    return lambda table: nearest(table, most, tree)
 
 
 def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -175,7 +216,8 @@ def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     mutual, later rounds are filed without it."""
     spark = distinct.sparkSession
     ship_package(spark)
-    upper = spark.sparkContext.broadcast(trees(distinct))
+    grown = trees(distinct)
+    upper, spans = spark.sparkContext.broadcast(grown), [(first_leaf(tree), word, tree.mask) for word, tree in grown]
     active, most, tested, sets = distinct.withColumn("label", F.col("sid")), 1, None, None
     while True:
         members = written(filed(active, upper), "near-leaves")
@@ -183,7 +225,7 @@ def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         dealt = members.join(sizes, "leaf").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")
         cells = dealt.select(*members.columns, "chunk", every).select("*", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high")).drop("with")
-        found = cells.groupBy("leaf", "low", "high").applyInArrow(naming(most), "a long, b long, d int").distinct()
+        found = cells.groupBy("leaf", "low", "high").applyInArrow(naming(most, spans), "a long, b long, d int").distinct()
         ranked = written(found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= most), "near-named")
         named = ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(named if tested is None else named.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
