@@ -196,3 +196,15 @@ def test_files_of_one_hash_keep_their_lines_apart(spark, tmp_path):
     expected = {(names[0], 3, 1), (names[1], 4, 2)}
     assert {tuple(r) for r in lcov.read_lines(trace).collect()} == expected
     assert {tuple(r) for r in lcov.read_functions(trace).collect()} == expected
+
+
+def test_condition_records_of_like_decisions_keep_one_order(spark):
+    from attestry.sources import exports
+
+    # Ten decisions at one place, in whatever order: each text's place is that of its decision's id.
+    rows = [("r", "a.ts", 3, 8, f"d{i}", 0, "x c0", i % 3 == 0) for i in range(10)]
+    schema = "run_id string, file string, line int, col int, decision_id string, condition int, source string, covered boolean"
+    expected = sorted(f"MCDC:3,10,{s},{int(i % 3 == 0)},{i},x c0" for i in range(10) for s in "tf")
+    for given in (rows, rows[::-1], rows[5:] + rows[:5]):
+        told = exports.mcdc_rows(spark.createDataFrame(given, schema))
+        assert sorted(row["text"] for row in told.collect()) == expected
